@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: The bytes that separate words (all ASCII but digits and letters), and A-Z to a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def normalised(text: str | None) -> str:
@@ -131,7 +132,7 @@ def _scanner(shared, kind: str, many: bool):
                 n.append(count)
                 ranges.append([{"a": a, "b": b} for a, b in found])
                 items.append(sorted(ids))
-                where = [m.span() for m in WORD.finditer(text)] if found else []
+                where = [m.span() for m in WORD.finditer(text.translate(_LOWER))] if found else []
                 spans.append([{"start": where[a][0], "end": where[b][1]} for a, b in found])
                 row.append(hashlib.sha256((text or "").encode()).hexdigest() if many else None)
             kept = [i for i in range(batch.num_columns) if i != at]
