@@ -15,9 +15,11 @@ way indexes, for each lost segment, the segments of a second, independent partit
 for that rest.
 
 Candidates are verified exactly on whole shingle sets (64-bit shingle hashes). Sets that are
-equal collapse to one class first. Within a bucket nobody pairs all members: rounds verify each
-member against one pivot (the member that shares most buckets), links are contracted to
-components, and only pairs between different components are tried further, until none is left.
+equal collapse to one class first. A round verifies each member of a bucket against one pivot (the
+member that shares most buckets) and contracts links to components; then members of different
+components are compared. Both joins carry an exact filter in their condition, so that pairs which
+can't link are never emitted: sizes, and the parity of 256 hashed bits, of which two sets differ in
+no more places than they differ in shingles.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, seed64, semi_join, word_hashes, write_shared
@@ -119,10 +121,16 @@ def _segment_sums(mixed: np.ndarray, m: int):
     return seg, value, sums, np.bincount(seg, minlength=m)
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """256 bits as four long integers: each token flips one. Sets that differ in d tokens differ in at most d bits."""
+    bits = np.bincount((mix64(tokens ^ seed64(98)) >> U64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signature_batches(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
-            size, d1, d2, keys = [], [], [], []
+            size, d1, d2, keys, bits = [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(lowered_words(text.as_py()), k)
                 size.append(len(s))
@@ -130,10 +138,11 @@ def _signature_batches(k: int, num: int, den: int):
                     d1.append(int(mix64(s).sum(dtype=U64).astype(np.int64)))
                     d2.append(int(mix64(s ^ seed64(99)).sum(dtype=U64).astype(np.int64)))
                 keys.append(signatures(s, num, den).astype(np.int64))
+                bits.append(parity_bits(s).tolist())
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["id", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "keys", "bits"])
 
     return run
 
@@ -149,6 +158,14 @@ def _set_batches(k: int):
     return run
 
 
+def may_link(a: str, b: str, num: int, den: int) -> Column:
+    """False only for pairs that can't link, by ``n`` and ``bits`` of the aliased sides a and b."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    na, nb = col(a, "n"), col(b, "n")
+    apart = sum((F.bit_count(F.get(col(a, "bits"), i).bitwiseXOR(F.get(col(b, "bits"), i))) for i in range(4)), F.lit(0))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (num + den) <= (na + nb) * (den - num))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that truly link: den * |A & B| >= num * |A | B|."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
@@ -188,7 +205,7 @@ def components(edges: DataFrame, name: str = "components") -> SharedTable:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100), star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_shingles (set size), class_id (smallest id with an
     equal set), component_id (smallest id reachable by links, itself included), class_links (links verified
     for its class).
@@ -199,16 +216,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = threshold
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = write_shared(base.mapInArrow(_signature_batches(words, num, den), "id long, n long, d1 long, d2 long, keys array<long>"), "sig")
+    sig = write_shared(base.mapInArrow(_signature_batches(words, num, den), "id long, n long, d1 long, d2 long, keys array<long>, bits array<long>"), "sig")
     classes = sig.df.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     classes = write_shared(classes, "classes")
-    reps = sig.df.where("n > 0").select("id", "d1", "d2", "n", "keys").join(classes.df.select("d1", "d2", "n", F.col("rep").alias("id")).hint("merge"), ["id", "d1", "d2", "n"], "left_semi")
+    reps = sig.df.where("n > 0").select("id", "d1", "d2", "n", "keys", "bits").join(classes.df.select("d1", "d2", "n", F.col("rep").alias("id")).hint("merge"), ["id", "d1", "d2", "n"], "left_semi")
     entries = reps.select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
     shared = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
-    buckets = write_shared(shared, "buckets")
+    met = write_shared(shared, "met")
+    facts = sig.df.where("n > 0").select(F.col("id").alias("rep"), "n", "bits")
+    buckets = write_shared(met.df.join(facts.hint("merge"), "rep").select("key", "rep", "c", "n", "bits"), "buckets")
+    met.drop()
     members = buckets.df.select(F.col("rep").alias("id")).distinct()
     sets = write_shared(semi_join(base, members, "id").mapInArrow(_set_batches(words), "id long, tokens array<long>"), "sets")
-    links = _link_classes(buckets.df, sets.df, num, den, star_rounds)
+    links = _link_classes(buckets.df, sets.df, num, den)
     buckets.drop()
     sets.drop()
     comp = components(links.df, "comp")
@@ -233,48 +253,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _link_classes(buckets: DataFrame, sets: DataFrame, num: int, den: int, star_rounds: int) -> SharedTable:
+def _link_classes(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> SharedTable:
     """Links enough to connect every component of the link graph over classes.
 
-    Each star round verifies, in each bucket whose members are still in several components, one pivot
-    against the members of other components; what remains after the rounds is verified pair by pair.
+    First each bucket's pivot against its other members; then, in buckets whose members are still in several
+    components, all pairs between components that pass ``may_link``.
     """
-    label = None
-    links = None
-    for turn in range(star_rounds + 1):
-        b = buckets
-        if label is not None:
-            b = b.join(label.df.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        else:
-            b = b.withColumn("root", F.col("rep"))
-        mixed = b.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_ = write_shared(b.join(mixed, "key").select("key", "rep", "root", "c"), "open")
-        if open_.df.isEmpty():
-            open_.drop()
-            break
-        if turn < star_rounds:
-            mass = open_.df.groupBy("rep").agg(F.sum("c").alias("mass"))
-            # a pivot that failed to link is not the best choice again: later rounds rotate by hash
-            order = F.col("mass") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            ranked = open_.df.join(mass, "rep").withColumn("rank", F.struct(order.alias("o"), (-F.col("rep")).alias("r")))
-            pivot = ranked.groupBy("key").agg(F.max(F.struct("rank", F.col("rep"), F.col("root"))).alias("p")).select("key", F.col("p.rep").alias("prep"), F.col("p.root").alias("proot"))
-            pairs = open_.df.join(pivot, "key").where("root <> proot").select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b"))
-        else:
-            x, y = open_.df.alias("x"), open_.df.alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.rep < y.rep and x.root <> y.root").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        good = _verified(pairs.distinct(), sets, num, den)
-        fresh = write_shared(good if links is None else good.unionByName(links.df).distinct(), "links")
-        open_.drop()
-        if links is not None:
-            links.drop()
-        links = fresh
-        if turn < star_rounds:
-            if label is not None:
-                label.drop()
-            label = components(links.df, "label")
-    if label is not None:
-        label.drop()
-    if links is None:
-        spark = buckets.sparkSession
-        links = write_shared(spark.createDataFrame([], "a long, b long"), "links")
-    return links
+    mass = buckets.groupBy("rep").agg(F.sum("c").alias("mass"))
+    ranked = buckets.join(mass, "rep").withColumn("rank", F.struct("mass", (-F.col("rep")).alias("r")))
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("rank", "rep", "n", "bits")).alias("p")).select("key", "p.rep", "p.n", "p.bits")
+    x, y = buckets.alias("x"), pivot.alias("y")
+    stars = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & may_link("x", "y", num, den))
+    pairs = stars.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    links = write_shared(_verified(pairs, sets, num, den), "links")
+    label = components(links.df, "label")
+    rooted = buckets.join(label.df.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = write_shared(rooted.join(mixed, "key", "left_semi").select("key", "rep", "root", "n", "bits"), "open")
+    x, y = open_.df.alias("x"), open_.df.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
+    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    more = write_shared(_verified(pairs, sets, num, den).unionByName(links.df).distinct(), "links")
+    for table in (open_, label, links):
+        table.drop()
+    return more
