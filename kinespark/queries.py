@@ -509,6 +509,46 @@ def _declip(spark, sf_dir):
     return evaluate(common(spark, sf_dir), "declip(clamp([click], -32, 32))")[0].select("idx", "value")
 
 
+@query("suspension")
+def _suspension(spark, sf_dir):
+    from .operators.suspension import suspension
+
+    s = channels(spark, sf_dir).where("idx < 400")
+    parts = (("click", "IMU0_AccelX", 0.001), ("view", "IMU0_AccelY", 0.001), ("signup", "IMU0_AccelZ", 0.01), ("error", "IMU1_AccelX", 0.001), ("purchase", "IMU1_AccelZ", 0.01))
+    made = None
+    for kind, name, scale in parts:
+        one = s.where(F.col("channel_id") == kind).select("session_id", F.lit(name).alias("channel_id"), "idx", "t", (F.col("value") * scale).alias("value"))
+        made = one if made is None else made.unionByName(one)
+    return suspension(SessionSet.from_samples(made, RATE)).select("channel_id", "idx", "value")
+
+
+@query("variance_dist")
+def _variance_dist(spark, sf_dir):
+    return _variance(spark, sf_dir, "variance_dist")
+
+
+@query("variance_time")
+def _variance_time(spark, sf_dir):
+    return _variance(spark, sf_dir, "variance_time")
+
+
+def _variance(spark, sf_dir, mode: str) -> DataFrame:
+    """The second loop of fixes against the first, for a channel made from the events' values."""
+    from .operators.variance import Overlay, variance
+
+    e = _events(spark, sf_dir).select("event_id", "value")
+    f = fixes(spark, sf_dir).join(e, F.col("idx") == F.col("event_id"))
+    made = None
+    for session, start in (("a", 0), ("b", 500)):
+        cut = f.where((F.col("idx") >= start) & (F.col("idx") < start + 500))
+        for name, col in (("GPS_Latitude", "lat"), ("GPS_Longitude", "lon"), ("GPS_EpochMs", "timestamp_ms"), ("Fork", "value")):
+            one = cut.select(F.lit(session).alias("session_id"), F.lit(name).alias("channel_id"), (F.col("idx") - start).alias("idx"), ((F.col("idx") - start) / RATE).alias("t"), F.col(col).cast("double").alias("value"))
+            made = one if made is None else made.unionByName(one)
+    data = SessionSet.from_samples(made, RATE)
+    other = SessionSet(data.samples.where("session_id = 'b'"), data.channels.where("session_id = 'b'"))
+    return variance(other, "Fork", RATE, Overlay(data, "a", (float("-inf"), float("inf")), 0.0), (0.0, 0.0), mode).select("idx", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

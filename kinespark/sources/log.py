@@ -103,7 +103,7 @@ def records(data: bytes, header: Header):
     return None
 
 
-#: Rows of the decoder: kind 0 the session, 1 inertial axis values, 2 other samples.
+#: Rows of the decoder: kind 0 the session, 1 inertial axis values, 2 other samples, 3 times of unknown channels.
 ROW = "session_id string, kind int, channel_id string, ord int, seq long, ts_us long, imu int, raw double, data_type int, scale double, offset double, rate_hz double, device_id string, start_ms long, checksum string, period_us long, warning string"
 _COLUMNS = tuple(c.split()[0] for c in ROW.split(", "))
 
@@ -116,7 +116,7 @@ def decode(data: bytes):
     seq = 0
 
     def row(kind, channel, ts, raw, imu=-1, data_type=7, scale=1.0, offset=0.0, rate=0.0):
-        return (h.session_id, kind, channel, order.setdefault(channel, len(order)), seq, ts, imu, raw, data_type, scale, offset, rate, None, None, None, h.period_us, None)
+        return (h.session_id, kind, channel, -1 if channel is None else order.setdefault(channel, len(order)), seq, ts, imu, raw, data_type, scale, offset, rate, None, None, None, h.period_us, None)
 
     axes = [i for i in range(6) if h.imu_mask >> i & 1]
     stream = records(data, h)
@@ -143,7 +143,9 @@ def decode(data: bytes):
             elif kind == CHANNEL:
                 i, ts = struct.unpack_from("<Bq", p)
                 e = h.registry.get(i)
-                if e is not None and e.data_type < len(_VALUE):
+                if e is None:
+                    yield row(3, None, ts, None)
+                elif e.data_type < len(_VALUE):
                     raw = float(struct.unpack_from(_VALUE[e.data_type], p, 9)[0])
                     yield row(2, e.name, ts, raw, -1, e.data_type, e.scale, e.offset, float(e.rate))
         except struct.error:
@@ -176,6 +178,7 @@ def from_records(rows: DataFrame) -> SessionSet:
     rows = rows.persist(StorageLevel.DISK_ONLY)
     sample = rows.where("kind > 0")
     origin = sample.groupBy("session_id").agg(F.min("ts_us").alias("origin_us"))
+    sample = sample.where("kind < 3")
     physical = F.when(F.col("data_type") == 7, F.col("raw") * F.col("scale") + F.when(F.col("offset") != 0, F.col("offset")).otherwise(F.lit(-0.0))).otherwise(F.col("raw") * F.col("scale") + F.col("offset"))
     other = dense_index(sample.where("kind = 2"), ["session_id", "channel_id"], "seq").join(origin, "session_id")
     t = F.when(F.col("rate_hz") > 0, F.col("idx") / F.col("rate_hz")).otherwise((F.col("ts_us") - F.col("origin_us")) / 1e6)
