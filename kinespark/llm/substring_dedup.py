@@ -86,14 +86,22 @@ def _extend(window: int, prefix: int):
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
-                nodes, ids, starts = [], [], []
+                nodes, ids, starts, rest = [], [], [], []
                 for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     node, under = window_prefixes(word_hashes(ascii_words(text)), window, prefix)
                     found = np.flatnonzero(np.isin(under, shared.values.to_numpy(zero_copy_only=False).astype(np.int64).astype(U64)))
-                    nodes.append(node[found].astype(np.int64))
-                    ids.append(np.full(len(found), doc, np.int64))
-                    starts.append(found.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, ids, starts)], ["node", "id", "start"])
+                    # one row for each node of a document, however often the document repeats it
+                    unique, first, count = np.unique(node[found], return_index=True, return_counts=True)
+                    nodes.append(unique.astype(np.int64))
+                    ids.append(np.full(len(unique), doc, np.int64))
+                    starts.append(found[first].astype(np.int32))
+                    more: list = [None] * len(unique)
+                    if (count > 1).any():
+                        order = np.argsort(node[found], kind="stable")
+                        for i, part in enumerate(np.split(found[order], np.cumsum(count)[:-1])):
+                            more[i] = part[1:].astype(np.int32) if count[i] > 1 else None
+                    rest += more
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (nodes, ids, starts)], pa.array(rest, pa.list_(pa.int32()))], ["node", "id", "start", "rest"])
 
     return run
 
@@ -129,9 +137,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     w = Window.partitionBy("prefix")
     shared = entries.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi")
     lists = write_shared(shared.groupBy("id").agg(F.collect_set("prefix").alias("shared")), "shared")
-    suffixes = base.where("id is not null").hint("merge").join(lists.df.hint("merge"), "id").select("id", "text", "shared").mapInArrow(_extend(window, prefix), "node long, id long, start int")
+    suffixes = base.where("id is not null").hint("merge").join(lists.df.hint("merge"), "id").select("id", "text", "shared").mapInArrow(_extend(window, prefix), "node long, id long, start int, rest array<int>")
     repeats = suffixes.withColumn("lo", F.min("id").over(Window.partitionBy("node"))).where("lo < id")
-    removed = repeats.groupBy("id").agg(F.collect_set("start").alias("starts"))
+    removed = repeats.groupBy("id").agg(F.concat(F.collect_list("start"), F.flatten(F.collect_list("rest"))).alias("starts"))
     gone = write_shared(removed, "removed")
     copied = write_shared(copies.groupBy("id").agg(F.collect_set(F.struct("d1", "d2")).alias("copies")), "copied")
     for table in (lists, first, told):
