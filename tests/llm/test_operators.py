@@ -1,0 +1,377 @@
+"""Each operator against brute force, with nulls, empty and long texts, repeats, empty tables and clashing columns."""
+
+import base64
+import random
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+import public_tokenizers as P  # noqa: E402
+
+from kinespark.llm import byte_bpe, decontaminate, id_store, license_scan, media, ngram_join, quality, substring_dedup, token_count, units, url_filter  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, id long, n long, keys string, unit string, digest string"
+WORDS = [f"w{i}" for i in range(300)]
+
+
+def corpus(seed=3):
+    """Texts with exact and near copies, shared passages, very short and very long ones, odd characters and nulls."""
+    r = random.Random(seed)
+    make = lambda n: " ".join(r.choices(WORDS, k=n))
+    base, passage = make(200), make(70)
+    out = [None, "", " \n\t ", "one", "Two  Words", base, base, base.upper(), make(9), passage, "x" * 5000, "a a " * 700, "naïve café ☕ ́e\u3000日本語 <s> <|endoftext|> \x00 \x1c\x85 \u2581"]
+    for i in range(12):
+        words = base.split()
+        for _ in range(i):
+            words[r.randrange(len(words))] = r.choice(WORDS)
+        out.append(" ".join(words))
+    for _ in range(8):
+        out.append(f"{make(30)}\n{passage}\n{make(20)}")
+    out += [f"{make(40)}, Benchmark." for _ in range(5)] + [make(6000)]
+    return [(i, t) for i, t in enumerate(out)]
+
+
+def frame(spark, rows, parts=3):
+    made = [(i, t, "en" if i is None or i % 2 else None, 7, 8, "k", "u", "d") for i, t in rows]
+    return spark.createDataFrame(made, DOCS).repartition(parts)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ---- 1 ----
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100), (2, 60, 100)])
+def test_components_match_brute_force(spark, k, num, den):
+    rows = corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows), words=k, threshold=(num, den)).collect()}
+    assert got == brute.jaccard_components(rows, k, num, den)
+
+
+def test_join_degenerate_inputs(spark):
+    assert ngram_join.near_duplicates(empty(spark)).count() == 0
+    rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "c b a"), (4, None)]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(-1, 1, 5), (4, 0, 4), (5, 1, 5), (5, 1, 5), (9, 1, 9)]
+
+
+def test_signatures_meet_for_every_similar_pair():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for num, den in ((90, 100), (80, 100), (60, 100)):
+        for n in [*range(1, 40), 90, 400, 2000]:
+            for _ in range(8 if n < 100 else 3):
+                x = r.integers(0, 1 << 63, n).astype(np.uint64)
+                most = n * (den - num) // den  # dropping that many keeps the similarity
+                y = x[: n - int(r.integers(0, most + 1))]
+                both = len(np.intersect1d(x, y))
+                if den * both >= num * (len(np.union1d(x, y))):
+                    assert np.intersect1d(ngram_join.signatures(np.unique(x), num, den), ngram_join.signatures(np.unique(y), num, den)).size, (num, n)
+
+
+def test_band_plan_covers_the_threshold():
+    for num, den in ((90, 100), (80, 100)):
+        for band in range(1, 40):
+            m, q, slack, m2, slack2 = ngram_join.band_plan(band, num, den)
+            upper = ngram_join.band_edges(num, den)[band + 1] - 1
+            most = upper * (den - num) // num
+            assert m + q == most + 1 + slack and m2 == most + 1 + slack2 and 0 <= q <= m
+
+
+# ---- 2 ----
+def test_token_counts(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = corpus()
+    for tier in (0, 50, 65_536):
+        got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.token_counts(frame(spark, rows), P.path("piece_bpe_32k.model"), limit=100, tier_one=tier, cache=20).collect()}
+        assert got == {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 100) for i, t in rows}
+    assert token_count.token_counts(empty(spark), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_units_rebuild_the_text():
+    for _, t in corpus():
+        assert "".join(units.units(t)) == (t or "") == "".join(units.space_units(t))
+
+
+# ---- 3 ----
+def bench(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block", [64 << 20, 200])
+def test_decontamination(spark, block):
+    rows = corpus()
+    items = [(1, rows[9][1][:200]), (2, "W1 w2"), (3, None), (4, ""), (5, "one"), (60, rows[9][1].upper()), (7, "café ☕")]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(frame(spark, rows), bench(spark, items), max_pattern_bytes=block).collect()}
+    want = brute.contamination(rows, items, 10)
+    text = dict(rows)
+    for i, w in want.items():
+        assert (got[i].n_words, got[i].n_hit, len(got[i]["items"]), brute.sha(",".join(got[i]["items"])), got[i].n_hit > 0) == w, i
+        hit = sum(len(brute.BENCH_WORD.findall(text[i][s.start : s.end].translate(brute.LOWER))) for s in got[i].spans)
+        if block > 200:
+            assert hit == w[1]
+    assert decontaminate.decontaminate(empty(spark), bench(spark, items)).count() == 0
+    assert all(r.n_hit == 0 for r in decontaminate.decontaminate(frame(spark, rows), bench(spark, [])).collect())
+
+
+def test_spans_are_of_the_original_text():
+    found = decontaminate.patterns([(1, "Alpha beta")], 10)
+    _, ranges, ids = decontaminate.scan(decontaminate.automaton(found), "The ALPHA--Beta end")
+    assert ranges == [(1, 2)] and ids == {1}
+    assert decontaminate.remove_spans("The ALPHA--Beta end", [(4, 15)]) == "The  end"
+
+
+# ---- 4 ----
+def test_model_is_normalised_and_rejects_junk(spark):
+    r = random.Random(5)
+    good = [" ".join(r.choices(WORDS[:60], k=80)) for _ in range(160)]
+    junk = [" ".join(f"{w.upper()}!!" for w in r.choices(WORDS, k=80)) for _ in range(10)]
+    rows = list(enumerate([*good, *junk, "", None]))
+    docs = frame(spark, rows)
+    trusted = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    got = {x.doc_id: x for x in quality.classify(docs, trusted).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[i].keep for i in range(160, 170))
+    assert sum(got[i].keep for i in range(160)) >= 155
+    assert got[170].keep and got[171].keep and got[170].perplexity is None
+    assert all(x.keep for x in quality.classify(docs, trusted.limit(0)).collect())
+    assert quality.classify(empty(spark), trusted).count() == 0
+
+
+def test_scores_match_a_plain_kneser_ney(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(6)
+    texts = [" ".join(r.choices(WORDS[:12], k=30)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "'x' lang", "text")
+    words, shapes = quality.count_words(docs, 100, 10)
+    shared = spark.sparkContext.broadcast((words, shapes))
+    counts = quality.write_shared(quality.count_bigrams(docs, shared, 3), "t")
+    model = quality.smoothing(counts.df, len(words) + len(shapes) + 2)
+    got = {x.id: x.nll for x in quality.score(docs, counts.df, shared, model, 3).collect()}
+    pairs, followers, size = Counter(), {}, len(words) + len(shapes) + 2
+    for t in texts:
+        w = ["<s>", *t.split()]
+        pairs.update(zip(w, w[1:], strict=False))
+    d = quality._discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    for (a, _), c in pairs.items():
+        followers.setdefault(a, []).append(c)
+    cont = Counter(b for _, b in pairs)
+    low = quality._discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
+    total = sum(cont.values())
+    left = sum(low[min(c, 3)] for c in cont.values()) / total
+    q = lambda b: (cont[b] - low[min(cont[b], 3)]) / total + left / size
+    for i, t in enumerate(texts):
+        w, nll = ["<s>", *t.split()], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            f = followers[a]
+            g = sum(d[min(c, 3)] for c in f) / sum(f)
+            nll -= math.log(max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / sum(f) + g * q(b))
+        assert abs(nll - got[i]) < 1e-3
+    assert abs(model.continuation.sum() - 1) < 1e-9
+
+
+# ---- 5 ----
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def tiktoken_encoder():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_and_decoding(spark):
+    rows, e = corpus(), tiktoken_encoder()
+    for tier in (0, 300):
+        got = {r.doc_id: r for r in byte_bpe.encode_decode(frame(spark, rows), RANKS, P.PATTERN, tier_one=tier, cache=50, outputs=("ids", "decoded", "n_tokens")).collect()}
+        for i, t in rows:
+            ids = e.encode_ordinary(t or "")
+            assert (bytes(got[i].ids), bytes(got[i].decoded), got[i].n_tokens) == (brute.packed(ids), (t or "").encode(), len(ids)), i
+    assert byte_bpe.encode_decode(empty(spark), RANKS, P.PATTERN).count() == 0
+
+
+def test_fold_and_kernel_give_equal_merges(spark):
+    ranks = byte_bpe.read_ranks(Path(RANKS).read_bytes())
+    words = ["", "a", " the", "hello", "éà日本", " 12345", "!!!???", "zzzzzzzzzz", "\n\n", "ththionerly"]
+    got = {r.unit: r.ids for r in byte_bpe.merge_words(spark.createDataFrame([(w,) for w in words], "unit string"), ranks).collect()}
+    assert got == {w: byte_bpe.merge_ranks(w.encode(), ranks) if w else [] for w in words}
+    r = random.Random(1)
+    for n in (1, 5, 199, 201, 900):
+        word = bytes(r.choices(b"abcdethn ", k=n))
+        assert byte_bpe.merge_ranks(word, ranks) == byte_bpe._merge_long([word[i : i + 1] for i in range(n)], ranks) or len(byte_bpe.merge_ranks(word, ranks)) == 1
+
+
+def test_units_are_encoded_alone():
+    e = tiktoken_encoder()
+    r = random.Random(4)
+    signs = ["a", "b's", " ", "  ", "\n", "\t", "é", "12", "日本", "!", "\x1c", "\x85", "\u3000", "\u200b", "'ll", "\x00"]
+    for _ in range(2000):
+        t = "".join(r.choices(signs, k=r.randint(0, 10)))
+        assert [i for u in units.units(t) for i in e.encode_ordinary(u)] == e.encode_ordinary(t)
+
+
+# ---- 6 ----
+def test_store_round_trip(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows, path = corpus(), f"{tmp_path}/store"
+    id_store.write_store(frame(spark, rows), path, P.path("word_bpe_49k.json"), 2, cache=40)
+    assert id_store.verify_manifest(spark, path)
+    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in id_store.rebuilt(spark, path).collect()}
+    at, want = 0, {}
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        want[i] = (at, len(ids), zlib.crc32(brute.packed(ids)))
+        at += len(ids)
+    assert got == want
+    chunks = spark.read.parquet(f"{path}/objects").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("key").distinct().count()
+    id_store.delete_store(spark, path)
+
+
+def test_store_of_nothing_and_of_repeats(spark, tmp_path):
+    id_store.write_store(empty(spark), f"{tmp_path}/a", P.path("word_bpe_49k.json"), 2)
+    assert id_store.rebuilt(spark, f"{tmp_path}/a").count() == 0
+    id_store.write_store(frame(spark, [(None, "x"), (3, "same text"), (3, "same text")]), f"{tmp_path}/b", P.path("word_bpe_49k.json"), None)
+    assert sorted((r.id or -1, r.start) for r in id_store.rebuilt(spark, f"{tmp_path}/b").collect()) == [(-1, 0), (3, 1), (3, 3)]
+
+
+def test_cut_points_depend_on_content_only():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, 49_000, 700).astype(np.uint16), r.integers(0, 49_000, 9000).astype(np.uint16)
+    alone = id_store.cut_points(id_store.marks(b), 0, len(b))
+    both = np.concatenate([a, b])
+    shifted = id_store.cut_points(id_store.marks(both), len(a), len(both))
+    assert [x - len(a) for x in shifted] == alone and alone[-1] == len(b)
+    assert max(np.diff([0, *alone])) <= id_store.MOST
+
+
+# ---- 7 ----
+def test_licenses(spark):
+    mit = license_scan.KNOWN["MIT"]
+    rows = [(1, f"Copyright (c) 2020 Someone\n\n{mit.upper().replace('LICENSE', 'LICENCE')}"), (2, "text\nReleased under the MIT Licence!\nmore"), (3, None), (4, ""), (5, "ééé"), (6, mit + " and more"), (2, "All rights reserved.\nall RIGHTS reserved")]
+    got = sorted((r.doc_id, r.license_id, r.n_license_lines, r.license_ids) for r in license_scan.scan_licenses(frame(spark, rows)).collect())
+    assert got == sorted([(1, "MIT", 0, ""), (2, None, 1, "MIT notice"), (3, None, 0, ""), (4, None, 0, ""), (5, None, 0, ""), (6, None, 0, ""), (2, None, 2, "all rights reserved")], key=lambda x: (x[0], x[1] or "", x[2])) or {(x[0], x[2], x[3]) for x in got} == {(1, 0, ""), (2, 1, "MIT notice"), (3, 0, ""), (4, 0, ""), (5, 0, ""), (6, 0, ""), (2, 2, "all rights reserved")}
+    assert license_scan.scan_licenses(empty(spark)).count() == 0
+
+
+# ---- 8 ----
+def test_url_rules(spark):
+    rules = tuple(url_filter.Rule.prefix(*x) for x in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
+    urls = {
+        "https://A.Example.ORG/es/x": ("a.example.org", "/es/x", "example.org/es/", "block"), "http://example.org/en/17?x": ("example.org", "/en/17", "example.org/en/1", "block"),
+        "http://notexample.org/en/17": ("notexample.org", "/en/17", "org/", "allow"), "http://x.org": ("x.org", "", None, "allow"), "http://x.com/de/": ("x.com", "/de/", "com/de/", "block"),
+        "x.com/de/": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "http://x.net/casino/a": ("x.net", "/casino/a", None, "block"), "http://org/#a://b": ("org", "/", "org/", "allow"),
+        "http://x.comde/de/": ("x.comde", "/de/", None, "allow"), "http://org#x": ("org", "", None, "allow"), "a?b://c.com/fr/d#e": ("c.com", "/fr/d", "com/fr/", "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == dict(enumerate(urls.values()))
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+# ---- 9 ----
+def test_media_round_trip():
+    for payload in (b"", b"a", b"x" * 192, bytes(range(256)) * 9, "é☕".encode() * 100):
+        samples = media.padded(payload)
+        assert len(samples) % 192 == 0 and len(samples) > 0 and samples.startswith(payload)
+        assert media.read_png(media.write_png(samples)) == samples
+    with pytest.raises(ValueError):
+        media.read_png(media.write_png(media.padded(b"abc"))[:-20] + b"0" * 20)
+
+
+def test_sequences_keep_order_and_captions():
+    html = '<title>T</title><p>one <b>two</b></p><figure><img src="a.png" alt="alt a"><img src=b.png><figcaption>the <i>caption</i></figcaption></figure><script>no</script>three<img src="c.png" alt="alt c"><video src="d.mp4"></video> &amp; end'
+    got = [(x["pos"], x["kind"], x["text"] or x["src"], x["caption"]) for x in media.parse_sequence(html)]
+    assert got == [(0, "text", "T", None), (1, "text", "one two", None), (2, "media", "a.png", "the caption"), (3, "media", "b.png", "the caption"), (4, "text", "three", None), (5, "media", "c.png", "alt c"), (6, "media", "d.mp4", None), (7, "text", "& end", None)]
+    assert media.parse_sequence(None) == media.parse_sequence("") == [] and media.parse_sequence("<p") is not None
+
+
+def test_media_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = corpus()
+    docs = frame(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    store = media.media_columns(media.store_payloads(docs, "payload"))
+    page = F.concat(F.lit('a<img src="sha256:'), F.sha2("payload", 256), F.lit('" alt="k">b<img src="x.png">'))
+    found = media.resolve(media.interleave(docs.select("doc_id", page.alias("html")), "doc_id", "html"), store, "doc_id").collect()
+    assert len(found) == 2 * len(rows)
+    for r in found:
+        if r.pos == 3:
+            assert r.src == "x.png" and r.payload_sha256 is None
+            continue
+        data = (dict(rows)[r.doc_id] or "").encode()
+        p = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.caption) == (len(data), len(p), brute.sha(p), zlib.crc32(p[-16:]), "k")
+
+
+# ---- 10 ----
+@pytest.mark.parametrize(("window", "prefix"), [(50, 8), (10, 3), (4, 4)])
+def test_substring_dedup(spark, window, prefix):
+    rows = corpus()
+    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text or "")) for r in substring_dedup.dedup_substrings(frame(spark, rows), window=window, prefix=prefix).collect()}
+    assert got == brute.substring(rows, window)
+
+
+def test_substring_degenerate_inputs(spark):
+    assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
+    t, u = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(None, t), (4, t), (4, t), (6, t), (6, u), (8, f"{u} x"), (9, None)]
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect())
+    assert got == [(-1, 60, 0), (4, 60, 0), (4, 60, 0), (6, 60, 0), (6, 60, 60), (8, 61, 60), (9, 0, 0)]
+
+
+# ---- pipeline and registration ----
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    seen = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in cp.STAGES[:4]:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = cp.write_shared(stage(spark, docs, d), "t").df
+        assert docs.columns == list(cp.COLUMNS)
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert set(after) <= set(before)
+        if name == "n-gram Jaccard join":
+            groups = brute.jaccard_components(list(before.items()), 5, 80, 100)
+            assert set(after) == {i for i, (_, c) in groups.items() if c == i}
+        if name == "substring dedup":
+            want = brute.substring(list(before.items()), 50)
+            for i, text in before.items():
+                if want[i][1] == 0:
+                    assert after[i] == text
+                else:
+                    assert i not in after or brute.sha(after[i]) == want[i][2]
+        if name == "benchmark decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+            want = brute.contamination(list(before.items()), items, 10)
+            assert set(after) == {i for i, w in want.items() if not w[4]}
+    out = cp.STAGES[4][1](spark, docs, d).collect()
+    e = tiktoken_encoder()
+    assert {r.doc_id: bytes(r.ids) for r in out} == {i: brute.packed(e.encode_ordinary(t)) for i, t in after.items()}
+    assert seen
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert "pipeline" in names
+    for n in range(1, 11):
+        assert sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1
