@@ -92,6 +92,30 @@ class SessionSet:
         for k in [k for k in self.derived if k not in names]:
             del self.derived[k]
 
+    def slice_lap(self, channel: str, role: str, lap: int, t0: float, t1: float) -> tuple[str, int]:
+        """Store the samples of [t0, t1] under a name of their own, numbered anew; (name, samples). The same channel, role
+        and lap replace each other; an empty slice stores nothing."""
+        from .operators.series import slice_by_time
+
+        name = f"\x01{channel}\x01{role}\x01{lap}"
+        info = self.load_info().get(channel)
+        rate = info.rate if info else getattr(self, "derived_info", {}).get(channel, (0.0,))[0]
+        base = self.frame(channel)
+        if base is None:
+            return name, 0
+        if "t" not in base.columns:
+            base = base.withColumn("t", F.col("idx") / rate)
+        cut = slice_by_time(base, t0, t1, rate)
+        first = cut.groupBy("session_id").agg(F.min("idx").alias("__0"))
+        made = cut.join(first, "session_id").select("session_id", (F.col("idx") - F.col("__0")).alias("idx"), "value")
+        n = made.count()
+        if n:
+            self.store(name, made)
+            if not hasattr(self, "derived_info"):
+                self.derived_info = {}
+            self.derived_info[name] = (rate, name)
+        return name, n
+
     def metadata(self) -> DataFrame:
         """channels with duration_ms: fixed rate round(len / rate * 1000); event-driven the last time, rounded, or 0."""
         last = self.samples.groupBy("session_id", "channel_id").agg(F.max("t").alias("last"))

@@ -95,12 +95,20 @@ def lap_panel(frames: DataFrame, laps: list[tuple[int, float, float, int]]) -> D
     return frames.select("*", current.alias("current_lap"), elapsed.alias("lap_elapsed_s"), last.alias("last_lap_ms"), best.alias("best_lap_ms"))
 
 
-def lap_clock(seconds: Column, digits: int = 1) -> Column:
-    """m:ss.d (or more digits), truncated."""
-    s = F.greatest(seconds, F.lit(0.0))
-    scale = 10**digits
-    total = F.floor(s * scale + 1e-9).cast("long")
-    return F.concat(F.floor(total / (60 * scale)).cast("string"), F.lit(":"), F.lpad(F.floor(total / scale % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))
+def elapsed_text(seconds: Column) -> Column:
+    """m:ss.d, rounded within the minute."""
+    m = F.floor(seconds / 60)
+    return F.format_string("%d:%04.1f", m, seconds - m * 60.0)
+
+
+def lap_text(ms: Column) -> Column:
+    """m:ss.dd of milliseconds."""
+    return F.format_string("%d:%05.2f", F.floor(ms / 60_000), (ms % 60_000) / 1000.0)
+
+
+def value_text(v: Column) -> Column:
+    """One decimal from 10 up, two below."""
+    return F.when(F.abs(v) >= 10.0, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v))
 
 
 def sync(utc_anchor: tuple[float, float] | None, creation_ms: float | None, duration_s: float, session_start_ms: float, session_s: float) -> tuple[float, str, float]:
@@ -117,3 +125,23 @@ def sync(utc_anchor: tuple[float, float] | None, creation_ms: float | None, dura
     if offset + duration_s < 0 or offset > session_s:
         raise InputError("no_overlap", f"the video spans [{offset:.1f}, {offset + duration_s:.1f}] of a session of {session_s:.1f} s")
     return offset, method, sure
+
+
+def rendered(frames: DataFrame, layout, columns: dict[str, str], size: tuple[int, int], traces: dict | None = None, line=None) -> DataFrame:
+    """(frame, pixels): straight RGBA pictures of an overlay, rows top down, drawn in parallel by frame.
+
+    ``frames`` has a column per gauge (``columns``: channel to column name) and, as the layout needs them, x and y of the
+    map, and current_lap, lap_elapsed_s, last_lap_ms and best_lap_ms. ``traces``: channel to the column that holds an
+    array of (x, y) structs; ``line``: the map's points, the same for all frames."""
+    import pyarrow as pa
+
+    from ..kernels import raster
+
+    elements, traces, line = list(layout.elements), dict(traces or {}), list(line or [])
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), pa.array([raster.draw(elements, row, columns, size, traces, line).tobytes() for row in rows], pa.binary())], ["frame", "pixels"])
+
+    return frames.mapInArrow(run, "frame long, pixels binary")

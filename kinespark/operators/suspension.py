@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..errors import EvalError
 from ..kernels import estimate as E
-from ..model import SessionSet
+from ..model import SessionSet, column_name, grid
+from .blocked import windowed
 
 _AXES = [[f"IMU{i}_{kind}{axis}" for kind in ("Accel", "Gyro") for axis in "XYZ"] for i in range(3)]
 GPS = ("GPS_SpeedKmh", "GPS_Heading", "GPS_FixQuality")
@@ -81,3 +82,20 @@ def suspension_ledger(data: SessionSet, geometry: E.Geometry | None = None, conf
         return pa.table({"session_id": pa.array([table["session_id"][0].as_py()] * k, pa.string()), "component": [x[0] for x in e.ledger], "confidence_sd": [x[1] for x in e.ledger], "source": [x[2] for x in e.ledger], "front_sag_mm": pa.array([sag[0]] * k, pa.float64()), "rear_sag_mm": pa.array([sag[1]] * k, pa.float64())})
 
     return samples.groupBy("session_id").applyInArrow(run, "session_id string, component string, confidence_sd double, source string, front_sag_mm double, rear_sag_mm double")
+
+
+def axle_forces(data: SessionSet, front_arm: float = 0.835, rear_arm: float = -0.445) -> DataFrame:
+    """(session_id, idx, front, rear): vertical force at the axles, in m/s2, from the frame's vertical force and its
+    pitch acceleration over the axles' arms."""
+    info = data.load_info()
+    rate = info["IMU0_AccelZ"].rate
+    g = grid(data.samples, ["IMU0_AccelZ", "IMU0_GyroY"])
+    w = g.withColumn("__w", F.col(column_name("IMU0_GyroY")) * (np.pi / 180.0))
+
+    def make(win):
+        before, after, v = F.lag("__w").over(win), F.lead("__w").over(win), F.col("__w")
+        return {"__a": F.coalesce((after - before) * rate / 2, (after - v) * rate, (v - before) * rate, F.lit(0.0))}
+
+    d = windowed(w, ["session_id"], "idx", 1, 1, make)
+    z = F.col(column_name("IMU0_AccelZ")) * E.GRAVITY
+    return d.select("session_id", "idx", (z + front_arm * F.col("__a")).alias("front"), (z + rear_arm * F.col("__a")).alias("rear"))

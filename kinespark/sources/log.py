@@ -268,6 +268,12 @@ def find_recordings(data: bytes, sector: int = 1, session_id: str | None = None)
     return out
 
 
+def extract(data: bytes, region: Region) -> bytes:
+    """A recovered recording as a log of its own, with an end record where it had none."""
+    body = data[region.offset : region.offset + region.size]
+    return body if region.clean_end else body + struct.pack("<BH", END, 0)
+
+
 def scan_images(spark: SparkSession, path: str, sector: int = 512) -> DataFrame:
     """(path, offset, size, records, session_id, clean_end, cut_off) of the recordings in raw images, a task per image."""
 

@@ -237,3 +237,46 @@ def encode_arguments(source: str, target: str, probe: dict, clip: tuple[float, f
     w, h = (probe["height"], probe["width"]) if probe["rotation"] in (90, 270) else (probe["width"], probe["height"])
     out = ["-y", "-ss", f"{clip[0]:.6f}", "-t", f"{clip[1] - clip[0]:.6f}", "-i", source, "-f", "rawvideo", "-pix_fmt", "rgba", "-s", f"{canvas[0]}x{canvas[1]}", "-r", f"{probe['fps']:.6f}", "-i", "-", "-filter_complex", f"[1:v]scale={w}:{h}[o];[0:v][o]overlay=0:0"]
     return out + (["-c:a", "copy"] if probe["has_audio"] else []) + ["-c:v", "libx264", "-f", "mp4", f"{target}.part"]
+
+
+#: Frames drawn at once before they are handed on in order; bytes of ffmpeg's last words that an error quotes.
+CHUNK, TAIL = 32, 2000
+
+
+def export_video(frames, target: str, arguments: list[str], ffmpeg: str = "ffmpeg", cancelled=lambda: False, progress=lambda done: None) -> int:
+    """Feed RGBA frames, an iterable in order, to ffmpeg's standard input; returns how many. The file appears under its
+    own name only when ffmpeg has ended well; a failed or cancelled export leaves nothing behind."""
+    import os
+    import subprocess
+    import tempfile
+
+    part, done = f"{target}.part", 0
+    with tempfile.TemporaryFile() as words:
+        try:
+            run = subprocess.Popen([ffmpeg, *arguments], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=words)
+        except FileNotFoundError:
+            raise InputError("io", f"no ffmpeg at {ffmpeg!r}") from None
+        problem = None
+        try:
+            for frame in frames:
+                if done % CHUNK == 0:
+                    progress(done)
+                    if cancelled():
+                        problem = "cancelled"
+                        break
+                run.stdin.write(frame)
+                done += 1
+            run.stdin.close()
+        except BrokenPipeError:
+            problem = "ffmpeg closed its input"
+        if problem == "cancelled":
+            run.kill()
+        code = run.wait()
+        if problem or code:
+            words.seek(max(0, words.seek(0, 2) - TAIL))
+            tail = words.read().decode("utf-8", "replace").strip()
+            if os.path.exists(part):
+                os.remove(part)
+            raise InputError("io", f"{problem or f'ffmpeg ended with {code}'}: {tail}")
+    os.replace(part, target)
+    return done

@@ -306,8 +306,8 @@ def test_overlay(spark):
     pos = overlay.map_position(frames, norm).orderBy("frame").collect()
     assert [r.y for r in pos] == [0.0, 0.0, 1.0, 1.0, 1.0]
     assert overlay.map_line(norm).count() == 2
-    clock = spark.range(1).select(overlay.lap_clock(F.lit(83.456)).alias("a"), overlay.lap_clock(F.lit(83.456), 2).alias("b")).first()
-    assert (clock.a, clock.b) == ("1:23.4", "1:23.45")
+    clock = spark.range(1).select(overlay.elapsed_text(F.lit(83.456)).alias("a"), overlay.lap_text(F.lit(83456)).alias("b"), overlay.value_text(F.lit(-12.34)).alias("c"), overlay.value_text(F.lit(2.5)).alias("d")).first()
+    assert tuple(clock) == ("1:23.5", "1:23.46", "-12.3", "2.50")
     assert overlay.sync((2.0, 5000.0), None, 10.0, 1000.0, 60.0) == (2.0, "gpmf", 0.9)
     with pytest.raises(Exception, match="spans"):
         overlay.sync(None, 1e6, 10.0, 0.0, 60.0)
@@ -398,3 +398,30 @@ def test_live_tiles(spark, tmp_path):
         q.stop()
     assert sorted((r.min_value, r.max_value, r.n) for r in spark.table("tiles").collect()) == [(0, 9, 10), (10, 19, 10), (20, 29, 10), (30, 39, 10)]
     assert spark.table("rolling").count() == 9
+
+
+def test_rendered_frames(spark):
+    from kinespark.kernels import raster
+    from kinespark.sources.config import OverlayLayout
+
+    elements = [{"type": "gauge", "rect": [0.0, 0.0, 0.5, 0.5], "channel": "a", "style": "bar", "label": "A", "min": 0, "max": 10}, {"type": "track_map", "rect": [0.5, 0.0, 0.5, 0.5]}, {"type": "lap_panel", "rect": [0.0, 0.5, 0.5, 0.5]}, {"type": "trace_strip", "rect": [0.5, 0.5, 0.5, 0.5], "channels": ["a"]}, {"type": "attitude", "rect": [0.0, 0.0, 0.2, 0.2], "channel": "zz", "style": "roll", "range_deg": 30}]
+    frames = spark.sql("select id frame, cast(id * 5 as double) a, 0.5D x, 0.5D y, 1L current_lap, 2.5D lap_elapsed_s, 83456L last_lap_ms, 83456L best_lap_ms, array(named_struct('x', 0.0D, 'y', 0.0D), named_struct('x', 1.0D, 'y', 1.0D)) tr from range(3)")
+    out = overlay.rendered(frames, OverlayLayout("i", "n", "64x48", elements), {"a": "a"}, (64, 48), {"a": "tr"}, [(0.0, 0.0), (1.0, 1.0)]).orderBy("frame").collect()
+    pictures = [np.frombuffer(r.pixels, np.uint8).reshape(48, 64, 4) for r in out]
+    lit = [int((p[:24, :32, 3] > 0).sum()) for p in pictures]
+    bar = [int((p[:24, :32] == raster.ACCENT).all(axis=2).sum()) for p in pictures]
+    assert len(pictures) == 3 and bar[0] < bar[1] < bar[2] and min(lit) > 0
+    assert raster.draw([], {}, {}, (4, 4), {}, []).sum() == 0
+
+
+def test_lap_slices_and_coupling(spark):
+    data = SessionSet.from_samples(one(spark, range(20)), 10.0)
+    name, n = data.slice_lap("c", "main", 2, 0.5, 1.0)
+    assert n == 6 and [r.value for r in data.derived[name].orderBy("idx").collect()] == [5, 6, 7, 8, 9, 10]
+    assert data.slice_lap("c", "main", 2, 0.0, 0.1) == (name, 2) and data.slice_lap("c", "overlay", 1, 9, 10)[1] == 0
+    data.retain_derived(set())
+    assert not data.derived
+    s = samples(spark, {"IMU0_AccelZ": [1.0] * 5, "IMU0_GyroY": [0.0, 1.0, 2.0, 3.0, 4.0]}, 10.0)
+    got = suspension.axle_forces(SessionSet.from_samples(s, 10.0)).orderBy("idx").collect()
+    want = np.radians(10.0)
+    assert np.allclose([r.front for r in got], 9.81 + 0.835 * want) and np.allclose([r.rear for r in got], 9.81 - 0.445 * want)

@@ -170,3 +170,29 @@ def test_envelopes():
     for error, kind in ((InputError("truncated", "m"), "invalid_input"), (OSError(), "io"), (ValueError(), "usage"), (RuntimeError(), "internal"), (EvalError("type", "m"), "eval")):
         assert envelope("x", error=error)["error"]["kind"] == kind
     assert np.isfinite(1.0)
+
+
+def test_video_export(tmp_path):
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\nfor last; do :; done\ncat > \"$last\"\n")
+    tool.chmod(0o755)
+    target = str(tmp_path / "out.mp4")
+    assert video.export_video((b"abcd" for _ in range(40)), target, ["-x", f"{target}.part"], str(tool)) == 40
+    assert (tmp_path / "out.mp4").read_bytes() == b"abcd" * 40
+    bad = tmp_path / "bad"
+    bad.write_text("#!/bin/sh\necho broken >&2\nexit 3\n")
+    bad.chmod(0o755)
+    with pytest.raises(InputError, match="broken|closed"):
+        video.export_video([b"x"] * 3, str(tmp_path / "no.mp4"), [f"{tmp_path}/no.mp4.part"], str(bad))
+    with pytest.raises(InputError, match="cancelled"):
+        video.export_video([b"x"] * 3, str(tmp_path / "no.mp4"), [f"{tmp_path}/no.mp4.part"], str(tool), cancelled=lambda: True)
+    with pytest.raises(InputError, match="no ffmpeg"):
+        video.export_video([], target, [], str(tmp_path / "nothing"))
+    assert not (tmp_path / "no.mp4").exists() and not (tmp_path / "no.mp4.part").exists()
+
+
+def test_recovered_bytes_are_a_log():
+    image = b"\0" * 512 + make_log(example(), REGISTRY, end=False) + b"\0" * 64
+    region = log.find_recordings(image, 512)[0]
+    again = log.extract(image, region)
+    assert log.walk(again, 0).clean_end and log.read_header(again).session_id == region.session_id
