@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .errors import InputError, envelope
 from .kernels import estimate
-from .model import SessionSet, column_name, grid
-from .operators import laps, overlay, series, suspension, tables, tracks
+from .model import TYPE_CODES, SessionSet, column_name, grid
+from .operators import joins, laps, overlay, series, suspension, tables, tracks
 from .plans.compile import LapContext, apply_definitions, evaluate
 from .sources import config, export, fit, log, video
 
@@ -60,9 +60,47 @@ class Engine:
             raise InputError("parse", f"no GPS: {', '.join(missing)}")
         return laps.gps_track(grid(self.data.samples, need), *[column_name(n) for n in need])
 
+    def activity(self) -> DataFrame:
+        """FIT record fields of every fix, with altitude, speed and heart rate where the session has them."""
+        f = self.fixes()
+        info = self.data.load_info()
+        need = ["GPS_Latitude", "GPS_Longitude", "GPS_EpochMs"]
+        extra = [(n, c) for n, c in (("GPS_Altitude", "alt"), ("GPS_SpeedKmh", "speed")) if n in info]
+        if extra:
+            g = grid(self.data.samples, [*need, *[n for n, _ in extra]])
+            side = g.where(F.col(column_name(need[2])).isNotNull()).select("session_id", F.col(column_name(need[2])).cast("long").alias("timestamp_ms"), *[F.col(column_name(n)).alias(c) for n, c in extra]).dropDuplicates(["session_id", "timestamp_ms"])
+            f = f.join(side, ["session_id", "timestamp_ms"], "left")
+        return fit.activity_records(f, self.heart_rate())
+
+    def heart_rate(self) -> DataFrame | None:
+        """(session_id, t: wall-clock ms, value) of the beats: the session's start plus each beat's time; beats without a
+        time are one a second."""
+        info = self.data.load_info().get("HR_BPM")
+        if info is None or self.data.sessions is None:
+            return None
+        start = self.data.sessions.select("session_id", F.coalesce("timestamp_utc_ms", F.lit(0)).alias("__s"))
+        beats = self.data.samples.where("channel_id = 'HR_BPM'").join(F.broadcast(start), "session_id")
+        return beats.select("session_id", (F.col("__s") + F.round(F.col("t") * 1000)).cast("double").alias("t"), "value")
+
     def write_fit(self, path: str, sport: int = 0) -> None:
         """One FIT file's bytes for each session, as Parquet (session_id, content)."""
-        fit.fit_files(fit.activity_records(self.fixes()), sport).write.parquet(path)
+        fit.fit_files(self.activity(), sport).write.parquet(path)
+
+    def at_fixes(self, name: str) -> DataFrame:
+        """A channel's value at every fix (session_id, idx, value): the nearest sample in time."""
+        samples, rate = self._channel(name)
+        f = self.fixes()
+        start = f.groupBy("session_id").agg(F.min("timestamp_ms").alias("__0"))
+        points = f.join(start, "session_id").select("session_id", "idx", ((F.col("timestamp_ms") - F.col("__0")) / 1000.0).alias("t"))
+        s = samples.select("session_id", F.col("idx").alias("__k"), "t", "value")
+        if rate > 0:
+            return joins.nearest_fixed(points, s.withColumnRenamed("__k", "idx"), rate).select("session_id", "idx", "value")
+        return joins.nearest_event(points, s).select("session_id", "idx", "value")
+
+    def resident_bytes(self) -> DataFrame:
+        """(session_id, bytes) that the raw columns hold; made channels hold none."""
+        width = F.coalesce(*[F.when(F.col("data_type") == k, w) for k, (_, w) in TYPE_CODES.items()], F.lit(8))
+        return self.data.channels.groupBy("session_id").agg(F.sum(F.when(F.col("synthesized"), 0).otherwise(F.col("len") * width)).alias("bytes"))
 
     # ---- laps and tracks ----
     def laps(self, track_text: str, window_ms: tuple[int, int] | None = None) -> DataFrame:
@@ -97,13 +135,25 @@ class Engine:
         table = config.read_workbook(workbook_text).table(block_id).table
         table.baseline_row = baseline_row
         warnings = tables.lap_windows(table, lap_windows or [])
+        known = {r[0] for r in self.data.samples.select("session_id").distinct().limit(2).collect()}
+        if len(known) == 1:  # a single session is evaluated whatever session its rows name
+            for row in table.rows:
+                row.session_id = None
         return tables.evaluate_table(self.data, table), warnings
 
     def table_list(self, workbook_text: str) -> list[dict]:
         return [{"block_id": t.block_id, "worksheet": t.worksheet, "columns": [c[1] for c in t.table.columns], "rows": len(t.table.rows)} for t in config.read_workbook(workbook_text).tables]
 
-    def table_check(self, workbook_text: str, block_id: str) -> list[tuple[str, int, int]]:
-        return tables.validate(config.read_workbook(workbook_text).table(block_id).table, set(self.data.load_info()) | set(self.data.derived))
+    def table_check(self, workbook_text: str, block_id: str, lap_windows: list[tuple[float, float]] | None = None) -> list[tuple[str, int, int]]:
+        """Problems of a table; with lap windows its cells are evaluated too, and those that fail are eval_error."""
+        table = config.read_workbook(workbook_text).table(block_id).table
+        out = tables.validate(table, set(self.data.load_info()) | set(self.data.derived))
+        if lap_windows is not None:
+            tables.lap_windows(table, lap_windows)
+            known = {(r, c) for _, r, c in out}
+            cells = tables.evaluate_table(self.data, table)
+            out += [("eval_error", r, c) for r, row in enumerate(cells) for c, (_, e) in enumerate(row) if e and (r, c) not in known]
+        return out
 
     # ---- suspension ----
     def estimate_suspension(self, settings: estimate.Config | None = None) -> list[str]:

@@ -128,7 +128,7 @@ def test_video_reader_and_arguments(spark, tmp_path):
 WORKBOOK = {
     "workbook_id": "w", "name": "n", "workbook_version": 2, "other": 1, "math_channels": [{"name": "twice", "expression": "[Fork] * 2"}, {"name": "bad", "expression": "[zz]"}],
     "worksheets": [{"name": "s", "blocks": [{"id": "b1", "placement": "main", "content": {"kind": "table", "table": {"columns": [{"id": "c", "name": "Top", "template": "max([Fork])"}], "rows": [{"id": "r", "context": {"sessionId": "s0", "lapIndex": 0}}], "cells": [[{}]]}}}, {"id": "x", "content": {"kind": "chart"}}]}],
-    "overlay_layouts": [{"id": "o", "name": "lay", "canvas": "800 x600", "elements": [{"type": "gauge", "rect": [0, 0, 1, 1], "channel": "Fork"}, {"type": "trace_strip", "channels": ["Fork", "HR"]}, {"type": "lap_panel"}]}],
+    "overlay_layouts": [{"id": "o", "name": "lay", "canvas": "800 x600", "elements": [{"type": "gauge", "rect": [0, 0, 1, 1], "channel": "Fork"}, {"type": "trace_strip", "rect": [0, 0, 1, 1], "channels": ["Fork", "HR"]}, {"type": "lap_panel", "rect": [0, 0, 0.5, 0.5]}]}],
 }
 
 
@@ -196,3 +196,46 @@ def test_recovered_bytes_are_a_log():
     region = log.find_recordings(image, 512)[0]
     again = log.extract(image, region)
     assert log.walk(again, 0).clean_end and log.read_header(again).session_id == region.session_id
+
+
+def test_commands(spark, tmp_path, capsys):
+    from kinespark.__main__ import main
+
+    recs = [gps(1_700_000_000_000 + i * 1000, 1_000_000 * i, 450000000 + 1000 * (i if i < 10 else 20 - i), 60000000, 3600) for i in range(20)]
+    recs += [value(1, 100_000 * i, "h", i) for i in range(50)]
+    (tmp_path / "a.log").write_bytes(make_log(recs, REGISTRY, start_ms=1_700_000_000_000, gps_rate=1))
+    (tmp_path / "w.json").write_text(json.dumps(WORKBOOK))
+    gate = {"lat1_deg": 450004500.0, "lon1_deg": 59999000.0, "lat2_deg": 450004500.0, "lon2_deg": 60001000.0}
+    line = [{"latitude_deg": 450000000.0 + 1000 * k, "longitude_deg": 60000000.0} for k in (0, 10)]
+    (tmp_path / "t.json").write_text(json.dumps({"track_artifact_version": 1, "track": {"track_id": "t", "lap_timing": {"kind": "circuit", "start_finish": gate}, "reference_polyline": line}}))
+    (tmp_path / "v.mp4").write_bytes(make_mp4([make_gpmf([(450000000, 60000000, 0, 5000, 0)], b"231114221320.000")], created=0))
+    (tmp_path / "card").write_bytes(b"\0" * 512 + (tmp_path / "a.log").read_bytes())
+    log_, w, t = (str(tmp_path / n) for n in ("a.log", "w.json", "t.json"))
+
+    def call(*args):
+        code = main(list(args), spark)
+        out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+        assert out["ok"] == (code == 0)
+        return out["data"] if out["ok"] else out["error"]
+
+    assert call("info", log_)[0]["device_id"] == "010203040506"
+    assert "Distance" in {c["channel_id"] for c in call("channels", log_)}
+    assert len(call("export", log_, "--channel", "Fork")["output"]) == 50
+    assert call("math", log_, "--workbook", w)["errors"][0]["channel"] == "bad"
+    assert [x["lap"] for x in call("laps", log_, "--track", t)] == [1, 2]
+    assert call("visits", log_, "--track", t) == []
+    assert len(call("fft", log_, "--channel", "Fork", "--nperseg", "16", "--noverlap", "8")) == 9
+    assert len(call("spectrogram", log_, "--channel", "Fork", "--nperseg", "16", "--to", "2")) == 9
+    assert call("fft", log_, "--channel", "zz")["kind"] == "not_found"
+    assert call("fit", log_, "-o", str(tmp_path / "a.fit")) == {"files": 1} and (tmp_path / "a.fit").read_bytes()[8:12] == b".FIT"
+    assert call("table", "list", "--workbook", w)[0]["block_id"] == "b1"
+    assert call("table", "check", "--workbook", w, "--table", "b1") == []
+    assert call("table", "eval", "--workbook", w, "--table", "b1", "--session", log_, "--track", t)["cells"][0][0]["value"] is not None  # one session is evaluated whatever its rows name
+    assert call("video", "probe", str(tmp_path / "v.mp4"))["fps"] == 30.0
+    assert call("video", "sync", log_, str(tmp_path / "v.mp4"))["method"] == "gpmf"
+    assert call("overlay", log_, "--video", str(tmp_path / "v.mp4"), "--workbook", w, "--track", t)["frames"] == 60
+    assert len(call("scan", str(tmp_path / "card"), "-o", str(tmp_path))) == 1
+    assert call("recover", str(tmp_path / "card"), "-o", str(tmp_path / "r.log"))[0]["clean_end"]
+    assert call("info", str(tmp_path / "none"))["kind"] in ("internal", "io")
+    e = Engine.open(spark, log_)
+    assert e.at_fixes("Fork").count() == 20 and e.resident_bytes().first().bytes > 0
