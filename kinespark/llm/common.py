@@ -97,6 +97,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on in this session: texts are long, and a batch is in memory
+    on both sides several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (multiply and xor-shift rounds)."""
     with np.errstate(over="ignore"):
@@ -138,3 +146,16 @@ def ascii_words(text: str | None) -> list[bytes]:
 def lowered_words(text: str | None) -> list[bytes]:
     """The same with A-Z lower-cased and nothing else."""
     return text.encode().lower().split() if text else []
+
+
+_HELD: dict = {}
+
+
+def held(name: str, value, make):
+    """A worker's state made from a broadcast ``value``: made once for it, and anew when another comes. A worker holds
+    one such state at a time, so that what an earlier operator needed doesn't stay in memory."""
+    got = _HELD.get(name)
+    if got is None or got[0] is not value:
+        _HELD.clear()
+        got = _HELD[name] = (value, make(value))
+    return got[1]
