@@ -7,13 +7,13 @@ ever shuffled; only the per-task candidates for tier one are.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import Bounded, frequent, space_units
-
-_STATE: dict = {}
+from .common import held, small_batches
+from .units import Generations, Split, at_spaces, frequent, slices
 
 
 class PieceCounter:
@@ -48,56 +48,50 @@ class PieceCounter:
         return len(self.library.encode(text, out_type=int, num_threads=1))
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 4096, tier_one: int = 65_536, cache: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 4096, tier_one: int = 65_536, cache: int = 100_000) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_bytes (UTF-8), n_tokens (no begin or end token) and
     over_limit (n_tokens > ``limit``).
 
     A null text counts as empty. The model file is read on the driver; its bytes are sent to the workers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(model_path, "rb") as f:
         model = f.read()
     counter = PieceCounter(model)
     table: dict[str, int] = {}
     if counter.exact:
-        top = [u for u, _ in frequent(docs, text_col, space_units, tier_one)]
+        top = [u for u, _ in frequent(docs, text_col, tier_one)]
         table = dict(zip(top, counter.units(top), strict=True)) if top else {}
     shared = spark.sparkContext.broadcast((model, table))
 
     def run(batches):
-        state = _STATE.get(id(shared.value))
-        if state is None:
-            _STATE.clear()
-            state = _STATE[id(shared.value)] = (PieceCounter(shared.value[0]), Bounded(cache))
-        own, missed = state
+        own, missed = held("pieces", shared.value, lambda v: (PieceCounter(v[0]), Generations(cache)))
         first = shared.value[1]
-        for batch in batches:
-            n_bytes, n_tokens = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(_count(own, first, missed, text) if own.exact and "▁" not in text else own.alone(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens])], ["id", "n_bytes", "n_tokens", "over_limit"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = batch.column(1).to_pylist()
+                n_bytes = [len(t.encode()) if t else 0 for t in texts]
+                n_tokens = count_batch(own, first, missed, texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens])], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
 
 
-def _count(own: PieceCounter, first: dict, missed: Bounded, text: str) -> int:
-    found = space_units(" " + text if text else "")  # the dummy prefix
-    total, unknown = 0, []
-    for length, unit in zip(map(first.get, found), found, strict=True):
-        if length is None:
-            length = missed.get(unit)
-            if length is None:
-                unknown.append(unit)
-                continue
-        total += length
-    if unknown:
-        new = list(dict.fromkeys(unknown))
-        lengths = dict(zip(new, own.units(new), strict=True))
-        total += sum(map(lengths.__getitem__, unknown))
-        for u, n in lengths.items():
-            missed.put(u, n)
-    return total
+def _odd(own: PieceCounter):
+    return lambda text: not own.exact or "▁" in text or text[0] == " " or text[-1] == " " or "  " in text
+
+
+def count_batch(own: PieceCounter, first: dict, missed: Generations, texts: list) -> list[int]:
+    """Tokens of each text: the sum of its units' lengths, the dummy prefix being the first unit's space."""
+    split = Split(texts, at_spaces, _odd(own))
+    units = [f" {w}" for w in split.words]
+    lengths = list(map(first.get, units))
+    rest = [u for u, n in zip(units, lengths, strict=True) if n is None]
+    more = iter(missed.look_up(rest, own.units, [c > 1 for c, n in zip(split.counts().tolist(), lengths, strict=True) if n is None]))
+    sizes = np.array([next(more) if n is None else n for n in lengths], np.int64)
+    before = split.spread(sizes) if len(sizes) else np.zeros(1, np.int64)
+    ends = before[split.offsets].tolist()
+    return [own.alone(t) if odd else b - a if t else 0 for t, odd, a, b in zip(texts, split.odd, ends, ends[1:], strict=False)]
