@@ -10,9 +10,9 @@ partner).
 
 Cost-based allocation: ``band_plan`` chooses how many segments get v = 1 by weighing index keys
 against weak keys (subsets of at most one shingle, where unlike sets meet). Empty subsets are the
-dearest keys and are never indexed; the slack s pays for them. A set that loses more than s this
-way indexes, for each lost segment, the segments of a second, independent partition: the exact way
-for that rest.
+dearest keys and are never indexed; the slack s pays for them. Two similar sets miss each other only
+if both lose more than s this way, so such a set goes on to a second, independent partition, then to
+a third, and so on; one that loses too much in all of LEVELS meets all others of that kind.
 
 Candidates are verified exactly on whole shingle sets (64-bit shingle hashes). Sets that are
 equal collapse to one class first. A round verifies each member of a bucket against one pivot (the
@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, seed64, semi_join, word_hashes, write_shared
+from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, seed64, semi_join, shuffle_parts, small_batches, word_hashes, write_shared
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
@@ -51,32 +51,42 @@ def band_edges(num: int, den: int) -> tuple[int, ...]:
     return tuple(edges)
 
 
-#: What a weak key (a subset of at most one shingle) costs, in index keys.
-WEAK_KEY_COST = 20
+#: What a weak key (a subset of at most one shingle) costs, in index keys: its bucket holds unlike sets, which the
+#: filter inside the joins turns away. Bits of a key: two subsets that share one by chance cost a look as well.
+WEAK_KEY_COST, KEY_BITS = 4, 40
+#: Partitions that a set tries.
+LEVELS = 6
 
 
-def _slack(mean_lost: float) -> int:
-    return 0 if mean_lost < 0.05 else int(np.ceil(mean_lost + 2 * np.sqrt(mean_lost)))
+def _slack(need: int, q: int, least: int) -> int:
+    """Slack that covers what the smallest set of a band is likely to lose: mean and two deviations. More slack means
+    more and smaller segments, so the figure is sought in a few steps."""
+    slack = 0
+    for _ in range(6):
+        m = need + slack - q
+        z = least / m
+        lost = float(np.exp(-z) * (m - q + 2 * q * (1 + z)))
+        slack = 0 if lost < 0.05 else int(np.ceil(lost + 2 * np.sqrt(lost)))
+    return slack
 
 
 @lru_cache(maxsize=None)
 def band_plan(band: int, num: int, den: int) -> tuple[int, int, int, int, int]:
-    """(m segments, the first q of them with threshold 1, slack s; m and s of the second partition) of a band."""
-    upper = band_edges(num, den)[band + 1] - 1
-    most = upper * (den - num) // num  # the largest difference of a similar pair whose smaller set is in the band
+    """(m segments, the first q of them with threshold 1, slack s; m and s of further partitions) of a band."""
+    edges = band_edges(num, den)
+    least, upper = edges[band], edges[band + 1] - 1
+    need = upper * (den - num) // num + 1  # one more than a similar pair whose smaller set is in the band may differ
     options = []
     for part in (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1):
-        q = int(part * (most + 1) / 2)
-        z = upper / max(1, most + 1 - q)
-        lost = np.exp(-z) * (most + 1 - 2 * q) + 2 * q * np.exp(-z) * (1 + z)
-        slack = _slack(lost)
-        m = most + 1 + slack - q
+        q = int(part * need / 2)
+        slack = _slack(need, q, least)
+        m = need + slack - q
         z = upper / m
         weak = m * np.exp(-z) * (1 + z)
         options.append((m + q * z + WEAK_KEY_COST * weak, m, q, slack))
     _, m, q, slack = min(options)
-    slack2 = _slack((most + 1) * float(np.exp(-upper / (most + 1))))
-    return m, q, slack, most + 1 + slack2, slack2
+    slack2 = _slack(need, 0, least)
+    return m, q, slack, need + slack2, slack2
 
 
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -88,27 +98,24 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     out = []
     for band in {own, max(0, own - 1)}:
         m, q, slack, m2, slack2 = band_plan(band, num, den)
-        mixed = mix64(tokens ^ seed64(band, 1))
-        seg, value, sums, counts = _segment_sums(mixed, m)
-        tag = mix64(np.arange(m, dtype=U64) + seed64(band, 2))
-        full = counts > 0
-        out.append(mix64(sums[full] + tag[full]))
-        lost = np.flatnonzero(~full)
-        loss = len(lost)
-        if q:
-            with np.errstate(over="ignore"):
-                near = (seg < q) & (counts[seg] > 1)
-                out.append(mix64(sums[seg[near]] - value[near] + tag[seg[near]]))
-            lost = np.flatnonzero(~full | ((np.arange(m) < q) & (counts == 1)))
-            loss = len(lost) + int((lost < q).sum())
-        if loss > slack:
-            _, _, sums2, counts2 = _segment_sums(mix64(tokens ^ seed64(band, 3)), m2)
-            full2 = np.flatnonzero(counts2 > 0)
-            for i in lost.tolist():
-                out.append(mix64(sums2[full2] + mix64(full2.astype(U64) + seed64(band, 4, i))))
-                if m2 - len(full2) > slack2:
-                    out.append(np.array([seed64(band, 5, i)], U64))
-    return np.unique(np.concatenate(out))
+        for level in range(LEVELS):
+            seg, value, sums, counts = _segment_sums(mix64(tokens ^ seed64(band, level, 1)), m)
+            tag = mix64(np.arange(m, dtype=U64) + seed64(band, level, 2))
+            full = counts > 0
+            out.append(mix64(sums[full] + tag[full]))
+            empty = ~full
+            loss = int(empty.sum()) + int(empty[:q].sum())
+            if q:  # an empty subset is also the neighbour of a subset of one
+                with np.errstate(over="ignore"):
+                    near = (seg < q) & (counts[seg] > 1)
+                    out.append(mix64(sums[seg[near]] - value[near] + tag[seg[near]]))
+                loss += 2 * int((counts[:q] == 1).sum())
+            if loss <= slack:
+                break
+            m, q, slack = m2, 0, slack2
+        else:
+            out.append(np.array([seed64(band, 3)], U64))
+    return np.unique(np.concatenate(out) >> U64(64 - KEY_BITS))
 
 
 def _segment_sums(mixed: np.ndarray, m: int):
@@ -127,6 +134,18 @@ def parity_bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in KEY_BITS / 8 bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, : KEY_BITS // 8] = narrow
+    return wide.view("<u8").ravel().astype(np.int64)
+
+
 def _signature_batches(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -137,16 +156,50 @@ def _signature_batches(k: int, num: int, den: int):
                 with np.errstate(over="ignore"):
                     d1.append(int(mix64(s).sum(dtype=U64).astype(np.int64)))
                     d2.append(int(mix64(s ^ seed64(99)).sum(dtype=U64).astype(np.int64)))
-                keys.append(signatures(s, num, den).astype(np.int64))
+                keys.append(_packed(signatures(s, num, den)))
                 bits.append(parity_bits(s).tolist())
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "keys", "bits"])
 
     return run
 
 
+def shared_keys(reps: DataFrame, shards: int) -> DataFrame:
+    """(key, rep, c) of the index keys that c > 1 rows of ``reps(id, keys)`` have. Keys travel packed, by shards of their
+    space; a shard's keys are sorted in one task, and nothing of a key that one set has alone comes back."""
+
+    def send(batches):
+        for batch in batches:
+            ids, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            if not len(ids):
+                continue
+            keys = _unpacked(b"".join(blobs))
+            counts = np.array([len(b) * 8 // KEY_BITS for b in blobs], np.int64)
+            of = np.repeat(np.arange(len(ids)), counts)
+            shard = keys % shards
+            order = np.argsort(shard, kind="stable")
+            ends = np.cumsum(np.bincount(shard, minlength=shards))[:-1]
+            data = [_packed(x) for x in np.split(keys[order], ends)]
+            held, whose = [], []
+            for x in np.split(of[order], ends):  # in the order of the documents, so runs of one
+                who, n = np.unique(x, return_counts=True)
+                whose.append(ids[who].tobytes())
+                held.append(n.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(whose, pa.binary()), pa.array(held, pa.binary()), pa.array(data, pa.binary())], ["shard", "ids", "held", "keys"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpacked(x) for x in table["keys"].to_pylist()])
+        reps = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(h, np.uint32)) for i, h in zip(table["ids"].to_pylist(), table["held"].to_pylist(), strict=True)])
+        order = np.argsort(keys, kind="stable")
+        keys, reps = keys[order], reps[order]
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        count = np.repeat(np.diff(edges), np.diff(edges))
+        many = count > 1
+        return pa.table({"key": keys[many], "rep": reps[many], "c": count[many].astype(np.int64)})
+
+    sent = reps.select("id", "keys").mapInArrow(send, "shard int, ids binary, held binary, keys binary")
+    return sent.groupBy("shard").applyInArrow(meet, "key long, rep long, c long")
+
+
 def _set_batches(k: int):
     def run(batches):
         for batch in batches:
@@ -158,21 +211,32 @@ def _set_batches(k: int):
     return run
 
 
+#: Columns of the parity bits.
+BITS = ("b0", "b1", "b2", "b3")
+
+
 def may_link(a: str, b: str, num: int, den: int) -> Column:
-    """False only for pairs that can't link, by ``n`` and ``bits`` of the aliased sides a and b."""
+    """False only for pairs that can't link, by ``n`` and parity bits of the aliased sides a and b."""
     col = lambda side, name: F.col(f"{side}.{name}")
     na, nb = col(a, "n"), col(b, "n")
-    apart = sum((F.bit_count(F.get(col(a, "bits"), i).bitwiseXOR(F.get(col(b, "bits"), i))) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(col(a, c).bitwiseXOR(col(b, c))) for c in BITS), F.lit(0))
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (num + den) <= (na + nb) * (den - num))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that truly link: den * |A & B| >= num * |A | B|."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+def _verified(pairs: DataFrame, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
+    """Pairs (a, b) that truly link: den * |A & B| >= num * |A | B|. The sets are made anew from the texts ``base`` of the
+    pairs' documents alone."""
+    pairs = write_shared(pairs, "pairs")
+    ids = pairs.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = write_shared(semi_join(base, ids, "id").mapInArrow(_set_batches(words), "id long, tokens array<long>"), "sets")
+    left = sets.df.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.df.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return joined.where(both * den >= (F.size("ta") + F.size("tb") - both) * num).select("a", "b").distinct()
+    joined = pairs.df.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    good = write_shared(joined.where(both * den >= (F.size("ta") + F.size("tb") - both) * num).select("a", "b").distinct(), "links")
+    sets.drop()
+    pairs.drop()
+    return good
 
 
 def components(edges: DataFrame, name: str = "components") -> SharedTable:
@@ -215,22 +279,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are returned each; they are one node. Other columns of ``docs`` are ignored.
     """
     num, den = threshold
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = write_shared(base.mapInArrow(_signature_batches(words, num, den), "id long, n long, d1 long, d2 long, keys array<long>, bits array<long>"), "sig")
+    sig = write_shared(base.mapInArrow(_signature_batches(words, num, den), "id long, n long, d1 long, d2 long, keys binary, bits array<long>"), "sig")
     classes = sig.df.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     classes = write_shared(classes, "classes")
-    reps = sig.df.where("n > 0").select("id", "d1", "d2", "n", "keys", "bits").join(classes.df.select("d1", "d2", "n", F.col("rep").alias("id")).hint("merge"), ["id", "d1", "d2", "n"], "left_semi")
-    entries = reps.select(F.col("id").alias("rep"), F.explode("keys").alias("key"))
-    shared = entries.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
-    met = write_shared(shared, "met")
-    facts = sig.df.where("n > 0").select(F.col("id").alias("rep"), "n", "bits")
-    buckets = write_shared(met.df.join(facts.hint("merge"), "rep").select("key", "rep", "c", "n", "bits"), "buckets")
+    wanted = classes.df.select("d1", "d2", "n", F.col("rep").alias("id"))
+    reps = sig.df.where("n > 0").select("id", "d1", "d2", "n", "keys").join(wanted.hint("merge"), ["id", "d1", "d2", "n"], "left_semi")
+    met = write_shared(shared_keys(reps, max(8, shuffle_parts(docs.sparkSession))), "met")
+    facts = sig.df.where("n > 0").select(F.col("id").alias("rep"), "n", *[F.get("bits", i).alias(c) for i, c in enumerate(BITS)])
+    buckets = write_shared(met.df.join(facts.hint("merge"), "rep").select("key", "rep", "c", "n", *BITS), "buckets")
     met.drop()
-    members = buckets.df.select(F.col("rep").alias("id")).distinct()
-    sets = write_shared(semi_join(base, members, "id").mapInArrow(_set_batches(words), "id long, tokens array<long>"), "sets")
-    links = _link_classes(buckets.df, sets.df, num, den)
-    buckets.drop()
-    sets.drop()
+    slim = write_shared(sig.df.select("id", "n", "d1", "d2"), "slim")
+    sig.drop()
+    links = _link_classes(buckets, base, words, num, den)
     comp = components(links.df, "comp")
     degree = links.df.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("class_links"))
     found = (
@@ -242,8 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links.drop()
     comp.drop()
     classes.drop()
-    rows = sig.df.select("id", "n", "d1", "d2")
-    out = rows.join(mapped.df, ["d1", "d2", "n"], "left")
+    out = slim.df.join(mapped.df, ["d1", "d2", "n"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -253,27 +314,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _link_classes(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> SharedTable:
+def _link_classes(table: SharedTable, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
     """Links enough to connect every component of the link graph over classes.
 
     First each bucket's pivot against its other members; then, in buckets whose members are still in several
-    components, all pairs between components that pass ``may_link``.
+    components, all pairs between components that pass ``may_link``. Drops the buckets' ``table``.
     """
+    buckets = table.df
     mass = buckets.groupBy("rep").agg(F.sum("c").alias("mass"))
     ranked = buckets.join(mass, "rep").withColumn("rank", F.struct("mass", (-F.col("rep")).alias("r")))
-    pivot = ranked.groupBy("key").agg(F.max(F.struct("rank", "rep", "n", "bits")).alias("p")).select("key", "p.rep", "p.n", "p.bits")
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("rank", "rep", "n", *BITS)).alias("p")).select("key", "p.rep", "p.n", *[f"p.{c}" for c in BITS])
     x, y = buckets.alias("x"), pivot.alias("y")
     stars = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & may_link("x", "y", num, den))
     pairs = stars.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    links = write_shared(_verified(pairs, sets, num, den), "links")
+    links = _verified(pairs, base, words, num, den)
     label = components(links.df, "label")
     rooted = buckets.join(label.df.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = write_shared(rooted.join(mixed, "key", "left_semi").select("key", "rep", "root", "n", "bits"), "open")
+    open_ = write_shared(rooted.join(mixed, "key", "left_semi").select("key", "rep", "root", "n", *BITS), "open")
+    label.drop()
+    table.drop()
     x, y = open_.df.alias("x"), open_.df.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
-    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = write_shared(_verified(pairs, sets, num, den).unionByName(links.df).distinct(), "links")
-    for table in (open_, label, links):
-        table.drop()
+    rest = _verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), base, words, num, den)
+    open_.drop()
+    more = write_shared(rest.df.unionByName(links.df).distinct(), "links")
+    rest.drop()
+    links.drop()
     return more
