@@ -48,7 +48,7 @@ Permission is granted to anyone to use this software for any purpose, including
 def canonical(text: Column) -> Column:
     """Lower case A-Z; copyright lines dropped; all but a-z and 0-9 to single spaces; spellings made equal."""
     low = F.translate(text, _UPPER, _LOWER)
-    low = F.regexp_replace(low, r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$", "")
+    low = F.regexp_replace(low, r"(?md)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$", "")
     low = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), F.lit(" "))
     for there, here in SPELLINGS:
         low = F.replace(low, F.lit(f" {there} "), F.lit(f" {here} "))

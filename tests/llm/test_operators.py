@@ -229,11 +229,11 @@ def test_store_round_trip(spark, tmp_path):
     rows, path = corpus(), f"{tmp_path}/store"
     id_store.write_store(frame(spark, rows), path, P.path("word_bpe_49k.json"), 2, cache=40)
     assert id_store.verify_manifest(spark, path)
-    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in id_store.rebuilt(spark, path).collect()}
+    got = {r.id: (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in id_store.reconstruct(spark, path, outputs=("ids", "ids_crc32")).collect()}
     at, want = 0, {}
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
-        want[i] = (at, len(ids), zlib.crc32(brute.packed(ids)))
+        want[i] = (at, len(ids), zlib.crc32(brute.packed(ids)), brute.packed(ids))
         at += len(ids)
     assert got == want
     chunks = spark.read.parquet(f"{path}/objects").where("kind = 'chunk'")
@@ -243,9 +243,9 @@ def test_store_round_trip(spark, tmp_path):
 
 def test_store_of_nothing_and_of_repeats(spark, tmp_path):
     id_store.write_store(empty(spark), f"{tmp_path}/a", P.path("word_bpe_49k.json"), 2)
-    assert id_store.rebuilt(spark, f"{tmp_path}/a").count() == 0
+    assert id_store.reconstruct(spark, f"{tmp_path}/a").count() == 0
     id_store.write_store(frame(spark, [(None, "x"), (3, "same text"), (3, "same text")]), f"{tmp_path}/b", P.path("word_bpe_49k.json"), None)
-    assert sorted((r.id or -1, r.start) for r in id_store.rebuilt(spark, f"{tmp_path}/b").collect()) == [(-1, 0), (3, 1), (3, 3)]
+    assert sorted((r.id or -1, r.start) for r in id_store.reconstruct(spark, f"{tmp_path}/b").collect()) == [(-1, 0), (3, 1), (3, 3)]
 
 
 def test_cut_points_depend_on_content_only():
