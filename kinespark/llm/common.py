@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,11 +154,23 @@ def lowered_words(text: str | None) -> list[bytes]:
 _HELD: dict = {}
 
 
+def release_memory() -> None:
+    """At the start of a task: drop what earlier operators held in this worker and give freed memory back to the system,
+    so that a reused worker starts small."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def held(name: str, value, make):
     """A worker's state made from a broadcast ``value``: made once for it, and anew when another comes. A worker holds
     one such state at a time, so that what an earlier operator needed doesn't stay in memory."""
     got = _HELD.get(name)
     if got is None or got[0] is not value:
-        _HELD.clear()
+        release_memory()
         got = _HELD[name] = (value, make(value))
     return got[1]

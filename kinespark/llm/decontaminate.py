@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, small_batches
+
 #: The bytes that separate words (all ASCII but digits and letters), and A-Z to a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -40,18 +42,12 @@ def patterns(items: list[tuple], window: int) -> dict[str, list]:
     return {k: sorted(v) for k, v in out.items()}
 
 
-_AUTOMATA: dict = {}
-
-
-def _automaton(key, found: dict[str, list]):
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        machine = ahocorasick.Automaton()
-        for pattern, items in found.items():
-            machine.add_word(pattern, (len(pattern), items))
-        machine.make_automaton()
-        _AUTOMATA[key] = machine
-    return _AUTOMATA[key]
+def automaton(found: dict[str, list]):
+    machine = ahocorasick.Automaton()
+    for pattern, items in found.items():
+        machine.add_word(pattern, (len(pattern), items))
+    machine.make_automaton()
+    return machine
 
 
 def scan(machine, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
@@ -101,6 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     repeat are returned each. An empty benchmark gives no hits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = dict(benchmark.dtypes)[item_id]
     base = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *[F.col(c) for c in keep if c not in (id_col,)])
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema if f.name != '__text')}, n_words long, ranges array<struct<a:int,b:int>>, items array<{kind}>, spans array<struct<start:int,end:int>>, __row string"
@@ -122,7 +119,7 @@ def _scanner(shared, kind: str, many: bool):
     def run(batches):
         import hashlib
 
-        machine = _automaton(shared.id if hasattr(shared, "id") else id(shared), shared.value)
+        machine = held("automaton", shared.value, automaton)
         usable = len(shared.value) > 0
         for batch in batches:
             at = batch.schema.get_field_index("__text")

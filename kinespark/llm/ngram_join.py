@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, seed64, semi_join, shuffle_parts, small_batches, word_hashes, write_shared
+from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, release_memory, seed64, semi_join, shuffle_parts, small_batches, word_hashes, write_shared
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
@@ -148,6 +148,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _signature_batches(k: int, num: int, den: int):
     def run(batches):
+        release_memory()
         for batch in batches:
             size, d1, d2, keys, bits = [], [], [], [], []
             for text in batch.column(1):
@@ -187,8 +188,8 @@ def shared_keys(reps: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(whose, pa.binary()), pa.array(held, pa.binary()), pa.array(data, pa.binary())], ["shard", "ids", "held", "keys"])
 
     def meet(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpacked(x) for x in table["keys"].to_pylist()])
-        reps = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(h, np.uint32)) for i, h in zip(table["ids"].to_pylist(), table["held"].to_pylist(), strict=True)])
+        keys = np.concatenate([_unpacked(x.as_buffer()) for x in table["keys"]])
+        reps = np.concatenate([np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(h.as_buffer(), np.uint32)) for i, h in zip(table["ids"], table["held"], strict=True)])
         order = np.argsort(keys, kind="stable")
         keys, reps = keys[order], reps[order]
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
@@ -202,6 +203,7 @@ def shared_keys(reps: DataFrame, shards: int) -> DataFrame:
 
 def _set_batches(k: int):
     def run(batches):
+        release_memory()
         for batch in batches:
             sets = [shingles(lowered_words(t.as_py()), k).astype(np.int64) for t in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)

@@ -14,7 +14,8 @@ first part needs only the broadcast vectors, the second is 0 for bigrams without
 
 A document's score is its negative log likelihood per word, shrunk towards its language's mean as if it had
 ``prior_words`` more average words (else texts of a few words would be judged by chance). The threshold of
-a language is a quantile of the scores of trusted documents that were held out of the counts.
+a language is a quantile of the scores of trusted documents that were held out of the counts, plus a margin
+in nats per word, so that clean documents at the edge stay.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, mix64, semi_join, shuffle_cleanup, shuffle_parts, write_shared
-from .units import Bounded
+from .common import U64, ascii_words, held, mix64, semi_join, shuffle_cleanup, shuffle_parts, small_batches, write_shared
+from .units import Generations
 
 BOS, UNK = 0, 1
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
-_STATE: dict = {}
 
 
 def shape(word: bytes) -> bytes:
@@ -46,10 +46,10 @@ def shape(word: bytes) -> bytes:
 class Vocabulary:
     """Word to id, with shapes for rare words; ids under 2 ** 16."""
 
-    def __init__(self, words: list[bytes], shapes: list[bytes], cache: int = 300_000):
+    def __init__(self, words: list[bytes], shapes: list[bytes], cache: int = 100_000):
         self.ids = {w: i + 2 for i, w in enumerate([*shapes, *words])}
         self.size = len(self.ids) + 2
-        self.rare = Bounded(cache)
+        self.rare = Generations(cache)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.ids.get, words))
@@ -82,7 +82,7 @@ def count_words(docs: DataFrame, n_words: int, n_shapes: int) -> tuple[list[byte
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(ascii_words(text))
-                if len(counts) > 300_000:
+                if len(counts) > 200_000:
                     yield out()
         yield out()
 
@@ -105,10 +105,7 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _vocabulary(shared):
-    if _STATE.get("of") is not shared.value:
-        _STATE.clear()
-        _STATE.update(of=shared.value, vocabulary=Vocabulary(*shared.value))
-    return _STATE["vocabulary"]
+    return held("vocabulary", shared.value, lambda v: Vocabulary(*v))
 
 
 def count_bigrams(docs: DataFrame, shared, shards: int) -> DataFrame:
@@ -249,8 +246,8 @@ def score(docs: DataFrame, counts: DataFrame, shared, model: Smoothing, shards:
             d = np.maximum(c - m.discounts[np.minimum(c, 3).astype(int)], 0) / np.maximum(m.context[v], 1)
             gain = np.log1p(d / (m.weight[v] * m.continuation[w]))
         sums = []
-        for keys, held, docs_ in zip(right["keys"].to_pylist(), right["held"].to_pylist(), right["docs"].to_pylist(), strict=True):
-            keys = np.frombuffer(keys, np.uint32)
+        for keys, held, docs_ in zip(right["keys"], right["held"], right["docs"].to_pylist(), strict=True):
+            keys, held = np.frombuffer(keys.as_buffer(), np.uint32), held.as_buffer()
             counts_ = np.frombuffer(held, np.uint16 if len(held) == 2 * docs_ else np.uint32)
             values = np.zeros(len(keys))
             if len(known) and len(keys):
@@ -274,7 +271,7 @@ def score(docs: DataFrame, counts: DataFrame, shared, model: Smoothing, shards:
     return told.groupBy("block").applyInArrow(unite, f"id {kind}, lang string, n long, nll double")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.995, prior_words: int = 20, n_words: int = 60_000, n_shapes: int = 1_000, hold_out: int = 10) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.995, margin: float = 0.5, prior_words: int = 20, n_words: int = 60_000, n_shapes: int = 1_000, hold_out: int = 10) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, lang, n_words, perplexity (null without words), score,
     threshold and keep. ``trusted_ids``: column ``id_col`` of the documents that the model learns from.
 
@@ -283,6 +280,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     any, every document is kept. Null and empty texts have no words and are kept: there is nothing to judge.
     Rows that repeat an id are scored each; a null id is never trusted; a null lang is a language of its own.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     ids = trusted_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     trusted = semi_join(base, ids, "id")
@@ -290,7 +288,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     train = trusted.where(~held)
     words, shapes = count_words(train, min(n_words, 65_000 - n_shapes), n_shapes)
     shared = docs.sparkSession.sparkContext.broadcast((words, shapes))
-    shards = max(8, -(-shuffle_parts(docs.sparkSession) // 3))
+    shards = max(8, shuffle_parts(docs.sparkSession) // 2)
     counts = write_shared(count_bigrams(train, shared, shards), "bigrams")
     model = smoothing(counts.df, len(words) + len(shapes) + 2)
     scored = write_shared(score(base, counts.df, shared, model, shards), "scores")
@@ -310,7 +308,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     every = scores.agg(F.percentile_approx("score", F.lit(quantile), F.lit(10_000))).collect()[0][0]
     limits = docs.sparkSession.createDataFrame([(a, b) for a, b in per], "l string, threshold double")
     out = with_score(s)
-    out = out.join(F.broadcast(limits), out["lang"].eqNullSafe(limits["l"]), "left").drop("l").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
+    out = out.join(F.broadcast(limits), out["lang"].eqNullSafe(limits["l"]), "left").drop("l").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")) + margin)
     return out.select(
         F.col("id").alias(id_col),
         "lang",

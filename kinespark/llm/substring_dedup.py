@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, mix64, seed64, shuffle_cleanup, word_hashes, write_shared
+from .common import U64, ascii_words, mix64, release_memory, seed64, small_batches, word_hashes, write_shared
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -64,6 +64,7 @@ def window_prefixes(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray
 
 def _describe(window: int, prefix: int):
     def run(batches):
+        release_memory()
         for batch in batches:
             n, d1, d2, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -83,6 +84,7 @@ def _describe(window: int, prefix: int):
 
 def _extend(window: int, prefix: int):
     def run(batches):
+        release_memory()
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
@@ -127,6 +129,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other than space and U+0009 to U+000D, unchanged. Null and empty texts have no words. A null id is smaller
     and larger than none. Rows that repeat an id are one document's: they don't remove from each other.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     told = write_shared(base.mapInArrow(_describe(window, prefix), "id long, n long, d1 long, d2 long, prefixes array<long>"), "prefixes")
     long_ones = told.df.where((F.col("n") >= window) & F.col("id").isNotNull())
@@ -153,9 +156,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = [f for f in joined.schema if f.name == "__id" or f.name.startswith("__k_")]
 
     def run(batches):
+        release_memory()
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                 n, gone_, kept = [], [], []
                 for text, starts, same in zip(col["__text"].to_pylist(), col["starts"], col["copies"].to_pylist(), strict=True):
