@@ -513,7 +513,7 @@ def _declip(spark, sf_dir):
 def _suspension(spark, sf_dir):
     from .operators.suspension import suspension
 
-    s = channels(spark, sf_dir).where("idx < 400")
+    s = channels(spark, sf_dir)
     parts = (("click", "IMU0_AccelX", 0.001), ("view", "IMU0_AccelY", 0.001), ("signup", "IMU0_AccelZ", 0.01), ("error", "IMU1_AccelX", 0.001), ("purchase", "IMU1_AccelZ", 0.01))
     made = None
     for kind, name, scale in parts:
@@ -533,20 +533,20 @@ def _variance_time(spark, sf_dir):
 
 
 def _variance(spark, sf_dir, mode: str) -> DataFrame:
-    """The second loop of fixes against the first, for a channel made from the events' values."""
+    """(lap, idx, value): every later loop of 500 fixes against the first, for a channel made from the events' values.
+    Laps count from 1, idx from a lap's start; the last lap may be short."""
     from .operators.variance import Overlay, variance
 
     e = _events(spark, sf_dir).select("event_id", "value")
     f = fixes(spark, sf_dir).join(e, F.col("idx") == F.col("event_id"))
-    made = None
-    for session, start in (("a", 0), ("b", 500)):
-        cut = f.where((F.col("idx") >= start) & (F.col("idx") < start + 500))
-        for name, col in (("GPS_Latitude", "lat"), ("GPS_Longitude", "lon"), ("GPS_EpochMs", "timestamp_ms"), ("Fork", "value")):
-            one = cut.select(F.lit(session).alias("session_id"), F.lit(name).alias("channel_id"), (F.col("idx") - start).alias("idx"), ((F.col("idx") - start) / RATE).alias("t"), F.col(col).cast("double").alias("value"))
-            made = one if made is None else made.unionByName(one)
+    lap, at = F.floor(F.col("idx") / 500) + 1, F.col("idx") % 500
+    parts = (("GPS_Latitude", "lat"), ("GPS_Longitude", "lon"), ("GPS_EpochMs", "timestamp_ms"), ("Fork", "value"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("channel_id"), F.col(col).cast("double").alias("value")) for name, col in parts]))
+    made = f.select(lap.cast("string").alias("session_id"), at.alias("idx"), (at / RATE).alias("t"), each.alias("c")).select("session_id", "c.channel_id", "idx", "t", "c.value")
     data = SessionSet.from_samples(made, RATE)
-    other = SessionSet(data.samples.where("session_id = 'b'"), data.channels.where("session_id = 'b'"))
-    return variance(other, "Fork", RATE, Overlay(data, "a", (float("-inf"), float("inf")), 0.0), (0.0, 0.0), mode).select("idx", "value")
+    other = SessionSet(data.samples.where("session_id <> '1'"), data.channels.where("session_id <> '1'"))
+    out = variance(other, "Fork", RATE, Overlay(data, "1", (float("-inf"), float("inf")), 0.0), (0.0, 0.0), mode)
+    return out.select(F.col("session_id").cast("long").alias("lap"), "idx", "value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

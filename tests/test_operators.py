@@ -251,6 +251,21 @@ def test_distance_on_the_globe(spark):
 
 
 # ---- variance ----
+def test_queries_compare_every_lap_and_estimate_every_sample(spark):
+    from kinespark import queries
+
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    for mode in ("variance_time", "variance_dist"):
+        rows = queries.queries()[mode](spark, sf).groupBy("lap").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).collect()
+        want = {k + 1: min(500, events - 500 * k) for k in range(1, math.ceil(events / 500))}
+        assert len(want) > 1 and {r.lap: (r.n, r.lo, r.hi) for r in rows} == {k: (n, 0, n - 1) for k, n in want.items()}, mode
+    counts = {r.channel_id: r["count"] for r in queries.channels(spark, sf).groupBy("channel_id").count().collect()}
+    n = min(counts[c] for c in ("click", "view", "signup"))  # the axes of IMU0, cut to the shortest of them
+    got = {r.channel_id: r["count"] for r in queries.queries()["suspension"](spark, sf).groupBy("channel_id").count().collect()}
+    assert n > 400 and got == dict.fromkeys(suspension.OUTPUTS, n)
+
+
 def test_lap_against_itself_is_zero(spark):
     n = 60
     a = np.linspace(0, 2 * np.pi, n, endpoint=False)
