@@ -14,15 +14,18 @@ first part needs only the broadcast vectors, the second is 0 for bigrams without
 
 A document's score is its negative log likelihood per word, shrunk towards its language's mean as if it had
 ``prior_words`` more average words (else texts of a few words would be judged by chance). The threshold of
-a language is a quantile of the scores of trusted documents that were held out of the counts, plus a margin
-in nats per word, so that clean documents at the edge stay.
+a language is a quantile of the scores of trusted documents that were held out of the counts, plus ``margin``
+standard errors of that quantile (for normal scores of the same spread). It vanishes as held-out documents grow
+in number, and keeps clean documents where a handful of them can't show the quantile.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -271,7 +274,13 @@ def score(docs: DataFrame, counts: DataFrame, shared, model: Smoothing, shards:
     return told.groupBy("block").applyInArrow(unite, f"id {kind}, lang string, n long, nll double")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.995, margin: float = 0.5, prior_words: int = 20, n_words: int = 60_000, n_shapes: int = 1_000, hold_out: int = 10) -> DataFrame:
+def standard_error(quantile: float, sd: float, n: int) -> float:
+    """Of the quantile of ``n`` normal values with standard deviation ``sd``, estimated as mean + z sd."""
+    z = NormalDist().inv_cdf(quantile)
+    return sd * math.sqrt((1 + z * z / 2) / n)
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.995, margin: float = 1.0, prior_words: int = 20, n_words: int = 60_000, n_shapes: int = 1_000, hold_out: int = 10) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, lang, n_words, perplexity (null without words), score,
     threshold and keep. ``trusted_ids``: column ``id_col`` of the documents that the model learns from.
 
@@ -304,11 +313,14 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     found = means.withColumnRenamed("lang", "l").limit(MAX_LANGUAGES).collect()
     languages = docs.sparkSession.createDataFrame(found, "l string, mean double")
     scores = with_score(calibrate)
-    per = scores.groupBy("lang").agg(F.percentile_approx("score", F.lit(quantile), F.lit(10_000)).alias("threshold")).limit(MAX_LANGUAGES).collect()
-    every = scores.agg(F.percentile_approx("score", F.lit(quantile), F.lit(10_000))).collect()[0][0]
-    limits = docs.sparkSession.createDataFrame([(a, b) for a, b in per], "l string, threshold double")
+    sample = (F.percentile_approx("score", F.lit(quantile), F.lit(10_000)), F.stddev_samp("score"), F.count("score"))
+    per = scores.groupBy("lang").agg(*sample).limit(MAX_LANGUAGES).collect()
+    at, spread, n = scores.agg(*sample).collect()[0]
+    limit = lambda at, sd, n: at + margin * standard_error(quantile, (sd if sd is not None else spread) or 0.0, n)
+    every = None if at is None else limit(at, spread, n)
+    limits = docs.sparkSession.createDataFrame([(lang, limit(*x)) for lang, *x in per], "l string, threshold double")
     out = with_score(s)
-    out = out.join(F.broadcast(limits), out["lang"].eqNullSafe(limits["l"]), "left").drop("l").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")) + margin)
+    out = out.join(F.broadcast(limits), out["lang"].eqNullSafe(limits["l"]), "left").drop("l").withColumn("threshold", F.coalesce("threshold", F.lit(every).cast("double")))
     return out.select(
         F.col("id").alias(id_col),
         "lang",

@@ -146,6 +146,36 @@ def test_model_is_normalised_and_rejects_junk(spark):
     assert quality.classify(empty(spark), trusted).count() == 0
 
 
+def test_keep_follows_the_held_out_quantile(spark):
+    import math
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    noisy = lambda share: " ".join(r.choice(WORDS) if r.random() < share else r.choice(WORDS[:60]) for _ in range(80))
+    docs = frame(spark, list(enumerate([noisy(0.02) for _ in range(400)] + [noisy(i / 100) for i in range(100)])))
+    got = quality.classify(docs, spark.range(300).select(F.col("id").alias("doc_id"))).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).collect()
+    by = {}
+    for x in got:
+        if x.held and x.doc_id < 300:
+            by.setdefault(x.lang, []).append((x.n_words * math.log(x.perplexity), x.n_words))
+    mean = {lang: sum(a for a, _ in v) / sum(n for _, n in v) for lang, v in by.items()}
+    plain = lambda lang, nll, n: (nll + 20 * mean[lang]) / (n + 20)
+    z, within = statistics.NormalDist().inv_cdf(0.995), 0
+    assert set(by) == {"en", None}
+    for lang, v in by.items():
+        held = sorted(plain(lang, *x) for x in v)
+        at = held[math.ceil(0.995 * len(held)) - 1]
+        limit = at + statistics.stdev(held) * math.sqrt((1 + z * z / 2) / len(held))
+        for x in (x for x in got if x.lang == lang):
+            own = plain(lang, x.n_words * math.log(x.perplexity), x.n_words)
+            assert abs(x.score - own) < 1e-6 and abs(x.threshold - limit) < 1e-6
+            assert x.keep == (own <= limit)
+            within += not x.keep and own <= at + 0.5
+    assert within  # the edge of 0.5 nats that a fixed margin once kept
+
+
 def test_scores_match_a_plain_kneser_ney(spark):
     import math
     from collections import Counter
