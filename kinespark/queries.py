@@ -55,6 +55,11 @@ def common(spark: SparkSession, sf_dir: str) -> SessionSet:
     return SessionSet.from_samples(s.where(F.col("idx") < n), RATE)
 
 
+def whole(spark: SparkSession, sf_dir: str, channel: str) -> SessionSet:
+    """One channel at its own length, for expressions that combine it with no other."""
+    return SessionSet.from_samples(channels(spark, sf_dir).where(F.col("channel_id") == channel), RATE)
+
+
 S_SQL = """s AS (SELECT 's0' AS session_id, event_type AS channel_id,
   CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS idx,
   CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS DOUBLE) / 10.0 AS t,
@@ -496,17 +501,17 @@ def _sag(spark, sf_dir):
 
 @query("butter_low")
 def _butter_low(spark, sf_dir):
-    return evaluate(common(spark, sf_dir), "butter(4, 1.5, 'low', [click])")[0].select("idx", "value")
+    return evaluate(whole(spark, sf_dir, "click"), "butter(4, 1.5, 'low', [click])")[0].select("idx", "value")
 
 
 @query("butter_high")
 def _butter_high(spark, sf_dir):
-    return evaluate(common(spark, sf_dir), "butter(3, 0.5, 'high', [click])")[0].select("idx", "value")
+    return evaluate(whole(spark, sf_dir, "click"), "butter(3, 0.5, 'high', [click])")[0].select("idx", "value")
 
 
 @query("declip")
 def _declip(spark, sf_dir):
-    return evaluate(common(spark, sf_dir), "declip(clamp([click], -32, 32))")[0].select("idx", "value")
+    return evaluate(whole(spark, sf_dir, "click"), "declip(clamp([click], -32, 32))")[0].select("idx", "value")
 
 
 @query("suspension")

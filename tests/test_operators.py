@@ -116,6 +116,16 @@ def test_filters():
     assert len(filters.zero_phase(np.empty(0), 2, 5, "low", rate)) == 0 and len(filters.zero_phase(np.ones(2), 4, 5, "low", rate)) == 2
 
 
+def test_queries_of_one_channel_take_it_whole(spark):
+    from kinespark import queries
+
+    sf = "/root/testdata/sf0.01"
+    counts = {r.channel_id: r["count"] for r in queries.channels(spark, sf).groupBy("channel_id").count().collect()}
+    assert counts["click"] > min(counts.values())
+    for name in ("butter_low", "butter_high", "declip"):
+        assert queries.queries()[name](spark, sf).count() == counts["click"], name
+
+
 def test_declip():
     t = np.arange(64)
     x = 20 * np.sin(2 * np.pi * t / 64) ** 3 + 25
