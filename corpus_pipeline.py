@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component of near duplicates (five words, 0.8); empty texts stay."""
-    found = ngram_join.near_duplicates(docs, words=5, threshold=(80, 100))
+    found = ngram_join.near_duplicates(docs, words=5, threshold=(80, 100), count_links=False)
     gone = write_shared(found.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
     return docs.join(gone.df.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 

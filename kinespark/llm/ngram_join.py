@@ -271,10 +271,13 @@ def components(edges: DataFrame, name: str = "components") -> SharedTable:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100), count_links: bool = True) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, n_shingles (set size), class_id (smallest id with an
-    equal set), component_id (smallest id reachable by links, itself included), class_links (links verified
-    for its class).
+    equal set), component_id (smallest id reachable by links, itself included), class_links (ids of other
+    classes that its set links with: every link to another text, by the ids that have it).
+
+    Counting verifies all pairs of a component, as many as it has links; without ``count_links`` only enough
+    of them to connect the components, and class_links is left out.
 
     Nulls and empty texts have an empty set: they link with nothing and are their own component. Equal
     sets link. A null id takes part by its text; its component_id is the smallest id reached, or null.
@@ -294,14 +297,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met.drop()
     slim = write_shared(sig.df.select("id", "n", "d1", "d2"), "slim")
     sig.drop()
-    links = _link_classes(buckets, base, words, num, den)
+    links = (_all_links if count_links else _link_classes)(buckets, base, words, num, den)
     comp = components(links.df, "comp")
-    degree = links.df.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("class_links"))
-    found = (
-        classes.df.join(comp.df.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .join(degree, "rep", "left")
-        .select("d1", "d2", "n", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
-    )
+    found = classes.df.join(comp.df.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    if count_links:
+        sizes = slim.df.where("n > 0 and id is not null").distinct().groupBy("d1", "d2", "n").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("size")).select("other", "size")
+        ends = links.df.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.df.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+        degree = ends.join(sizes, "other").groupBy("rep").agg(F.sum("size").alias("class_links"))
+        found = found.join(degree, "rep", "left")
+    found = found.select("d1", "d2", "n", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), *["class_links"] * count_links)
     mapped = write_shared(found, "mapped")
     links.drop()
     comp.drop()
@@ -312,10 +316,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links"),
+        *[F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")] * count_links,
     )
 
 
+#: Members of a bucket that meet all others of it in one task.
+HOT_BUCKET = 1_000
+
+
+def _all_links(table: SharedTable, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
+    """Every link between classes: all pairs of a bucket that pass ``may_link``, verified; large buckets are split into
+    parts, of which each meets the whole bucket. Drops the buckets' ``table``."""
+    parts = F.ceil(F.col("c") / HOT_BUCKET)
+    x = table.df.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).alias("x")
+    y = table.df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & may_link("x", "y", num, den))
+    links = _verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), base, words, num, den)
+    table.drop()
+    return links
+
+
 def _link_classes(table: SharedTable, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
     """Links enough to connect every component of the link graph over classes.
 

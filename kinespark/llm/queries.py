@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), words=3, threshold=(90, 100))
+    found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), words=3, threshold=(90, 100), count_links=False)
     return found.select("doc_id", "n_shingles", "component_id")
 
 

@@ -53,6 +53,32 @@ def test_components_match_brute_force(spark, k, num, den):
     assert got == brute.jaccard_components(rows, k, num, den)
 
 
+def test_class_links_count_every_link(spark, monkeypatch):
+    r = random.Random(4)
+    base = r.choices(WORDS, k=200)
+    texts = [" ".join(base)] * 3
+    for i in range(25):  # near copies of one text, which link with each other too
+        words = list(base)
+        words[7 * i] = f"new{i}"
+        texts += [" ".join(words)] * (1 + i % 2)
+    rows = [*corpus(), *((100 + i, t) for i, t in enumerate(texts)), (103, texts[3])]
+    sets = {}
+    for i, t in rows:
+        w = brute.SPACE_WORD.findall((t or "").translate(brute.LOWER))
+        if w:
+            sets.setdefault(frozenset(tuple(w[j : j + 3]) for j in range(len(w) - 2)) or frozenset([tuple(w)]), set()).add(i)
+    want = {}
+    for a, ids in sets.items():
+        n = sum(len(other) for b, other in sets.items() if a != b and 100 * len(a & b) >= 90 * len(a | b))
+        want |= {i: (min(ids), n) for i in ids}
+    assert max(n for _, n in want.values()) > 30
+    monkeypatch.setattr(ngram_join, "HOT_BUCKET", 4)
+    found = ngram_join.near_duplicates(frame(spark, rows), words=3, threshold=(90, 100)).collect()
+    assert {x.doc_id: (x.class_id, x.class_links) for x in found if x.n_shingles} == want
+    few = ngram_join.near_duplicates(frame(spark, rows), words=3, threshold=(90, 100), count_links=False).collect()
+    assert sorted((x.doc_id, x.component_id) for x in few) == sorted((x.doc_id, x.component_id) for x in found)
+
+
 def test_join_degenerate_inputs(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "c b a"), (4, None)]
