@@ -1,12 +1,13 @@
 """Substring dedup: passages of ``window`` words that occur in an earlier document are removed.
 
-Method: prefix-partitioned suffix trees. A suffix matters only if it starts a run of ``window`` words that
-occurs in another document, i.e. if it lies under a node of depth >= ``window`` with suffixes of two documents.
+Method: window hashing in place of prefix-partitioned suffix trees. No tree is built: prefixes have a fixed length,
+and there are no memory-sized groups and no internal nodes. Below, a node is the hash of a whole window. A suffix
+matters only if it starts a run of ``window`` words that occurs in another document.
 1. Each window of a document names the prefix it is filed under: the ``prefix``-word run of smallest hash
    inside it (equal windows name equal prefixes). Prefixes of one document only are dropped with their whole
    subtree; that needs about 2 / (window - prefix + 2) of the positions.
-2. Only suffixes under shared prefixes are extended to depth ``window``: the prefix grows from ``prefix`` to
-   ``window`` words, which splits every large group, and the node reached is known by its hash (of 64 bits).
+2. Only suffixes under shared prefixes are extended to ``window`` words at once, and the node is the hash of those words
+   (of 64 bits).
    Nodes are spread over tasks by that hash, and each gives its smallest document.
 3. Windows at a node with a smaller document are the repeats; adjacent ones unite to maximal repeats.
 Documents of equal word sequences are settled beforehand by digest, so groups of exact copies never reach a tree.
