@@ -12,14 +12,16 @@ Cost-based allocation: ``band_plan`` chooses how many segments get v = 1 by weig
 against weak keys (subsets of at most one shingle, where unlike sets meet). Empty subsets are the
 dearest keys and are never indexed; the slack s pays for them. Two similar sets miss each other only
 if both lose more than s this way, so such a set goes on to a second, independent partition, then to
-a third, and so on; one that loses too much in all of LEVELS meets all others of that kind.
+a third, and so on; sets that lose too much in all of LEVELS meet on their first H + 1 shingles by hash, one key
+each: sets that differ in at most H shingles share one of these.
 
 Candidates are verified exactly on whole shingle sets (64-bit shingle hashes). Sets that are
 equal collapse to one class first. A round verifies each member of a bucket against one pivot (the
 member that shares most buckets) and contracts links to components; then members of different
 components are compared. Both joins carry an exact filter in their condition, so that pairs which
-can't link are never emitted: sizes, and the parity of 256 hashed bits, of which two sets differ in
-no more places than they differ in shingles.
+can't link are never emitted: sizes, and parities of hashed bits, of which two sets differ in
+no more places than they differ in shingles. 256 bits tell small sets apart; larger ones bring as many as a
+fraction of their size for the second join (``wide_bits``), or their unlike pairs would grow with the square of a bucket.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int, int, int, int]:
     """(m segments, the first q of them with threshold 1, slack s; m and s of further partitions) of a band."""
     edges = band_edges(num, den)
     least, upper = edges[band], edges[band + 1] - 1
-    need = upper * (den - num) // num + 1  # one more than a similar pair whose smaller set is in the band may differ
+    need = _need(band, num, den)
     options = []
     for part in (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1):
         q = int(part * need / 2)
@@ -89,6 +91,11 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int, int, int, int]:
     return m, q, slack, need + slack2, slack2
 
 
+def _need(band: int, num: int, den: int) -> int:
+    """One more than the shingles in which a similar pair whose smaller set is in the band may differ."""
+    return (band_edges(num, den)[band + 1] - 1) * (den - num) // num + 1
+
+
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """Index keys of one set of distinct tokens."""
     n = len(tokens)
@@ -114,7 +121,7 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
                 break
             m, q, slack = m2, 0, slack2
         else:
-            out.append(np.array([seed64(band, 3)], U64))
+            out.append(np.sort(mix64(tokens ^ seed64(band, 3)))[: _need(band, num, den)])
     return np.unique(np.concatenate(out) >> U64(64 - KEY_BITS))
 
 
@@ -128,12 +135,25 @@ def _segment_sums(mixed: np.ndarray, m: int):
     return seg, value, sums, np.bincount(seg, minlength=m)
 
 
-def parity_bits(tokens: np.ndarray) -> np.ndarray:
-    """256 bits as four long integers: each token flips one. Sets that differ in d tokens differ in at most d bits."""
-    bits = np.bincount((mix64(tokens ^ seed64(98)) >> U64(56)).astype(np.int64), minlength=256) & 1
+def parity_bits(tokens: np.ndarray, width: int = 256) -> np.ndarray:
+    """``width`` bits (a power of two) as long integers: each token flips one. Sets that differ in d tokens differ in at most
+    d bits. The xor of the two halves is what half the width gives."""
+    bits = np.bincount((mix64(tokens ^ seed64(98)) & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+#: Most bits that a set brings to the second join, for each of its buckets. More would part still larger sets.
+WIDE_MOST = 1024
+
+
+def wide_bits(n: int, num: int, den: int) -> int:
+    """Bits that tell sets of about n tokens apart: over 2.5 times what similar ones may differ in; 0 where 256 do."""
+    width = 256
+    while width < WIDE_MOST and 2 * width < 5 * (2 * n * (den - num) // (num + den)):
+        width *= 2
+    return width if width > 256 else 0
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Keys in KEY_BITS / 8 bytes each."""
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
@@ -150,7 +170,7 @@ def _signature_batches(k: int, num: int, den: int):
     def run(batches):
         release_memory()
         for batch in batches:
-            size, d1, d2, keys, bits = [], [], [], [], []
+            size, d1, d2, keys, bits, wide = [], [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(lowered_words(text.as_py()), k)
                 size.append(len(s))
@@ -159,7 +179,12 @@ def _signature_batches(k: int, num: int, den: int):
                     d2.append(int(mix64(s ^ seed64(99)).sum(dtype=U64).astype(np.int64)))
                 keys.append(_packed(signatures(s, num, den)))
                 bits.append(parity_bits(s).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "keys", "bits"])
+                width = wide_bits(len(s), num, den)
+                wide.append(parity_bits(s, width).tolist() if width else None)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (size, d1, d2)], pa.array(keys, pa.binary()), pa.array(bits, longs), pa.array(wide, longs)], ["id", "anon", "n", "d1", "d2", "keys", "bits", "wide"]
+            )
 
     return run
 
@@ -225,6 +250,18 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (num + den) <= (na + nb) * (den - num))
 
 
+def may_link_wide(a: str, b: str, num: int, den: int) -> Column:
+    """The same by the wide bits, where both sides have them; the wider is folded to the other's width."""
+    wa, wb = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+
+    def folded(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    apart = F.aggregate(F.zip_with(folded(wa, wb), folded(wb, wa), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + x)
+    return wa.isNull() | wb.isNull() | (apart * (num + den) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (den - num))
+
+
 def _verified(pairs: DataFrame, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
     """Pairs (a, b) that truly link: den * |A & B| >= num * |A | B|. The sets are made anew from the texts ``base`` of the
     pairs' documents alone."""
@@ -280,13 +317,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of them to connect the components, and class_links is left out.
 
     Nulls and empty texts have an empty set: they link with nothing and are their own component. Equal
-    sets link. A null id takes part by its text; its component_id is the smallest id reached, or null.
-    Rows that repeat an id are returned each; they are one node. Other columns of ``docs`` are ignored.
+    sets link. A null id takes part by its text (within, as a number of 62 bits or more made from it; ids are taken to
+    be smaller); class_id and component_id are the smallest id with an equal set and the smallest reached, or null where
+    all of these are null. Rows that repeat an id are returned each; they are one node. Other columns are ignored.
     """
     num, den = threshold
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = write_shared(base.mapInArrow(_signature_batches(words, num, den), "id long, n long, d1 long, d2 long, keys binary, bits array<long>"), "sig")
+    given = F.col(id_col).cast("long")
+    base = docs.select(F.coalesce(given, F.xxhash64(text_col).bitwiseAND(_ANONYMOUS - 1).bitwiseOR(_ANONYMOUS)).alias("id"), F.col(text_col).alias("text"), given.isNull().alias("anon"))
+    sig = write_shared(base.mapInArrow(_signature_batches(words, num, den), "id long, anon boolean, n long, d1 long, d2 long, keys binary, bits array<long>, wide array<long>"), "sig")
     classes = sig.df.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     classes = write_shared(classes, "classes")
     wanted = classes.df.select("d1", "d2", "n", F.col("rep").alias("id"))
@@ -295,13 +334,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = sig.df.where("n > 0").select(F.col("id").alias("rep"), "n", *[F.get("bits", i).alias(c) for i, c in enumerate(BITS)])
     buckets = write_shared(met.df.join(facts.hint("merge"), "rep").select("key", "rep", "c", "n", *BITS), "buckets")
     met.drop()
-    slim = write_shared(sig.df.select("id", "n", "d1", "d2"), "slim")
+    slim = write_shared(sig.df.select("id", "anon", "n", "d1", "d2", "wide"), "slim")
     sig.drop()
-    links = (_all_links if count_links else _link_classes)(buckets, base, words, num, den)
+    wide = slim.df.where("wide is not null").select(F.col("id").alias("rep"), "wide")
+    links = (_all_links if count_links else _link_classes)(buckets, wide, base, words, num, den)
     comp = components(links.df, "comp")
     found = classes.df.join(comp.df.select(F.col("node").alias("rep"), "root"), "rep", "left")
     if count_links:
-        sizes = slim.df.where("n > 0 and id is not null").distinct().groupBy("d1", "d2", "n").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("size")).select("other", "size")
+        sizes = slim.df.where("n > 0 and not anon").select("id", "n", "d1", "d2").distinct().groupBy("d1", "d2", "n").agg(F.min("id").alias("other"), F.count(F.lit(1)).alias("size")).select("other", "size")
         ends = links.df.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.df.select(F.col("b").alias("rep"), F.col("a").alias("other")))
         degree = ends.join(sizes, "other").groupBy("rep").agg(F.sum("size").alias("class_links"))
         found = found.join(degree, "rep", "left")
@@ -311,36 +351,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp.drop()
     classes.drop()
     out = slim.df.join(mapped.df, ["d1", "d2", "n"], "left")
+    named = lambda c: F.when(~F.col("anon") | (F.col(c) < _ANONYMOUS), F.col(c))
     return out.select(
-        F.col("id").alias(id_col),
+        F.when(~F.col("anon"), F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce(named("class_id"), F.when(~F.col("anon"), F.col("id"))).alias("class_id"),
+        F.coalesce(named("component_id"), F.when(~F.col("anon"), F.col("id"))).alias("component_id"),
         *[F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")] * count_links,
     )
 
 
+#: Null ids are numbers from here on.
+_ANONYMOUS = 1 << 62
 #: Members of a bucket that meet all others of it in one task.
 HOT_BUCKET = 1_000
 
 
-def _all_links(table: SharedTable, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
-    """Every link between classes: all pairs of a bucket that pass ``may_link``, verified; large buckets are split into
-    parts, of which each meets the whole bucket. Drops the buckets' ``table``."""
+def _meetings(buckets: DataFrame, wide: DataFrame, num: int, den: int, apart: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket that the filters can't turn away and that are ``apart``. ``buckets``: key,
+    rep, c (members of the bucket), n and parity bits. Large buckets are split into parts, of which each meets the whole."""
     parts = F.ceil(F.col("c") / HOT_BUCKET)
-    x = table.df.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).alias("x")
-    y = table.df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & may_link("x", "y", num, den))
-    links = _verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), base, words, num, den)
+    rows = buckets.join(wide.hint("merge"), "rep", "left")
+    x = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
+    where = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep"))
+    if apart is not None:
+        where = where & apart
+    met = x.join(y, where & may_link("x", "y", num, den) & may_link_wide("x", "y", num, den))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def _all_links(table: SharedTable, wide: DataFrame, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
+    """Every link between classes: all pairs of a bucket that pass the filters, verified. Drops the buckets' ``table``."""
+    links = _verified(_meetings(table.df, wide, num, den), base, words, num, den)
     table.drop()
     return links
 
 
-def _link_classes(table: SharedTable, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
+def _link_classes(table: SharedTable, wide: DataFrame, base: DataFrame, words: int, num: int, den: int) -> SharedTable:
     """Links enough to connect every component of the link graph over classes.
 
     First each bucket's pivot against its other members; then, in buckets whose members are still in several
-    components, all pairs between components that pass ``may_link``. Drops the buckets' ``table``.
+    components, all pairs between components that pass the filters. Drops the buckets' ``table``.
     """
     buckets = table.df
     mass = buckets.groupBy("rep").agg(F.sum("c").alias("mass"))
@@ -351,14 +403,12 @@ def _link_classes(table: SharedTable, base: DataFrame, words: int, num: int, den
     pairs = stars.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     links = _verified(pairs, base, words, num, den)
     label = components(links.df, "label")
-    rooted = buckets.join(label.df.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = write_shared(rooted.join(mixed, "key", "left_semi").select("key", "rep", "root", "n", *BITS), "open")
+    rooted = buckets.join(label.df.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).drop("c")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("key", "c")
+    open_ = write_shared(rooted.join(mixed, "key").select("key", "rep", "c", "root", "n", *BITS), "open")
     label.drop()
     table.drop()
-    x, y = open_.df.alias("x"), open_.df.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
-    rest = _verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), base, words, num, den)
+    rest = _verified(_meetings(open_.df, wide, num, den, F.col("x.root") != F.col("y.root")), base, words, num, den)
     open_.drop()
     more = write_shared(rest.df.unionByName(links.df).distinct(), "links")
     rest.drop()
