@@ -1,15 +1,18 @@
 """Substring dedup: passages of ``window`` words that occur in an earlier document are removed.
 
-Method: window hashing in place of prefix-partitioned suffix trees. No tree is built: prefixes have a fixed length,
-and there are no memory-sized groups and no internal nodes. Below, a node is the hash of a whole window. A suffix
-matters only if it starts a run of ``window`` words that occurs in another document.
-1. Each window of a document names the prefix it is filed under: the ``prefix``-word run of smallest hash
-   inside it (equal windows name equal prefixes). Prefixes of one document only are dropped with their whole
-   subtree; that needs about 2 / (window - prefix + 2) of the positions.
-2. Only suffixes under shared prefixes are extended to ``window`` words at once, and the node is the hash of those words
-   (of 64 bits).
-   Nodes are spread over tasks by that hash, and each gives its smallest document.
-3. Windows at a node with a smaller document are the repeats; adjacent ones unite to maximal repeats.
+Method: suffix trees, partitioned by prefixes, over the suffixes that can start a run of ``window`` words that
+another document holds.
+1. Each window of a document is filed under a prefix: the run of ``prefix`` words of smallest hash inside it, the
+   leftmost if it repeats (equal windows are filed under equal prefixes at equal places). Adjacent windows mostly have
+   theirs in common; the words from the first of such windows to the end of the last are one context.
+2. Counts of documents for each prefix decide how it goes on. Prefixes of one document are dropped with their whole
+   subtree. Prefixes of at most ``group_size`` documents are dealt to groups that fit in memory, with their contexts.
+   Longer prefixes split the others: a window is the longest that its own words determine, so these are filed under
+   whole windows, each of which is a single node that needs no tree, only its smallest document (aggregated
+   before and after the shuffle).
+3. A group builds the subtree of its contexts' suffixes level by level, down to depth ``window``: nodes of depth 2 k are
+   pairs of nodes of depth k. Words are compared as words, not by hash. Internal nodes at that depth with two
+   documents are the repeats, the smallest document keeps them; adjacent ones unite to maximal repeats.
 Documents of equal word sequences are settled beforehand by digest, so groups of exact copies never reach a tree.
 """
 
@@ -18,11 +21,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, mix64, release_memory, seed64, small_batches, word_hashes, write_shared
+from .common import U64, ascii_words, mix64, release_memory, seed64, shuffle_parts, small_batches, word_hashes, write_shared
+from .units import slices
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,22 +57,37 @@ def rolling(h: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def window_prefixes(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the window at each start, hash of the prefix it is filed under)."""
+    """(hash of the prefix each window is filed under, place of that prefix), by the window's start."""
     if len(h) < window:
-        return np.empty(0, U64), np.empty(0, U64)
-    small, whole = rolling(h, (prefix, window))
-    out = np.empty(len(whole), U64)
+        return np.empty(0, U64), np.empty(0, np.int64)
+    (small,) = rolling(h, (prefix,))
     span = window - prefix + 1
-    for start in range(0, len(whole), 65_536):
-        end = min(len(whole), start + 65_536)
-        out[start:end] = np.lib.stride_tricks.sliding_window_view(small[start : end + span - 1], span).min(axis=1)
-    return whole, out
+    count = len(h) - window + 1
+    at = np.empty(count, np.int64)
+    for start in range(0, count, 65_536):
+        end = min(count, start + 65_536)
+        at[start:end] = np.lib.stride_tricks.sliding_window_view(small[start : end + span - 1], span).argmin(axis=1) + np.arange(start, end)
+    return small[at], at
+
+
+def contexts(words: list[bytes], window: int, prefix: int, wanted: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
+    """(prefix, text of a context) -> places where it starts, of the windows filed under ``wanted`` prefixes."""
+    under, at = window_prefixes(word_hashes(words), window, prefix)
+    out: dict[tuple[int, bytes], list[int]] = {}
+    if not len(under):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    use = np.isin(under[first], wanted)
+    for key, a, b in zip(under[first][use].astype(np.int64).tolist(), first[use].tolist(), last[use].tolist(), strict=True):
+        out.setdefault((key, b" ".join(words[a : b + window])), []).append(a)
+    return out
 
 
 def _describe(window: int, prefix: int):
     def run(batches):
         release_memory()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             n, d1, d2, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = ascii_words(text)
@@ -75,7 +96,7 @@ def _describe(window: int, prefix: int):
                 digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                lists.append(np.unique(window_prefixes(h, window, prefix)[1]).astype(np.int64))
+                lists.append(np.unique(window_prefixes(h, window, prefix)[0]).astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "d1", "d2", "prefixes"])
@@ -83,28 +104,86 @@ def _describe(window: int, prefix: int):
     return run
 
 
-def _extend(window: int, prefix: int):
+def _prefixes(column) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False).astype(np.int64).astype(U64) if column.is_valid else np.empty(0, U64)
+
+
+def _send_contexts(window: int, prefix: int, groups: int):
+    """Rows (group, id, starts, text): each distinct context of a document once, with the places where it starts."""
+
     def run(batches):
         release_memory()
         for whole in batches:
-            for start in range(0, whole.num_rows, 200):
-                batch = whole.slice(start, 200)
-                nodes, ids, starts, rest = [], [], [], []
-                for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    node, under = window_prefixes(word_hashes(ascii_words(text)), window, prefix)
-                    found = np.flatnonzero(np.isin(under, shared.values.to_numpy(zero_copy_only=False).astype(np.int64).astype(U64)))
-                    # one row for each node of a document, however often the document repeats it
-                    unique, first, count = np.unique(node[found], return_index=True, return_counts=True)
-                    nodes.append(unique.astype(np.int64))
-                    ids.append(np.full(len(unique), doc, np.int64))
-                    starts.append(found[first].astype(np.int32))
-                    more: list = [None] * len(unique)
-                    if (count > 1).any():
-                        order = np.argsort(node[found], kind="stable")
-                        for i, part in enumerate(np.split(found[order], np.cumsum(count)[:-1])):
-                            more[i] = part[1:].astype(np.int32) if count[i] > 1 else None
-                    rest += more
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (nodes, ids, starts)], pa.array(rest, pa.list_(pa.int32()))], ["node", "id", "start", "rest"])
+            for batch in slices(whole, 1):
+                group, ids, starts, texts = [], [], [], []
+                for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    for (key, body), places in contexts(ascii_words(text), window, prefix, _prefixes(wanted)).items():
+                        group.append(key % groups)
+                        ids.append(doc)
+                        starts.append(places)
+                        texts.append(body.decode())
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["group", "id", "starts", "text"])
+
+    return run
+
+
+def deep_nodes(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, node) of each suffix of at least ``window`` words of the contexts ``texts``, in order: its node at depth
+    ``window`` of their suffix tree. Level by level: a node of depth 2 k is the pair of the nodes of depth k on its path."""
+    lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    node = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    depth = 1
+    pair = lambda x, y: pd.factorize(x * (int(y.max()) + 1) + y)[0].astype(np.int64)
+    while 2 * depth <= window:
+        node = pair(node[:-depth], node[depth:])
+        depth *= 2
+    count = np.diff(offsets) - window + 1
+    context = np.repeat(np.arange(len(count)), count)
+    start = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[:-1], count)
+    return context, pair(node[start], node[start + window - depth])
+
+
+def _subtree(window: int):
+    """Of a group's contexts: the windows' starts whose node has a smaller document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table["id"].to_numpy()
+        context, node = deep_nodes(table["text"].chunk(0), window)
+        of = ids[context]
+        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, of)
+        gone = np.flatnonzero(least[node] < of)
+        begin = np.searchsorted(context, np.arange(len(ids)))
+        out_ids, out = [], []
+        which, first = np.unique(context[gone], return_index=True)
+        places = table["starts"].chunk(0)
+        for k, part in zip(which.tolist(), np.split(gone, first)[1:], strict=True):
+            starts = places[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
+            out_ids.append(int(ids[k]))
+            out.append((starts[:, None] + (part - begin[k])[None, :]).ravel().astype(np.int32))
+        return pa.table({"id": pa.array(out_ids, pa.int64()), "starts": pa.array(out, pa.list_(pa.int32()))})
+
+    return run
+
+
+def _whole_windows(window: int, prefix: int):
+    """Rows (d1, d2, id, starts): the digest of each distinct window of a document that is filed under one of its ``wanted``
+    prefixes."""
+
+    def run(batches):
+        release_memory()
+        for batch in batches:
+            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = ascii_words(text)
+                under, _ = window_prefixes(word_hashes(words), window, prefix)
+                found: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(np.isin(under, _prefixes(wanted))).tolist():
+                    found.setdefault(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), []).append(i)
+                halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([doc] * len(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))], ["d1", "d2", "id", "starts"])
 
     return run
 
@@ -121,7 +200,7 @@ def kept_words(words: list, starts, window: int) -> list:
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 50, prefix: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 50, prefix: int = 8, group_size: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, the columns in ``keep``, n_words, n_removed, kept_text (kept
     words joined by one space; null where the text is null).
 
@@ -138,13 +217,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = long_ones.select("id", "d1", "d2", "n").join(first.df.hint("merge"), ["d1", "d2", "n"]).where("id > first").select("id", F.lit(True).alias("copy"), "d1", "d2")
     heads = long_ones.join(first.df.select("d1", "d2", "n", F.col("first").alias("id")).hint("merge"), ["id", "d1", "d2", "n"], "left_semi")
     entries = heads.select("id", F.explode("prefixes").alias("prefix"))
-    w = Window.partitionBy("prefix")
-    shared = entries.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo < hi")
-    lists = write_shared(shared.groupBy("id").agg(F.collect_set("prefix").alias("shared")), "shared")
-    suffixes = base.where("id is not null").hint("merge").join(lists.df.hint("merge"), "id").select("id", "text", "shared").mapInArrow(_extend(window, prefix), "node long, id long, start int, rest array<int>")
-    repeats = suffixes.withColumn("lo", F.min("id").over(Window.partitionBy("node"))).where("lo < id")
-    removed = repeats.groupBy("id").agg(F.concat(F.collect_list("start"), F.flatten(F.collect_list("rest"))).alias("starts"))
+    counted = entries.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("docs"))
+    shared = write_shared(counted.where("lo < hi").select("prefix", "docs"), "shared")
+    n_small, n_hot = shared.df.agg(F.sum(F.when(F.col("docs") <= group_size, F.col("docs"))), F.count(F.when(F.col("docs") > group_size, 1))).first()
+    mine = entries.join(shared.df.hint("merge"), "prefix")
+    lists = write_shared(mine.groupBy("id").agg(*[F.collect_set(F.when(x, F.col("prefix"))).alias(name) for name, x in (("small", F.col("docs") <= group_size), ("hot", F.col("docs") > group_size))]), "lists")
+    texts = base.where("id is not null").hint("merge").join(lists.df.hint("merge"), "id")
+    groups = max(shuffle_parts(docs.sparkSession), -(-(n_small or 0) // (4 * group_size)))
+    sent = texts.where("size(small) > 0").select("id", "text", "small").mapInArrow(_send_contexts(window, prefix, groups), "group long, id long, starts array<int>, text string")
+    repeats = sent.groupBy("group").applyInArrow(_subtree(window), "id long, starts array<int>")
+    if n_hot:
+        made = texts.where("size(hot) > 0").select("id", "text", "hot").mapInArrow(_whole_windows(window, prefix), "d1 long, d2 long, id long, starts array<int>")
+        nodes = write_shared(made, "nodes")
+        least = write_shared(nodes.df.groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "least")
+        repeats = repeats.unionByName(nodes.df.join(least.df.hint("merge"), ["d1", "d2"]).where("lo < id").select("id", "starts"))
+    removed = repeats.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     gone = write_shared(removed, "removed")
+    if n_hot:
+        nodes.drop()
+        least.drop()
+    shared.drop()
     copied = write_shared(copies.groupBy("id").agg(F.collect_set(F.struct("d1", "d2")).alias("copies")), "copied")
     for table in (lists, first, told):
         table.drop()
@@ -159,8 +251,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         release_memory()
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in slices(whole, whole.schema.get_field_index("__text")):
                 col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                 n, gone_, kept = [], [], []
                 for text, starts, same in zip(col["__text"].to_pylist(), col["starts"], col["copies"].to_pylist(), strict=True):

@@ -376,10 +376,10 @@ def test_media_columns(spark):
 
 
 # ---- 10 ----
-@pytest.mark.parametrize(("window", "prefix"), [(50, 8), (10, 3), (4, 4)])
-def test_substring_dedup(spark, window, prefix):
+@pytest.mark.parametrize(("window", "prefix", "group_size"), [(50, 8, 4096), (10, 3, 4096), (4, 4, 4096), (50, 8, 3), (10, 3, 1), (1, 1, 5)])
+def test_substring_dedup(spark, window, prefix, group_size):
     rows = corpus()
-    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text or "")) for r in substring_dedup.dedup_substrings(frame(spark, rows), window=window, prefix=prefix).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text or "")) for r in substring_dedup.dedup_substrings(frame(spark, rows), window=window, prefix=prefix, group_size=group_size).collect()}
     assert got == brute.substring(rows, window)
 
 
