@@ -1,16 +1,19 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are those between ASCII white space. The vocabulary holds the most frequent words of the trusted
-text, a fixed number, and the most frequent shapes (case, digit and mark patterns) for all other words, so
-everything kept for each word has a proven bound and is broadcast. Bigrams grow with the corpus: their
-counts are sharded by the hash of the bigram and stay in a table of the shared folder; documents send
-their bigrams to the shards, packed by blocks of documents, and each shard returns its part of every
-document's log probability. That is
+Words are those between ASCII white space, each known by 48 bits of its hash; no vocabulary is fixed or capped, and
+every count is exact. Bigram counts are sharded by the hash of the bigram, so that no word, however common, gathers in
+one task; sums over contexts and continuations are aggregated by word, before and after the shuffle. With
 
-    log p(w | v) = log(g(v) q(w)) + log(1 + d(v, w) / (g(v) q(w))),
+    log p(w | v) = log q(w) + log g(v) + log(1 + d(v, w) / (g(v) q(w)))
 
-with g the interpolation weight, q the continuation probability and d the discounted relative count; the
-first part needs only the broadcast vectors, the second is 0 for bigrams without count.
+(g: interpolation weight of the context, q: continuation probability, d: discounted relative count) a document's log
+probability is a constant for each word plus a sum of values looked up by key: one for each word (log q and log g, over
+those of an unknown word) and one for each bigram (the last term); keys that the model lacks count 0.
+
+Lookups have two tiers. Broadcast, of a fixed number of entries: the most frequent words and bigrams of the trusted
+text, and what is most frequent in the documents (so no common key is sent for). All other keys of a block of
+documents are sent to their shard, packed, with the number of their document; the shard's values come back summed by
+document.
 
 A document's score is its negative log likelihood per word, shrunk towards its language's mean as if it had
 ``prior_words`` more average words (else texts of a few words would be judged by chance). The threshold of
@@ -22,148 +25,151 @@ in number, and keeps clean documents where a handful of them can't show the quan
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, held, mix64, semi_join, shuffle_cleanup, shuffle_parts, small_batches, write_shared
-from .units import Generations
+from .common import U64, SharedTable, ascii_words, mix64, release_memory, seed64, semi_join, shuffle_parts, small_batches, word_hashes, write_shared
+from .units import slices
 
-BOS, UNK = 0, 1
-_SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.S)
+#: Bits of a word's hash and of a key within its shard; the bytes that hold them.
+KEY_BITS, KEY_BYTES = 48, 6
+_MASK = U64((1 << KEY_BITS) - 1)
+#: The context of a text's first word.
+BOS = U64(0)
+#: Entries of the broadcast tier: words (two each) and bigrams of the trusted text, and keys that are frequent in what is scored.
+MOST_WORDS, MOST_BIGRAMS, MOST_HEAVY = 400_000, 400_000, 65_536
+#: Bigrams that a task counts before it sends them on.
+CHUNK = 1_000_000
 
 
-def shape(word: bytes) -> bytes:
-    """Runs of lower-case (or non-ASCII) letters, capitals, digits and marks, each run once."""
-    return b"\x00" + _RUNS.sub(rb"\1", word.translate(_SHAPE))
+def packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
 
 
-class Vocabulary:
-    """Word to id, with shapes for rare words; ids under 2 ** 16."""
+def unpacked(data) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :KEY_BYTES] = narrow
+    return wide.view("<u8").ravel().astype(U64)
 
-    def __init__(self, words: list[bytes], shapes: list[bytes], cache: int = 100_000):
-        self.ids = {w: i + 2 for i, w in enumerate([*shapes, *words])}
-        self.size = len(self.ids) + 2
-        self.rare = Generations(cache)
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.ids.get, words))
-        if None in found:
-            rare = self.rare
-            for i, f in enumerate(found):
-                if f is None:
-                    w = words[i]
-                    f = rare.get(w)
-                    if f is None:
-                        f = rare.put(w, self.ids.get(shape(w), UNK))
-                    found[i] = f
-        return np.array(found, np.uint32)
+def word_ids(words: list[bytes]) -> np.ndarray:
+    return word_hashes(words) & _MASK
 
 
-def count_words(docs: DataFrame, n_words: int, n_shapes: int) -> tuple[list[bytes], list[bytes]]:
-    """The most frequent words and shapes of ``docs(id, text)``, by exact counts over all of it."""
+def bigram_keys(previous: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(previous + seed64(21)) + ids)
 
-    def run(batches):
-        counts: Counter = Counter()
 
-        def out():
-            shapes: Counter = Counter()
-            for w, c in counts.items():
-                shapes[shape(w)] += c
-            both = [*counts.items(), *shapes.items()]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in both], pa.binary()), pa.array([c for _, c in both], pa.int64())], ["w", "c"])
+def word_keys(ids: np.ndarray, last: bool) -> np.ndarray:
+    """Keys of words; a text's last word, which is no context, has one of its own."""
+    keys = mix64(ids ^ seed64(22)) & ~U64(1)
+    return keys | U64(1) if last else keys
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(ascii_words(text))
-                if len(counts) > 200_000:
-                    yield out()
-        yield out()
 
-    total = write_shared(docs.select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
-    is_shape = F.startswith(F.col("w"), F.lit(b"\x00"))
-    words = total.df.where(~is_shape).orderBy(F.desc("c"), "w").limit(n_words).collect()
-    shapes = total.df.where(is_shape).orderBy(F.desc("c"), "w").limit(n_shapes).collect()
-    total.drop()
-    return [bytes(r[0]) for r in words], [bytes(r[0]) for r in shapes]
+def contexts(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.array([BOS], U64), ids[:-1]])
 
 
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    """Bigram keys of a document: previous id (BOS first) in the high half."""
-    previous = np.concatenate([np.array([BOS], np.uint32), ids[:-1]])
-    return previous << np.uint32(16) | ids
+def document_keys(words: list[bytes]) -> np.ndarray:
+    """All keys of a document's log probability, that of BOS included."""
+    if not words:
+        return np.empty(0, U64)
+    ids = word_ids(words)
+    return np.concatenate([word_keys(np.array([BOS], U64), False), word_keys(ids[:-1], False), word_keys(ids[-1:], True), bigram_keys(contexts(ids), ids)])
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix64(keys.astype(U64)) >> U64(20)) % U64(shards)).astype(np.int64)
+    return ((keys >> U64(40)) % U64(shards)).astype(np.int64)
 
 
-def _vocabulary(shared):
-    return held("vocabulary", shared.value, lambda v: Vocabulary(*v))
+def _dealt(shard: np.ndarray, shards: int, *columns: np.ndarray) -> list[list[np.ndarray]]:
+    """Each column split by shard."""
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    ends = np.cumsum(np.bincount(shard, minlength=shards))[:-1]
+    return [np.split(c[order], ends) for c in columns]
 
 
-def count_bigrams(docs: DataFrame, shared, shards: int) -> DataFrame:
-    """(shard, keys, counts): the sorted bigram keys of each shard and their counts, packed."""
+def _texts(batches, column: int):
+    for whole in batches:
+        for batch in slices(whole, column):
+            yield batch
+
+
+# ---- counts of the trusted text ----
+def count_bigrams(docs: DataFrame, shards: int) -> SharedTable:
+    """(shard, v, w, c, n1..n4): for each shard its distinct bigrams by key, packed, with their counts, and how many have
+    count 1 to 4. ``docs``: column text."""
 
     def gather(batches):
-        own = _vocabulary(shared)
-        keep: list[np.ndarray] = []
+        release_memory()
+        keep: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out():
-            keys, counts = np.unique(np.concatenate(keep), return_counts=True)
-            shard = _shard(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            ends = np.cumsum(np.bincount(shard, minlength=shards))
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            cut = lambda x: [p.tobytes() for p in np.split(x, ends[:-1])]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), pa.array(cut(keys), pa.binary()), pa.array(cut(counts), pa.binary())], ["shard", "keys", "counts"])
-
-        for batch in batches:
+            v, w = (np.concatenate(x) for x in zip(*keep, strict=True))
+            keys, first, c = np.unique(bigram_keys(v, w), return_index=True, return_counts=True)
+            dealt = _dealt(_shard(keys, shards), shards, v[first], w[first], c.astype(np.uint32))
+            rows = [(s, packed(a), packed(b), n.tobytes()) for s, (a, b, n) in enumerate(zip(*dealt, strict=True)) if len(n)]
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(x, pa.binary()) for x in columns[1:]]], ["shard", "v", "w", "c"])
+
+        for batch in _texts(batches, 0):
             for text in batch.column(0).to_pylist():
-                words = ascii_words(text)
-                if words:
-                    keep.append(_pairs(own.encode(words)))
-                    size += len(words)
-                    if size > 2_000_000:
+                ids = word_ids(ascii_words(text))
+                if len(ids):
+                    keep.append((contexts(ids), ids))
+                    size += len(ids)
+                    if size > CHUNK:
                         yield out()
                         keep, size = [], 0
         if keep:
             yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(b, np.uint32) for b in table["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in table["counts"].to_pylist()])
-        unique, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, weights=counts).astype(np.uint32)
-        return pa.table({"shard": table["shard"][:1], "keys": pa.array([unique.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+        v, w = (np.concatenate([unpacked(x.as_buffer()) for x in table[k]]) for k in ("v", "w"))
+        c = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["c"]])
+        _, first, where = np.unique(bigram_keys(v, w), return_index=True, return_inverse=True)
+        total = np.bincount(where, weights=c).astype(np.uint32)
+        return pa.table({"shard": table["shard"][:1], "v": [packed(v[first])], "w": [packed(w[first])], "c": [total.tobytes()], **{f"n{k}": [int((total == k).sum())] for k in (1, 2, 3, 4)}})
 
-    schema = "shard int, keys binary, counts binary"
-    return docs.select("text").mapInArrow(gather, schema).groupBy("shard").applyInArrow(merge, schema)
+    schema = "shard int, v binary, w binary, c binary"
+    sent = docs.select("text").mapInArrow(gather, schema)
+    return write_shared(sent.groupBy("shard").applyInArrow(merge, f"{schema}, n1 long, n2 long, n3 long, n4 long"), "bigrams")
 
 
-@dataclass
-class Smoothing:
-    """What the model keeps for each word of its bounded vocabulary."""
+def _bigrams(batch):
+    """(row of the batch, v, w, c) of the bigrams in rows of ``count_bigrams``."""
+    for i in range(batch.num_rows):
+        yield i, *(unpacked(batch.column(k)[i].as_buffer()) for k in ("v", "w")), np.frombuffer(batch.column("c")[i].as_buffer(), np.uint32)
 
-    discounts: np.ndarray  # of counts 0, 1, 2, 3 and more
-    context: np.ndarray  # occurrences as a context
-    weight: np.ndarray  # interpolation weight g
-    continuation: np.ndarray  # continuation probability q
 
+def count_words(bigrams: DataFrame) -> SharedTable:
+    """(word, c, n1, n2, n3, cont): occurrences as a context, distinct bigrams of count 1, 2 and more as a context, and
+    distinct contexts."""
 
-def _discounts(n: np.ndarray) -> np.ndarray:
+    def run(batches):
+        for batch in batches:
+            for _, v, w, c in _bigrams(batch):
+                words, where = np.unique(np.concatenate([v, w]), return_inverse=True)
+                at_v, at_w = where[: len(v)], where[len(v) :]
+                sums = [np.bincount(at_v, weights=x, minlength=len(words)).astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), *[pa.array(x) for x in (*sums, np.bincount(at_w, minlength=len(words)))]], ["word", "c", "n1", "n2", "n3", "cont"])
+
+    names = ("c", "n1", "n2", "n3", "cont")
+    rows = bigrams.select("v", "w", "c").mapInArrow(run, "word long, " + ", ".join(f"{k} long" for k in names))
+    return write_shared(rows.groupBy("word").agg(*[F.sum(k).alias(k) for k in names]), "words")
+
+
+def _discounts(n) -> np.ndarray:
     """Modified Kneser-Ney discounts from the numbers of things with count 1, 2, 3 and 4."""
-    n1, n2, n3, n4 = (max(float(x), 0.0) for x in n)
+    n1, n2, n3, n4 = (max(float(x or 0), 0.0) for x in n)
     if not (n1 and n2):
         return np.array([0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
@@ -171,106 +177,327 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *[min(max(d, 0.05), k - 0.05) for k, d in enumerate(out[1:], 1)]])
 
 
-def smoothing(counts: DataFrame, size: int) -> Smoothing:
-    """Sums over the shards: a row for each word at most, so the result is collected."""
+class Smoothing:
+    """The numbers that turn counts into probabilities."""
 
-    def run(batches):
-        for batch in batches:
-            for keys, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys, c = np.frombuffer(keys, np.uint32), np.frombuffer(c, np.uint32)
-                previous, word = (keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64)
-                columns = [np.bincount(previous, weights=c, minlength=size), *[np.bincount(previous[m], minlength=size) for m in (c == 1, c == 2, c >= 3)], np.bincount(word, minlength=size)]
-                used = np.flatnonzero(sum(columns))
-                rows = [pa.array(used.astype(np.int64)), *[pa.array(x[used].astype(np.int64)) for x in columns]]
-                yield pa.RecordBatch.from_arrays(rows, ["w", "c", "n1", "n2", "n3", "cont"])
-                tail = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *[pa.array([x], pa.int64()) for x in (*tail, 0)]], ["w", "c", "n1", "n2", "n3", "cont"])
-
-    sums = counts.mapInArrow(run, "w long, c long, n1 long, n2 long, n3 long, cont long").groupBy("w").agg(*[F.sum(k).alias(k) for k in ("c", "n1", "n2", "n3", "cont")]).collect()
-    table = np.zeros((5, size))
-    d = np.array([0, 0.5, 0.5, 0.5])
-    for w, *values in sums:
-        if w < 0:
-            d = _discounts(np.array(values[:4]))
-        else:
-            table[:, w] = values
-    c, n1, n2, n3, cont = table
-    weight = np.where(c > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(c, 1), 1.0)
-    low = _discounts(np.array([(cont == k).sum() for k in (1, 2, 3, 4)]))
-    used = low[np.minimum(cont, 3).astype(int)]
-    total = max(cont.sum(), 1.0)
-    left = used[cont > 0].sum() / total if cont.sum() else 1.0
-    q = np.maximum(cont - used, 0) / total + left / size
-    return Smoothing(d, c, np.maximum(weight, 1e-9), q)
-
-
-def score(docs: DataFrame, counts: DataFrame, shared, model: Smoothing, shards: int) -> DataFrame:
+    def __init__(self, bigrams: DataFrame, words: DataFrame):
+        self.discounts = _discounts(bigrams.agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)]).first())
+        seen = words.agg(*[F.count(F.when(F.col("cont") == k, 1)) for k in (1, 2, 3, 4)], F.count(F.when(F.col("cont") >= 3, 1)), F.sum("cont"), F.count(F.when(F.col("cont") > 0, 1))).first()
+        self.low = _discounts(seen[:4])
+        self.total = max(float(seen[5] or 0), 1.0)
+        taken = self.low[1] * seen[0] + self.low[2] * seen[1] + self.low[3] * seen[4]
+        #: Continuation probability of an unknown word: what discounting left, over all words and one for the unknown.
+        self.unknown = (taken / self.total if seen[5] else 1.0) / (seen[6] + 1)
+
+    def weight(self) -> Column:
+        """Interpolation weight of a context."""
+        d = self.discounts
+        g = (F.col("n1") * float(d[1]) + F.col("n2") * float(d[2]) + F.col("n3") * float(d[3])) / F.col("c")
+        return F.when(F.col("c") > 0, F.greatest(g, F.lit(1e-9))).otherwise(1.0)
+
+    def continuation(self) -> Column:
+        low = F.when(F.col("cont") == 1, float(self.low[1])).when(F.col("cont") == 2, float(self.low[2])).otherwise(float(self.low[3]))
+        return F.when(F.col("cont") > 0, (F.col("cont") - low) / self.total).otherwise(0.0) + self.unknown
+
+    def relative(self, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of bigrams."""
+        return np.maximum(c - self.discounts[np.minimum(c, 3)], 0)
+
+
+# ---- values by key ----
+VALUES = "shard int, keys binary, data binary"
+
+
+def _value_rows(keys: np.ndarray, values: np.ndarray, shards: int):
+    dealt = _dealt(_shard(keys, shards), shards, keys, values.astype(np.float32))
+    rows = [(s, packed(k), v.tobytes()) for s, (k, v) in enumerate(zip(*dealt, strict=True)) if len(k)]
+    s, k, v = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["shard", "keys", "data"])
+
+
+class Tier:
+    """Values of a bounded number of keys, sorted."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, first = np.unique(keys, return_index=True)
+        self.values = values[first]
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is here, its value or 0)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
+        return here, np.where(here, self.values[at], 0.0)
+
+
+def _arrow(df: DataFrame, *kinds) -> list[np.ndarray]:
+    table = df.toArrow()
+    return [table.column(i).to_numpy().astype(k) for i, k in enumerate(kinds)]
+
+
+def _gains(s: Smoothing, frequent: tuple):
+    """For bigrams: (whether v and w are frequent, their places there, whether both are, gain of those)."""
+    ids, count, g, q = frequent
+
+    def of(v, w, c):
+        at_v, at_w = (np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0)) for x in (v, w))
+        in_v, in_w = (ids[at_v] == v, ids[at_w] == w) if len(ids) else (np.zeros(len(v), bool), np.zeros(len(w), bool))
+        both = in_v & in_w
+        gain = np.log1p(s.relative(c[both]) / (count[at_v[both]] * g[at_v[both]] * q[at_w[both]]))
+        return in_v, in_w, at_v, at_w, both, gain
+
+    return of
+
+
+def _bin(c: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(c) * 16).astype(np.int32)
+
+
+def _bins(batches):
+    for batch in batches:
+        for x in batch.column(0):
+            bins, n = np.unique(_bin(np.frombuffer(x.as_buffer(), np.uint32)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], ["bin", "n"])
+
+
+def _least_bin(bins: DataFrame, most: int) -> int:
+    """The least bin of counts such that it and those above hold at most ``most``; there are 16 for each doubling."""
+    total, least = 0, 1 << 30
+    for row in sorted(bins.collect(), reverse=True):
+        total += row["n"]
+        if total > most:
+            break
+        least = row["bin"]
+    return least
+
+
+def most_counted(df: DataFrame, count: Column, most: int) -> DataFrame:
+    """Rows of the highest counts, at most ``most``: by a histogram of the counts, with no sort and nothing of one task."""
+    at = F.floor(F.log2(count) * 16).cast("int")
+    return df.where(at >= _least_bin(df.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n")), most))
+
+
+class Model:
+    """Tables of values by key, in the shared folder, and the broadcast tier. ``docs`` (column text) are what is counted;
+    ``scored`` what will be scored: it only decides which keys the broadcast tier holds, never a value."""
+
+    def __init__(self, docs: DataFrame, scored: DataFrame, shards: int):
+        spark = docs.sparkSession
+        self.shards = shards
+        bigrams = count_bigrams(docs, shards)
+        words = count_words(bigrams.df)
+        self.smoothing = s = Smoothing(bigrams.df, words.df)
+        self.unknown = s.unknown
+        known = words.df.select("word", "c", "cont", s.weight().alias("g"), s.continuation().alias("q"))
+        ids, c, g, q = _arrow(most_counted(known, F.col("c") + F.col("cont"), MOST_WORDS).select("word", "c", "g", "q"), U64, np.float64, np.float64, np.float64)
+        order = np.argsort(ids)
+        frequent = spark.sparkContext.broadcast((ids[order], c[order], g[order], q[order]))
+        self.tables = [write_shared(bigrams.df.select("shard", "v", "w", "c").mapInArrow(self._both_frequent(frequent), VALUES), "values")]
+        least = _least_bin(bigrams.df.select("c").mapInArrow(_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")), MOST_BIGRAMS)
+        top = bigrams.df.select("shard", "v", "w", "c").mapInArrow(self._top(frequent, least), "key long, value double")
+        keys, values = _arrow(top, np.int64, np.float64)
+        self.tables.append(write_shared(self._packed(self._rest(bigrams.df, known, frequent).unionByName(self._words(known))), "values"))
+        words.drop()
+        bigrams.drop()
+        a, b = np.log(q / s.unknown), np.log(g)
+        tier = [(word_keys(ids, False), a + b), (word_keys(ids, True), a), (keys.view(U64), values)]
+        tier.append(self._heavy(scored, Tier(*map(np.concatenate, zip(*tier, strict=True)))))
+        frequent.unpersist()
+        self.tier = spark.sparkContext.broadcast(Tier(*map(np.concatenate, zip(*tier, strict=True))))
+
+    @property
+    def df(self) -> DataFrame:
+        return self.tables[0].df.unionByName(self.tables[1].df)
+
+    def drop(self) -> None:
+        self.tier.unpersist()
+        for table in self.tables:
+            table.drop()
+
+    def _both_frequent(self, frequent):
+        s = self.smoothing
+
+        def run(batches):
+            release_memory()
+            gains = _gains(s, frequent.value)
+            for batch in batches:
+                rows = []
+                for i, v, w, c in _bigrams(batch):
+                    *_, both, gain = gains(v, w, c)
+                    rows.append((batch.column("shard")[i].as_py(), packed(bigram_keys(v[both], w[both])), gain.astype(np.float32).tobytes()))
+                shard, k, x = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(k, pa.binary()), pa.array(x, pa.binary())], ["shard", "keys", "data"])
+
+        return run
+
+    def _top(self, frequent, least: int):
+        s = self.smoothing
+
+        def run(batches):
+            gains = _gains(s, frequent.value)
+            for batch in batches:
+                for _, v, w, c in _bigrams(batch):
+                    often = _bin(c) >= least
+                    v, w, c = v[often], w[often], c[often]
+                    *_, both, gain = gains(v, w, c)
+                    yield pa.RecordBatch.from_arrays([pa.array(bigram_keys(v[both], w[both]).view(np.int64)), pa.array(gain)], ["key", "value"])
+
+        return run
+
+    def _rest(self, bigrams: DataFrame, known: DataFrame, frequent) -> DataFrame:
+        """(key, value) of the bigrams with a word that is not frequent: joined with the counts of such words. Sides that
+        need no join get keys that no word has, each its own."""
+
+        s = self.smoothing
+
+        def run(batches):
+            release_memory()
+            gains = _gains(s, frequent.value)
+            ids, count, g, q = frequent.value
+            if not len(ids):  # a place for what is then always looked up elsewhere
+                count, g, q = np.ones(1), np.ones(1), np.ones(1)
+            for batch in batches:
+                for _, v, w, c in _bigrams(batch):
+                    in_v, in_w, at_v, at_w, both, _ = gains(v, w, c)
+                    rare = ~both
+                    own = -1 - (bigram_keys(v, w)[rare] & _MASK).astype(np.int64)
+                    columns = [bigram_keys(v, w)[rare].view(np.int64), s.relative(c[rare]), np.where(in_v[rare], own, v[rare].astype(np.int64)), np.where(in_w[rare], own, w[rare].astype(np.int64)), (count * g)[at_v[rare]], q[at_w[rare]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "d", "jv", "jw", "cg", "q"])
+
+        rows = bigrams.select("v", "w", "c").mapInArrow(run, "key long, d double, jv long, jw long, cg double, q double")
+        of_v = known.select(F.col("word").alias("jv"), (F.col("c") * F.col("g")).alias("cg_v"))
+        of_w = known.select(F.col("word").alias("jw"), F.col("q").alias("q_w"))
+        both = rows.join(of_v.hint("merge"), "jv", "left").join(of_w.hint("merge"), "jw", "left")
+        # a side with a key of its own finds no word
+        return both.select("key", F.log1p(F.col("d") / (F.coalesce("cg_v", "cg") * F.coalesce("q_w", "q"))).alias("value"))
+
+    def _words(self, known: DataFrame) -> DataFrame:
+        """(key, value) of all words, as contexts too and as last words."""
+
+        def run(batches):
+            for batch in batches:
+                ids, a, b = batch.column(0).to_numpy().astype(U64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                keys = np.concatenate([word_keys(ids, False), word_keys(ids, True)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate([a + b, a]))], ["key", "value"])
+
+        return known.select("word", F.log(F.col("q") / float(self.unknown)).alias("a"), F.log("g").alias("b")).mapInArrow(run, "key long, value double")
+
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        """Rows (key, value) as one row for each shard."""
+        shards = self.shards
+
+        def send(batches):
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for batch in batches:
+                held.append((batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()))
+                size += batch.num_rows
+                if size > CHUNK:
+                    yield _value_rows(*map(np.concatenate, zip(*held, strict=True)), shards)
+                    held, size = [], 0
+            if size:
+                yield _value_rows(*map(np.concatenate, zip(*held, strict=True)), shards)
+
+        def unite(table: pa.Table) -> pa.Table:
+            return pa.table({"shard": table["shard"][:1], "keys": [b"".join(table["keys"].to_pylist())], "data": [b"".join(table["data"].to_pylist())]})
+
+        return rows.mapInArrow(send, VALUES).groupBy("shard").applyInArrow(unite, VALUES)
+
+    def _heavy(self, scored: DataFrame, tier: Tier) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that are frequent in a batch of the scored texts but not in the tier, and their values: such keys, met a
+        great many times, would gather in one shard."""
+        spark = scored.sparkSession
+        small = spark.sparkContext.broadcast(tier)
+
+        def count(batches):
+            release_memory()
+            for batch in _texts(batches, 0):
+                keys = [document_keys(ascii_words(t)) for t in batch.column(0).to_pylist()]
+                flat = np.concatenate(keys) if keys else np.empty(0, U64)
+                unique, n = np.unique(flat, return_counts=True)
+                often = n >= max(64, len(flat) // 4000)
+                unique, n = unique[often], n[often]
+                new = ~small.value.look_up(unique)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(unique[new].view(np.int64)), pa.array(n[new])], ["key", "n"])
+
+        counted = scored.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        (keys,) = _arrow(most_counted(counted, F.col("n"), MOST_HEAVY).select("key"), np.int64)
+        keys = np.sort(keys.view(U64))
+        small.unpersist()
+        if not len(keys):
+            return keys, np.empty(0)
+        wanted, shards = spark.sparkContext.broadcast(keys), self.shards
+
+        def find(batches):
+            shard = _shard(wanted.value, shards)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    mine = wanted.value[shard == batch.column(0)[i].as_py()]
+                    there = unpacked(batch.column(1)[i].as_buffer())
+                    _, a, b = np.intersect1d(mine & _MASK, there, return_indices=True)
+                    data = np.frombuffer(batch.column(2)[i].as_buffer(), np.float32)[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[a].view(np.int64)), pa.array(data.astype(np.float64))], ["key", "value"])
+
+        found, values = _arrow(self.df.mapInArrow(find, "key long, value double"), np.int64, np.float64)
+        out = np.zeros(len(keys))
+        out[np.searchsorted(keys, found.view(U64))] = values
+        return keys, out
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(id, lang, n, nll) for each row of ``docs(id, lang, text)``: words and negative log likelihood."""
     kind = dict(docs.dtypes)["id"]
-    ctx = docs.sparkSession.sparkContext
-    small = ctx.broadcast((np.log(model.weight), np.log(model.continuation)))
-    full = ctx.broadcast(model)
+    shards, tier, log_unknown = model.shards, model.tier, math.log(model.unknown)
 
     def ask(batches):
-        own = _vocabulary(shared)
-        log_g, log_q = small.value
+        release_memory()
+        first = tier.value
         at = TaskContext.get().partitionId() << 24
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4000):
-                batch = whole.slice(start, 4000)
-                keys, lengths, base = [], [], []
-                for text in batch.column(2).to_pylist():
-                    words = ascii_words(text)
-                    pairs = _pairs(own.encode(words)) if words else np.empty(0, np.uint32)
-                    keys.append(pairs)
-                    lengths.append(len(pairs))
-                    base.append(float((log_g[pairs >> 16] + log_q[pairs & 0xFFFF]).sum()))
-                flat = np.concatenate(keys) if keys else np.empty(0, np.uint32)
-                of = np.repeat(np.arange(len(keys), dtype=np.int64), lengths)
-                shard = _shard(flat, shards)
-                order = np.argsort(shard, kind="stable")
-                ends = np.cumsum(np.bincount(shard, minlength=shards))[:-1]
-                sent = [p.tobytes() for p in np.split(flat[order], ends)]
-                held = [np.bincount(p, minlength=len(keys)).astype(np.uint16 if max(lengths, default=0) < 65536 else np.uint32).tobytes() for p in np.split(of[order], ends)]
-                home = at % shards
-                only = lambda x: [x if s == home else None for s in range(shards)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards, dtype=np.int32)), pa.array([at] * shards, pa.int64()), pa.array([len(keys)] * shards, pa.int64()), pa.array(sent, pa.binary()), pa.array(held, pa.binary()), pa.array(only(batch.column(0).to_pylist()), pa.list_(batch.column(0).type)), pa.array(only(batch.column(1).to_pylist()), pa.list_(pa.string())), pa.array(only(lengths), pa.list_(pa.int64())), pa.array(only(base), pa.list_(pa.float64()))],
-                    ["shard", "block", "docs", "keys", "held", "ids", "langs", "ns", "base"],
-                )
-                at += 1
+        for batch in _texts(batches, 2):
+            keys = [document_keys(ascii_words(t)) for t in batch.column(2).to_pylist()]
+            lengths = np.array([len(k) for k in keys], np.int64)
+            n = np.maximum(lengths - 1, 0) // 2
+            flat = np.concatenate(keys) if keys else np.empty(0, U64)
+            of = np.repeat(np.arange(len(keys)), lengths)
+            here, values = first.look_up(flat)
+            base = (n * log_unknown + np.bincount(of, weights=values, minlength=len(keys))).tolist()
+            sent, docs_ = _dealt(_shard(flat[~here], shards), shards, flat[~here], of[~here].astype(np.uint16))
+            home = at % shards
+            use = [s for s in range(shards) if len(sent[s]) or s == home]
+            only = lambda x: [x if s == home else None for s in use]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(use, pa.int32()), pa.array([at] * len(use), pa.int64()), pa.array([len(keys)] * len(use), pa.int64()), pa.array([packed(sent[s]) for s in use], pa.binary()), pa.array([docs_[s].tobytes() for s in use], pa.binary()), pa.array(only(batch.column(0).to_pylist()), pa.list_(batch.column(0).type)), pa.array(only(batch.column(1).to_pylist()), pa.list_(pa.string())), pa.array(only(n.tolist()), pa.list_(pa.int64())), pa.array(only(base), pa.list_(pa.float64()))],
+                ["shard", "block", "docs", "keys", "of", "ids", "langs", "ns", "base"],
+            )
+            at += 1
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.frombuffer(left["keys"][0].as_py(), np.uint32) if len(left) else np.empty(0, np.uint32)
-        m = full.value
-        if len(known):
-            c = np.frombuffer(left["counts"][0].as_py(), np.uint32).astype(np.float64)
-            v, w = known >> 16, known & 0xFFFF
-            d = np.maximum(c - m.discounts[np.minimum(c, 3).astype(int)], 0) / np.maximum(m.context[v], 1)
-            gain = np.log1p(d / (m.weight[v] * m.continuation[w]))
+        there = np.concatenate([np.empty(0, U64), *[unpacked(x.as_buffer()) for x in left["keys"]]])
+        values = np.concatenate([np.empty(0, np.float32), *[np.frombuffer(x.as_buffer(), np.float32) for x in left["data"]]])
+        order = np.argsort(there, kind="stable")
+        own = Tier(there[order], values[order].astype(np.float64))
         sums = []
-        for keys, held, docs_ in zip(right["keys"], right["held"], right["docs"].to_pylist(), strict=True):
-            keys, held = np.frombuffer(keys.as_buffer(), np.uint32), held.as_buffer()
-            counts_ = np.frombuffer(held, np.uint16 if len(held) == 2 * docs_ else np.uint32)
-            values = np.zeros(len(keys))
-            if len(known) and len(keys):
-                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                values = np.where(known[place] == keys, gain[place], 0.0)
-            of = np.repeat(np.arange(docs_), counts_)
-            sums.append(np.bincount(of, weights=values, minlength=docs_).astype(np.float32).tobytes())
+        for keys, of, docs_ in zip(right["keys"], right["of"], right["docs"].to_pylist(), strict=True):
+            of = np.frombuffer(of.as_buffer(), np.uint16)
+            here, found = own.look_up(unpacked(keys.as_buffer()))
+            total = np.bincount(of[here], weights=found[here], minlength=docs_)
+            some = np.flatnonzero(total)
+            sums.append(some.astype(np.uint16).tobytes() + total[some].astype(np.float32).tobytes())
         return pa.table({"block": right["block"], "ids": right["ids"], "langs": right["langs"], "ns": right["ns"], "base": right["base"], "sums": pa.array(sums, pa.binary())})
 
     def unite(table: pa.Table) -> pa.Table:
         home = next(i for i, x in enumerate(table["ns"]) if x.is_valid)
         total = np.array(table["base"][home].as_py(), np.float64)
         for part in sorted(table["sums"].to_pylist()):  # in a set order, for equal sums on every run
-            total = total + np.frombuffer(part, np.float32)
+            m = len(part) // 6
+            total[np.frombuffer(part, np.uint16, m)] += np.frombuffer(part, np.float32, m, 2 * m)
         column = lambda name: table[name][home].values
         return pa.table({"id": column("ids"), "lang": column("langs"), "n": column("ns"), "nll": pa.array(-total)})
 
     lists = f"ids array<{kind}>, langs array<string>, ns array<long>, base array<double>"
-    asked = docs.select("id", "lang", "text").mapInArrow(ask, f"shard int, block long, docs long, keys binary, held binary, {lists}")
-    told = counts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, f"block long, {lists}, sums binary")
+    asked = docs.select("id", "lang", "text").mapInArrow(ask, f"shard int, block long, docs long, keys binary, of binary, {lists}")
+    told = model.df.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, f"block long, {lists}, sums binary")
     return told.groupBy("block").applyInArrow(unite, f"id {kind}, lang string, n long, nll double")
 
 
@@ -280,7 +507,7 @@ def standard_error(quantile: float, sd: float, n: int) -> float:
     return sd * math.sqrt((1 + z * z / 2) / n)
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.995, margin: float = 1.0, prior_words: int = 20, n_words: int = 60_000, n_shapes: int = 1_000, hold_out: int = 10) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, quantile: float = 0.995, margin: float = 1.0, prior_words: int = 20, hold_out: int = 10) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, lang, n_words, perplexity (null without words), score,
     threshold and keep. ``trusted_ids``: column ``id_col`` of the documents that the model learns from.
 
@@ -288,33 +515,30 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     languages' thresholds; a language without held-out documents takes the threshold of all, and without
     any, every document is kept. Null and empty texts have no words and are kept: there is nothing to judge.
     Rows that repeat an id are scored each; a null id is never trusted; a null lang is a language of its own.
+    An empty table gives no rows. Of more than MAX_LANGUAGES languages, those with the fewest held-out documents
+    take the threshold of all.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     ids = trusted_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     trusted = semi_join(base, ids, "id")
     held = F.pmod(F.xxhash64("id"), F.lit(hold_out)) == 0
-    train = trusted.where(~held)
-    words, shapes = count_words(train, min(n_words, 65_000 - n_shapes), n_shapes)
-    shared = docs.sparkSession.sparkContext.broadcast((words, shapes))
-    shards = max(8, shuffle_parts(docs.sparkSession) // 2)
-    counts = write_shared(count_bigrams(train, shared, shards), "bigrams")
-    model = smoothing(counts.df, len(words) + len(shapes) + 2)
-    scored = write_shared(score(base, counts.df, shared, model, shards), "scores")
-    counts.drop()
+    model = Model(trusted.where(~held), base, max(8, shuffle_parts(docs.sparkSession)))
+    scored = write_shared(score(base, model), "scores")
+    model.drop()
     s = scored.df
     calibrate = semi_join(s, ids, "id").where(held & (F.col("n") > 0))
-    means = calibrate.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
+    means = calibrate.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
     overall = calibrate.agg((F.sum("nll") / F.sum("n")).alias("mean_all"))
     means_all = overall.collect()[0][0]
     shrunk = (F.col("nll") + prior_words * F.coalesce("mean", F.lit(means_all))) / (F.col("n") + prior_words)
     with_score = lambda df: df.join(F.broadcast(languages), df["lang"].eqNullSafe(languages["l"]), "left").drop("l").withColumn("score", shrunk)
     # as many rows as there are languages; past the bound the rarest fall back to the threshold of all
-    found = means.withColumnRenamed("lang", "l").limit(MAX_LANGUAGES).collect()
-    languages = docs.sparkSession.createDataFrame(found, "l string, mean double")
+    most_frequent = lambda df: df.orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).drop("docs").collect()
+    languages = docs.sparkSession.createDataFrame(most_frequent(means), "l string, mean double")
     scores = with_score(calibrate)
     sample = (F.percentile_approx("score", F.lit(quantile), F.lit(10_000)), F.stddev_samp("score"), F.count("score"))
-    per = scores.groupBy("lang").agg(*sample).limit(MAX_LANGUAGES).collect()
+    per = most_frequent(scores.groupBy("lang").agg(*sample, F.count(F.lit(1)).alias("docs")))
     at, spread, n = scores.agg(*sample).collect()[0]
     limit = lambda at, sd, n: at + margin * standard_error(quantile, (sd if sd is not None else spread) or 0.0, n)
     every = None if at is None else limit(at, spread, n)

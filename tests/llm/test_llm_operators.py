@@ -202,38 +202,69 @@ def test_keep_follows_the_held_out_quantile(spark):
     assert within  # the edge of 0.5 nats that a fixed margin once kept
 
 
-def test_scores_match_a_plain_kneser_ney(spark):
+@pytest.mark.parametrize("tier", [400_000, 3])
+def test_quality_matches_a_plain_model(spark, monkeypatch, tier):
     import math
+    import statistics
     from collections import Counter
 
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "MOST_WORDS", 2 * tier)
+    monkeypatch.setattr(quality, "MOST_BIGRAMS", tier)
+    monkeypatch.setattr(quality, "CHUNK", 500)
     r = random.Random(6)
-    texts = [" ".join(r.choices(WORDS[:12], k=30)) for _ in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "'x' lang", "text")
-    words, shapes = quality.count_words(docs, 100, 10)
-    shared = spark.sparkContext.broadcast((words, shapes))
-    counts = quality.write_shared(quality.count_bigrams(docs, shared, 3), "t")
-    model = quality.smoothing(counts.df, len(words) + len(shapes) + 2)
-    got = {x.id: x.nll for x in quality.score(docs, counts.df, shared, model, 3).collect()}
-    pairs, followers, size = Counter(), {}, len(words) + len(shapes) + 2
-    for t in texts:
-        w = ["<s>", *t.split()]
-        pairs.update(zip(w, w[1:], strict=False))
+    weights = [1 / (i + 1) for i in range(len(WORDS))]
+    texts = {i: " ".join(r.choices(WORDS, weights, k=r.randrange(1, 60))) for i in range(300)}
+    texts |= {300 + i: " ".join(r.choices([*WORDS, "NEW", "Ünd", "x9"], k=30)) for i in range(40)}
+    texts |= {400: "", 401: None, 402: "hot pair " * 400}
+    langs = {i: ("en", "de", None)[i % 3] for i in texts}
+    docs = spark.createDataFrame([(i, t, langs[i]) for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id: x for x in quality.classify(docs, spark.range(250).withColumnRenamed("id", "doc_id")).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).collect()}
+    pairs = Counter()
+    for i in range(250):
+        if not got[i].held:
+            w = ["<s>", *texts[i].split()]
+            pairs.update(zip(w, w[1:], strict=False))
     d = quality._discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    followers = {}
     for (a, _), c in pairs.items():
         followers.setdefault(a, []).append(c)
     cont = Counter(b for _, b in pairs)
     low = quality._discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
     total = sum(cont.values())
-    left = sum(low[min(c, 3)] for c in cont.values()) / total
-    q = lambda b: (cont[b] - low[min(cont[b], 3)]) / total + left / size
-    for i, t in enumerate(texts):
-        w, nll = ["<s>", *t.split()], 0.0
+    unknown = sum(low[min(c, 3)] for c in cont.values()) / total / (len(cont) + 1)
+    q = lambda b: (cont[b] - low[min(cont[b], 3)] if b in cont else 0) / total + unknown
+    assert abs(sum(map(q, cont)) + unknown - 1) < 1e-9
+
+    def nll(text):
+        w, out = ["<s>", *text.split()], 0.0
         for a, b in zip(w, w[1:], strict=False):
-            f = followers[a]
-            g = sum(d[min(c, 3)] for c in f) / sum(f)
-            nll -= math.log(max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / sum(f) + g * q(b))
-        assert abs(nll - got[i]) < 1e-3
-    assert abs(model.continuation.sum() - 1) < 1e-9
+            f = followers.get(a, [])
+            g = sum(d[min(c, 3)] for c in f) / sum(f) if f else 1.0
+            out -= math.log((max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / sum(f) if f else 0.0) + g * q(b))
+        return out
+
+    plain = {i: (nll(t or ""), len((t or "").split())) for i, t in texts.items()}
+    held = [i for i in range(250) if got[i].held and plain[i][1]]
+    z = statistics.NormalDist().inv_cdf(0.995)
+    for lang in ("en", "de", None):
+        mine = [i for i in held if langs[i] == lang]
+        mean = sum(plain[i][0] for i in mine) / sum(plain[i][1] for i in mine)
+        score = lambda i: (plain[i][0] + 20 * mean) / (plain[i][1] + 20)
+        scores = sorted(map(score, mine))
+        limit = scores[math.ceil(0.995 * len(scores)) - 1] + statistics.stdev(scores) * math.sqrt((1 + z * z / 2) / len(scores))
+        for i in (i for i in texts if langs[i] == lang):
+            x, n = got[i], plain[i][1]
+            assert x.n_words == n and abs(x.threshold - limit) < 1e-4
+            assert (x.perplexity is None) == (n == 0)
+            if n:
+                assert abs(math.log(x.perplexity) - plain[i][0] / n) < 1e-4 and abs(x.score - score(i)) < 1e-4
+                if abs(score(i) - limit) > 1e-4:
+                    assert x.keep == (score(i) <= limit)
+            else:
+                assert x.keep
+    assert not got[402].keep and not all(got[300 + i].keep for i in range(40))
 
 
 # ---- 5 ----
