@@ -101,11 +101,17 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches hold at most ``rows`` rows from now on in this session: texts are long, and a batch is in memory
-    on both sides several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Let Arrow batches hold at most ``rows`` rows and BATCH_BYTES bytes from now on in this session: texts are long, and a
+    batch is in memory on both sides several times over. (Spark reads these settings when a plan is run, which may be after
+    the operator has returned, so they can't be set back.)"""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a size with another unit is the user's own
+            spark.conf.set(key, str(most))
+
+
+#: Bytes of an Arrow batch (one row at least).
+BATCH_BYTES = 16 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -154,10 +160,8 @@ def lowered_words(text: str | None) -> list[bytes]:
 _HELD: dict = {}
 
 
-def release_memory() -> None:
-    """At the start of a task: drop what earlier operators held in this worker and give freed memory back to the system,
-    so that a reused worker starts small."""
-    _HELD.clear()
+def trim() -> None:
+    """Give freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -166,6 +170,34 @@ def release_memory() -> None:
         pass
 
 
+def release_memory() -> None:
+    """At the start of a task: drop what earlier operators held in this worker, so that a reused worker starts small."""
+    _HELD.clear()
+    trim()
+
+
+def tidy(run):
+    """``run`` for mapInArrow, in a worker that starts small and is left small: idle workers keep what they have."""
+
+    def whole(batches):
+        release_memory()
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def tidy_group(make):
+    """The same for applyInArrow over groups."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = make(table)
+        trim()
+        return out
+
+    return one
+
+
 def held(name: str, value, make):
     """A worker's state made from a broadcast ``value``: made once for it, and anew when another comes. A worker holds
     one such state at a time, so that what an earlier operator needed doesn't stay in memory."""

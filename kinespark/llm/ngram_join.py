@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, release_memory, seed64, semi_join, shuffle_parts, small_batches, word_hashes, write_shared
+from .common import U64, SharedTable, lowered_words, mix64, ngram_hashes, seed64, semi_join, shuffle_parts, small_batches, tidy, tidy_group, word_hashes, write_shared
+from .units import slices
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
@@ -168,8 +169,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _signature_batches(k: int, num: int, den: int):
     def run(batches):
-        release_memory()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             size, d1, d2, keys, bits, wide = [], [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(lowered_words(text.as_py()), k)
@@ -186,7 +186,7 @@ def _signature_batches(k: int, num: int, den: int):
                 [batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in (size, d1, d2)], pa.array(keys, pa.binary()), pa.array(bits, longs), pa.array(wide, longs)], ["id", "anon", "n", "d1", "d2", "keys", "bits", "wide"]
             )
 
-    return run
+    return tidy(run)
 
 
 def shared_keys(reps: DataFrame, shards: int) -> DataFrame:
@@ -222,20 +222,19 @@ def shared_keys(reps: DataFrame, shards: int) -> DataFrame:
         many = count > 1
         return pa.table({"key": keys[many], "rep": reps[many], "c": count[many].astype(np.int64)})
 
-    sent = reps.select("id", "keys").mapInArrow(send, "shard int, ids binary, held binary, keys binary")
-    return sent.groupBy("shard").applyInArrow(meet, "key long, rep long, c long")
+    sent = reps.select("id", "keys").mapInArrow(tidy(send), "shard int, ids binary, held binary, keys binary")
+    return sent.groupBy("shard").applyInArrow(tidy_group(meet), "key long, rep long, c long")
 
 
 def _set_batches(k: int):
     def run(batches):
-        release_memory()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = [shingles(lowered_words(t.as_py()), k).astype(np.int64) for t in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "tokens"])
 
-    return run
+    return tidy(run)
 
 
 #: Columns of the parity bits.

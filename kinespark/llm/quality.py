@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SharedTable, ascii_words, mix64, release_memory, seed64, semi_join, shuffle_parts, small_batches, word_hashes, write_shared
+from .common import U64, SharedTable, ascii_words, mix64, seed64, semi_join, shuffle_parts, small_batches, tidy, tidy_group, trim, word_hashes, write_shared
 from .units import slices
 
 #: Bits of a word's hash and of a key within its shard; the bytes that hold them.
@@ -108,7 +108,6 @@ def count_bigrams(docs: DataFrame, shards: int) -> SharedTable:
     count 1 to 4. ``docs``: column text."""
 
     def gather(batches):
-        release_memory()
         keep: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -140,8 +139,8 @@ def count_bigrams(docs: DataFrame, shards: int) -> SharedTable:
         return pa.table({"shard": table["shard"][:1], "v": [packed(v[first])], "w": [packed(w[first])], "c": [total.tobytes()], **{f"n{k}": [int((total == k).sum())] for k in (1, 2, 3, 4)}})
 
     schema = "shard int, v binary, w binary, c binary"
-    sent = docs.select("text").mapInArrow(gather, schema)
-    return write_shared(sent.groupBy("shard").applyInArrow(merge, f"{schema}, n1 long, n2 long, n3 long, n4 long"), "bigrams")
+    sent = docs.select("text").mapInArrow(tidy(gather), schema)
+    return write_shared(sent.groupBy("shard").applyInArrow(tidy_group(merge), f"{schema}, n1 long, n2 long, n3 long, n4 long"), "bigrams")
 
 
 def _bigrams(batch):
@@ -163,7 +162,7 @@ def count_words(bigrams: DataFrame) -> SharedTable:
                 yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), *[pa.array(x) for x in (*sums, np.bincount(at_w, minlength=len(words)))]], ["word", "c", "n1", "n2", "n3", "cont"])
 
     names = ("c", "n1", "n2", "n3", "cont")
-    rows = bigrams.select("v", "w", "c").mapInArrow(run, "word long, " + ", ".join(f"{k} long" for k in names))
+    rows = bigrams.select("v", "w", "c").mapInArrow(tidy(run), "word long, " + ", ".join(f"{k} long" for k in names))
     return write_shared(rows.groupBy("word").agg(*[F.sum(k).alias(k) for k in names]), "words")
 
 
@@ -293,9 +292,9 @@ class Model:
         ids, c, g, q = _arrow(most_counted(known, F.col("c") + F.col("cont"), MOST_WORDS).select("word", "c", "g", "q"), U64, np.float64, np.float64, np.float64)
         order = np.argsort(ids)
         frequent = spark.sparkContext.broadcast((ids[order], c[order], g[order], q[order]))
-        self.tables = [write_shared(bigrams.df.select("shard", "v", "w", "c").mapInArrow(self._both_frequent(frequent), VALUES), "values")]
+        self.tables = [write_shared(bigrams.df.select("shard", "v", "w", "c").mapInArrow(tidy(self._both_frequent(frequent)), VALUES), "values")]
         least = _least_bin(bigrams.df.select("c").mapInArrow(_bins, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")), MOST_BIGRAMS)
-        top = bigrams.df.select("shard", "v", "w", "c").mapInArrow(self._top(frequent, least), "key long, value double")
+        top = bigrams.df.select("shard", "v", "w", "c").mapInArrow(tidy(self._top(frequent, least)), "key long, value double")
         keys, values = _arrow(top, np.int64, np.float64)
         self.tables.append(write_shared(self._packed(self._rest(bigrams.df, known, frequent).unionByName(self._words(known))), "values"))
         words.drop()
@@ -319,7 +318,6 @@ class Model:
         s = self.smoothing
 
         def run(batches):
-            release_memory()
             gains = _gains(s, frequent.value)
             for batch in batches:
                 rows = []
@@ -352,7 +350,6 @@ class Model:
         s = self.smoothing
 
         def run(batches):
-            release_memory()
             gains = _gains(s, frequent.value)
             ids, count, g, q = frequent.value
             if not len(ids):  # a place for what is then always looked up elsewhere
@@ -365,7 +362,7 @@ class Model:
                     columns = [bigram_keys(v, w)[rare].view(np.int64), s.relative(c[rare]), np.where(in_v[rare], own, v[rare].astype(np.int64)), np.where(in_w[rare], own, w[rare].astype(np.int64)), (count * g)[at_v[rare]], q[at_w[rare]]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "d", "jv", "jw", "cg", "q"])
 
-        rows = bigrams.select("v", "w", "c").mapInArrow(run, "key long, d double, jv long, jw long, cg double, q double")
+        rows = bigrams.select("v", "w", "c").mapInArrow(tidy(run), "key long, d double, jv long, jw long, cg double, q double")
         of_v = known.select(F.col("word").alias("jv"), (F.col("c") * F.col("g")).alias("cg_v"))
         of_w = known.select(F.col("word").alias("jw"), F.col("q").alias("q_w"))
         both = rows.join(of_v.hint("merge"), "jv", "left").join(of_w.hint("merge"), "jw", "left")
@@ -381,7 +378,7 @@ class Model:
                 keys = np.concatenate([word_keys(ids, False), word_keys(ids, True)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate([a + b, a]))], ["key", "value"])
 
-        return known.select("word", F.log(F.col("q") / float(self.unknown)).alias("a"), F.log("g").alias("b")).mapInArrow(run, "key long, value double")
+        return known.select("word", F.log(F.col("q") / float(self.unknown)).alias("a"), F.log("g").alias("b")).mapInArrow(tidy(run), "key long, value double")
 
     def _packed(self, rows: DataFrame) -> DataFrame:
         """Rows (key, value) as one row for each shard."""
@@ -402,7 +399,7 @@ class Model:
         def unite(table: pa.Table) -> pa.Table:
             return pa.table({"shard": table["shard"][:1], "keys": [b"".join(table["keys"].to_pylist())], "data": [b"".join(table["data"].to_pylist())]})
 
-        return rows.mapInArrow(send, VALUES).groupBy("shard").applyInArrow(unite, VALUES)
+        return rows.mapInArrow(tidy(send), VALUES).groupBy("shard").applyInArrow(tidy_group(unite), VALUES)
 
     def _heavy(self, scored: DataFrame, tier: Tier) -> tuple[np.ndarray, np.ndarray]:
         """Keys that are frequent in a batch of the scored texts but not in the tier, and their values: such keys, met a
@@ -411,7 +408,6 @@ class Model:
         small = spark.sparkContext.broadcast(tier)
 
         def count(batches):
-            release_memory()
             for batch in _texts(batches, 0):
                 keys = [document_keys(ascii_words(t)) for t in batch.column(0).to_pylist()]
                 flat = np.concatenate(keys) if keys else np.empty(0, U64)
@@ -421,7 +417,7 @@ class Model:
                 new = ~small.value.look_up(unique)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(unique[new].view(np.int64)), pa.array(n[new])], ["key", "n"])
 
-        counted = scored.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        counted = scored.select("text").mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         (keys,) = _arrow(most_counted(counted, F.col("n"), MOST_HEAVY).select("key"), np.int64)
         keys = np.sort(keys.view(U64))
         small.unpersist()
@@ -451,7 +447,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shards, tier, log_unknown = model.shards, model.tier, math.log(model.unknown)
 
     def ask(batches):
-        release_memory()
         first = tier.value
         at = TaskContext.get().partitionId() << 24
         for batch in _texts(batches, 2):
@@ -484,6 +479,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             total = np.bincount(of[here], weights=found[here], minlength=docs_)
             some = np.flatnonzero(total)
             sums.append(some.astype(np.uint16).tobytes() + total[some].astype(np.float32).tobytes())
+        trim()
         return pa.table({"block": right["block"], "ids": right["ids"], "langs": right["langs"], "ns": right["ns"], "base": right["base"], "sums": pa.array(sums, pa.binary())})
 
     def unite(table: pa.Table) -> pa.Table:
@@ -496,7 +492,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table({"id": column("ids"), "lang": column("langs"), "n": column("ns"), "nll": pa.array(-total)})
 
     lists = f"ids array<{kind}>, langs array<string>, ns array<long>, base array<double>"
-    asked = docs.select("id", "lang", "text").mapInArrow(ask, f"shard int, block long, docs long, keys binary, of binary, {lists}")
+    asked = docs.select("id", "lang", "text").mapInArrow(tidy(ask), f"shard int, block long, docs long, keys binary, of binary, {lists}")
     told = model.df.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, f"block long, {lists}, sums binary")
     return told.groupBy("block").applyInArrow(unite, f"id {kind}, lang string, n long, nll double")
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, mix64, release_memory, seed64, shuffle_parts, small_batches, word_hashes, write_shared
+from .common import U64, ascii_words, mix64, seed64, shuffle_parts, small_batches, tidy, tidy_group, word_hashes, write_shared
 from .units import slices
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -86,7 +86,6 @@ def contexts(words: list[bytes], window: int, prefix: int, wanted: np.ndarray) -
 
 def _describe(window: int, prefix: int):
     def run(batches):
-        release_memory()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             n, d1, d2, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -112,7 +111,6 @@ def _send_contexts(window: int, prefix: int, groups: int):
     """Rows (group, id, starts, text): each distinct context of a document once, with the places where it starts."""
 
     def run(batches):
-        release_memory()
         for whole in batches:
             for batch in slices(whole, 1):
                 group, ids, starts, texts = [], [], [], []
@@ -174,7 +172,6 @@ def _whole_windows(window: int, prefix: int):
     prefixes."""
 
     def run(batches):
-        release_memory()
         for batch in batches:
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = ascii_words(text)
@@ -211,7 +208,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = write_shared(base.mapInArrow(_describe(window, prefix), "id long, n long, d1 long, d2 long, prefixes array<long>"), "prefixes")
+    told = write_shared(base.mapInArrow(tidy(_describe(window, prefix)), "id long, n long, d1 long, d2 long, prefixes array<long>"), "prefixes")
     long_ones = told.df.where((F.col("n") >= window) & F.col("id").isNotNull())
     first = write_shared(long_ones.groupBy("d1", "d2", "n").agg(F.min("id").alias("first")), "first")
     copies = long_ones.select("id", "d1", "d2", "n").join(first.df.hint("merge"), ["d1", "d2", "n"]).where("id > first").select("id", F.lit(True).alias("copy"), "d1", "d2")
@@ -224,10 +221,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = write_shared(mine.groupBy("id").agg(*[F.collect_set(F.when(x, F.col("prefix"))).alias(name) for name, x in (("small", F.col("docs") <= group_size), ("hot", F.col("docs") > group_size))]), "lists")
     texts = base.where("id is not null").hint("merge").join(lists.df.hint("merge"), "id")
     groups = max(shuffle_parts(docs.sparkSession), -(-(n_small or 0) // (4 * group_size)))
-    sent = texts.where("size(small) > 0").select("id", "text", "small").mapInArrow(_send_contexts(window, prefix, groups), "group long, id long, starts array<int>, text string")
-    repeats = sent.groupBy("group").applyInArrow(_subtree(window), "id long, starts array<int>")
+    sent = texts.where("size(small) > 0").select("id", "text", "small").mapInArrow(tidy(_send_contexts(window, prefix, groups)), "group long, id long, starts array<int>, text string")
+    repeats = sent.groupBy("group").applyInArrow(tidy_group(_subtree(window)), "id long, starts array<int>")
     if n_hot:
-        made = texts.where("size(hot) > 0").select("id", "text", "hot").mapInArrow(_whole_windows(window, prefix), "d1 long, d2 long, id long, starts array<int>")
+        made = texts.where("size(hot) > 0").select("id", "text", "hot").mapInArrow(tidy(_whole_windows(window, prefix)), "d1 long, d2 long, id long, starts array<int>")
         nodes = write_shared(made, "nodes")
         least = write_shared(nodes.df.groupBy("d1", "d2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "least")
         repeats = repeats.unionByName(nodes.df.join(least.df.hint("merge"), ["d1", "d2"]).where("lo < id").select("id", "starts"))
@@ -249,7 +246,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = [f for f in joined.schema if f.name == "__id" or f.name.startswith("__k_")]
 
     def run(batches):
-        release_memory()
         for whole in batches:
             for batch in slices(whole, whole.schema.get_field_index("__text")):
                 col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -271,5 +267,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*[col[f.name] for f in own], pa.array(n, pa.int64()), pa.array(gone_, pa.int64()), pa.array(kept, pa.string())], [*[f.name for f in own], "n_words", "n_removed", "kept_text"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], "n_words long, n_removed long, kept_text string"])
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(tidy(run), schema)
     return out.select(F.col("__id").alias(id_col), *[F.col(f"__k_{c}").alias(c) for c in keep if c != id_col], "n_words", "n_removed", "kept_text")
