@@ -96,6 +96,11 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAS
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
 
+def shuffles(df: DataFrame) -> bool:
+    """Whether rows of ``df`` come from a shuffle, so that their order may differ when it is read again."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

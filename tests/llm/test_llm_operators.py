@@ -224,7 +224,7 @@ def test_quality_matches_a_plain_model(spark, monkeypatch, tier):
     pairs = Counter()
     for i in range(250):
         if not got[i].held:
-            w = ["<s>", *texts[i].split()]
+            w = ["<s>", *texts[i].split(), "</s>"]
             pairs.update(zip(w, w[1:], strict=False))
     d = quality._discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
     followers = {}
@@ -238,7 +238,7 @@ def test_quality_matches_a_plain_model(spark, monkeypatch, tier):
     assert abs(sum(map(q, cont)) + unknown - 1) < 1e-9
 
     def nll(text):
-        w, out = ["<s>", *text.split()], 0.0
+        w, out = ["<s>", *text.split(), "</s>"] if text.split() else [], 0.0
         for a, b in zip(w, w[1:], strict=False):
             f = followers.get(a, [])
             g = sum(d[min(c, 3)] for c in f) / sum(f) if f else 1.0
