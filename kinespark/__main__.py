@@ -186,7 +186,8 @@ def run(spark, a: argparse.Namespace):
         frames = overlay.lap_panel(frames, laps)
     from .model import column_name
 
-    pictures = overlay.rendered(frames, layout, {c: column_name(c) for c in layout.channels()}, layout.size()).orderBy("frame")
+    frames, traces, line = engine.overlay_scene(frames, session.session_id, layout)
+    pictures = overlay.rendered(frames, layout, {c: column_name(c) for c in layout.channels()}, layout.size(), traces, line).orderBy("frame")
     if not a.output:
         return {"frames": pictures.count(), "size": layout.size(), "offset_s": offset}
     probe = {"width": info.width, "height": info.height, "fps": info.fps, "rotation": 0, "has_audio": any(t.handler == "soun" for t in info.tracks)}

@@ -52,25 +52,32 @@ class Engine:
         else:
             export.export_json(self.data, names).select("json").write.text(path)
 
-    def fixes(self) -> DataFrame:
-        """GPS fixes (session_id, idx, timestamp_ms, lat, lon)."""
+    def fixes(self, extra: dict[str, str] | None = None) -> DataFrame:
+        """GPS fixes (session_id, idx, timestamp_ms, lat, lon) and, of ``extra``, channels of the same positions by the name
+        of their column."""
+        extra = extra or {}
         need = ["GPS_Latitude", "GPS_Longitude", "GPS_EpochMs"]
         missing = [n for n in need if n not in self.data.load_info()]
         if missing:
             raise InputError("parse", f"no GPS: {', '.join(missing)}")
-        return laps.gps_track(grid(self.data.samples, need), *[column_name(n) for n in need])
+        g = grid(self.data.samples, [*need, *extra])
+        f = laps.gps_track(g, *[column_name(n) for n in need], tuple(column_name(n) for n in extra))
+        return f.withColumnsRenamed({column_name(n): c for n, c in extra.items()})
 
     def activity(self) -> DataFrame:
-        """FIT record fields of every fix, with altitude, speed and heart rate where the session has them."""
-        f = self.fixes()
+        """FIT record fields of every fix, with altitude and speed of the same position, and heart rate, where the session
+        has them."""
         info = self.data.load_info()
-        need = ["GPS_Latitude", "GPS_Longitude", "GPS_EpochMs"]
-        extra = [(n, c) for n, c in (("GPS_Altitude", "alt"), ("GPS_SpeedKmh", "speed")) if n in info]
-        if extra:
-            g = grid(self.data.samples, [*need, *[n for n, _ in extra]])
-            side = g.where(F.col(column_name(need[2])).isNotNull()).select("session_id", F.col(column_name(need[2])).cast("long").alias("timestamp_ms"), *[F.col(column_name(n)).alias(c) for n, c in extra]).dropDuplicates(["session_id", "timestamp_ms"])
-            f = f.join(side, ["session_id", "timestamp_ms"], "left")
-        return fit.activity_records(f, self.heart_rate())
+        return fit.activity_records(self.fixes({n: c for n, c in (("GPS_Altitude", "alt"), ("GPS_SpeedKmh", "speed")) if n in info}), self.heart_rate())
+
+    def session_time(self, points: DataFrame, epoch: str = "timestamp_ms") -> DataFrame:
+        """``points`` with t, the recording's seconds at an epoch: between the GPS channel's samples, or from the session's
+        start where that channel has no rate."""
+        info = self.data.load_info()["GPS_EpochMs"]
+        if info.rate > 0:
+            return joins.epoch_to_time(points, self.data.frame("GPS_EpochMs"), info.rate, epoch)
+        start = self.data.sessions.select("session_id", F.coalesce("timestamp_utc_ms", F.lit(0)).alias("__s"))
+        return points.join(start, "session_id").withColumn("t", (F.col(epoch) - F.col("__s")) / 1000.0).drop("__s")
 
     def heart_rate(self) -> DataFrame | None:
         """(session_id, t: wall-clock ms, value) of the beats: the session's start plus each beat's time; beats without a
@@ -89,9 +96,7 @@ class Engine:
     def at_fixes(self, name: str) -> DataFrame:
         """A channel's value at every fix (session_id, idx, value): the nearest sample in time."""
         samples, rate = self._channel(name)
-        f = self.fixes()
-        start = f.groupBy("session_id").agg(F.min("timestamp_ms").alias("__0"))
-        points = f.join(start, "session_id").select("session_id", "idx", ((F.col("timestamp_ms") - F.col("__0")) / 1000.0).alias("t"))
+        points = self.session_time(self.fixes()).select("session_id", "idx", "t")
         s = samples.select("session_id", F.col("idx").alias("__k"), "t", "value")
         if rate > 0:
             return joins.nearest_fixed(points, s.withColumnRenamed("__k", "idx"), rate).select("session_id", "idx", "value")
@@ -190,6 +195,29 @@ class Engine:
                 out = out.withColumn(column_name(name), F.lit(None).cast("double"))
         return out
 
+    def overlay_scene(self, frames: DataFrame, session_id: str, layout: config.OverlayLayout) -> tuple[DataFrame, dict[tuple, str], list[tuple[float, float]]]:
+        """(frames with a column of points for each strip's channel and, where a map is drawn, the position x and y; these
+        columns by (channel, window); the map's line)."""
+        info = self.data.load_info()
+        kinds = {e["type"] for e in layout.elements}
+        traces: dict[tuple, str] = {}
+        out = frames
+        for e in layout.elements:
+            for name in e["channels"] if e["type"] == "trace_strip" else ():
+                key = (name, float(e.get("window_s", 10.0)))
+                if name in info and key not in traces:
+                    column = traces[key] = f"trace_{len(traces)}"
+                    points = overlay.trace(frames, self.data.frame(name).where(F.col("session_id") == session_id), info[name].rate, key[1])
+                    strip = points.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias(column))  # at most TRACE_POINTS
+                    out = out.join(strip, "frame", "left")
+        line = []
+        if "track_map" in kinds and {"GPS_Latitude", "GPS_Longitude", "GPS_EpochMs"} <= set(info):
+            fixes = self.session_time(self.fixes().where(F.col("session_id") == session_id))
+            norm = overlay.normalised_map(fixes.select("session_id", "idx", "t", "lat", "lon"))
+            out = out.join(overlay.map_position(frames, norm).select("frame", "x", "y"), "frame")
+            line = [(r.x, r.y) for r in overlay.map_line(norm).orderBy("idx").collect()]  # at most MAP_POINTS
+        return out, traces, line
+
     # ---- recovery ----
     def recover(self, path: str, sector: int = 512) -> DataFrame:
         return log.scan_images(self.spark, path, sector)

@@ -34,6 +34,19 @@ def detrend(segment: np.ndarray, mode: str) -> np.ndarray:
     return segment - (slope * i + (segment.sum() - slope * i.sum()) / n)
 
 
+def detrend_rows(segments: np.ndarray, mode: str) -> np.ndarray:
+    """``detrend`` of each row."""
+    if mode == "none":
+        return segments
+    flat = segments - segments.mean(axis=1, keepdims=True)
+    if mode in ("mean", "constant"):
+        return flat
+    i = np.arange(segments.shape[1], dtype=np.float64)
+    i -= i.mean()
+    den = (i * i).sum()
+    return flat - np.outer(flat @ i / den, i) if den else flat
+
+
 def frames(n: int, nperseg: int, noverlap: int) -> tuple[int, np.ndarray]:
     """(segment length, starts). Length 0 or of at least n gives one full segment; a trailing part is dropped."""
     size = n if nperseg == 0 or nperseg >= n else nperseg

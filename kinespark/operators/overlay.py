@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..kernels import raster
 from . import joins
 
 #: Most points of a trace strip; seconds after which a map position is stale; most points of the map's line.
@@ -53,16 +56,11 @@ def trace(frames: DataFrame, samples: DataFrame, rate: float, window_s: float) -
 
 
 def normalised_map(fixes: DataFrame) -> DataFrame:
-    """Fixes (session_id, idx, t, lat, lon) with x and y in the unit box of the session, y up, aspect kept by the cosine
-    of the mean latitude."""
+    """Fixes (session_id, idx, t, lat, lon) with x and y in the unit box of the session, y up: each axis by its own range,
+    whatever its unit; 0.5 on an axis without width."""
     box = fixes.groupBy("session_id").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
-    s = F.cos(F.radians((F.col("a") + F.col("b")) / 2))
-    wide, high = (F.col("d") - F.col("c")) * s, F.col("b") - F.col("a")
-    size = F.greatest(wide, high)
-    safe = F.when(size > 0, size)
-    x = F.coalesce(((F.col("lon") - F.col("c")) * s + (size - wide) / 2) / safe, F.lit(0.5))
-    y = F.coalesce((F.col("lat") - F.col("a") + (size - high) / 2) / safe, F.lit(0.5))
-    return fixes.join(box, "session_id").select("session_id", "idx", "t", x.alias("x"), y.alias("y"))
+    unit = lambda v, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.5)
+    return fixes.join(box, "session_id").select("session_id", "idx", "t", unit("lon", "c", "d").alias("x"), unit("lat", "a", "b").alias("y"))
 
 
 def map_line(normalised: DataFrame) -> DataFrame:
@@ -83,32 +81,51 @@ def lap_panel(frames: DataFrame, laps: list[tuple[int, float, float, int]]) -> D
     """Frames with current_lap (NULL outside), lap_elapsed_s, last_lap_ms and best_lap_ms. ``laps``: (number, start_s,
     end_s, lap_time_ms) of one session, literals of the plan."""
     t = F.col("t")
-    current: Column = F.lit(None).cast("long")
-    elapsed: Column = F.lit(0.0)
-    last: Column = F.lit(None).cast("long")
-    best: Column = F.lit(None).cast("long")
-    for number, a, b, ms in laps:
-        inside, over = (t >= a) & (t < b), t >= b
-        current, elapsed = F.when(inside, F.lit(number).cast("long")).otherwise(current), F.when(inside, t - a).otherwise(elapsed)
-        last = F.when(over, F.lit(ms).cast("long")).otherwise(last)
-        best = F.when(over, F.least(F.lit(ms).cast("long"), best)).otherwise(best)
-    return frames.select("*", current.alias("current_lap"), elapsed.alias("lap_elapsed_s"), last.alias("last_lap_ms"), best.alias("best_lap_ms"))
+    if not laps:
+        nothing = F.lit(None).cast("long")
+        return frames.select("*", nothing.alias("current_lap"), F.lit(0.0).alias("lap_elapsed_s"), nothing.alias("last_lap_ms"), nothing.alias("best_lap_ms"))
+    number, start, end, ms = ([kind(x) for x in column] for kind, column in zip((int, float, float, int), zip(*sorted(laps, key=lambda x: x[1]), strict=True), strict=True))
+    of = lambda column, k: F.get(F.lit(column), k)
+    every = F.sequence(F.lit(0), F.lit(len(laps) - 1))
+    current = F.try_element_at(F.filter(every, lambda k: (of(start, k) <= t) & (t < of(end, k))), F.lit(-1))
+    over = F.filter(every, lambda k: of(end, k) <= t)
+    out = frames.select("*", current.alias("__c"), over.alias("__o"))
+    times = F.transform("__o", lambda k: of(ms, k).cast("long"))
+    return out.select(
+        *frames.columns,
+        of(number, F.col("__c")).cast("long").alias("current_lap"),
+        F.coalesce(t - of(start, F.col("__c")), F.lit(0.0)).alias("lap_elapsed_s"),
+        F.try_element_at(times, F.lit(-1)).alias("last_lap_ms"),
+        F.array_min(times).alias("best_lap_ms"),
+    )
+
+
+def _text(form) -> Callable[[Column], Column]:
+    """A column of texts by a Python format, which rounds a number's exact value (the JVM's rounds its shortest decimals)."""
+
+    def of(column: Column) -> Column:
+        @F.pandas_udf("string")
+        def shown(x: pd.Series) -> pd.Series:
+            return x.map(form, na_action="ignore")
+
+        return shown(column)
+
+    return of
 
 
 def elapsed_text(seconds: Column) -> Column:
     """m:ss.d, rounded within the minute."""
-    m = F.floor(seconds / 60)
-    return F.format_string("%d:%04.1f", m, seconds - m * 60.0)
+    return _text(raster.elapsed)(seconds.cast("double"))
 
 
 def lap_text(ms: Column) -> Column:
     """m:ss.dd of milliseconds."""
-    return F.format_string("%d:%05.2f", F.floor(ms / 60_000), (ms % 60_000) / 1000.0)
+    return _text(lambda x: raster.lap_time(int(x)))(ms.cast("long"))
 
 
 def value_text(v: Column) -> Column:
     """One decimal from 10 up, two below."""
-    return F.when(F.abs(v) >= 10.0, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v))
+    return _text(raster.number)(v.cast("double"))
 
 
 def sync(utc_anchor: tuple[float, float] | None, creation_ms: float | None, duration_s: float, session_start_ms: float, session_s: float) -> tuple[float, str, float]:
@@ -131,12 +148,10 @@ def rendered(frames: DataFrame, layout, columns: dict[str, str], size: tuple[int
     """(frame, pixels): straight RGBA pictures of an overlay, rows top down, drawn in parallel by frame.
 
     ``frames`` has a column per gauge (``columns``: channel to column name) and, as the layout needs them, x and y of the
-    map, and current_lap, lap_elapsed_s, last_lap_ms and best_lap_ms. ``traces``: channel to the column that holds an
+    map, and current_lap, lap_elapsed_s, last_lap_ms and best_lap_ms. ``traces``: (channel, window in seconds), or channel, to the column that holds an
     array of (x, y) structs; ``line``: the map's points, the same for all frames."""
     import pyarrow as pa
 
-    from ..kernels import raster
-
     elements, traces, line = list(layout.elements), dict(traces or {}), list(line or [])
 
     def run(batches):

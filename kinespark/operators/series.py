@@ -202,50 +202,59 @@ def tile_pyramid(lower: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 # ---- spectra ----
-def spectrogram(samples: DataFrame, rate: float, window: str = "hann", nperseg: int = 256, noverlap: int = 128, trend: str = "none", scaling: str = "density", t0: float = 0.0, length: int | None = None, power_only: bool = False) -> DataFrame:
-    """(keys, frame, t, bin, freq, power) of overlapping frames.
+#: Frames that one call transforms.
+FRAMES = 256
 
-    Each sample goes to the frames that hold it (at most ceil(nperseg / hop)), frames are grouped and transformed on
+
+def _frames(samples: DataFrame, rate: float, window: str, nperseg: int, noverlap: int, trend: str) -> DataFrame:
+    """(keys, frame, start, size, w2, bin, power): unscaled power of overlapping frames, the segment's length and the sum of
+    its window's squares.
+
+    Each sample goes to the frames that hold it (at most ceil(nperseg / hop)); blocks of frames are transformed on
     their own, so a long channel spreads over all tasks. A segment of 0, or of at least the channel, is the whole
-    channel in one frame; ``length`` is the channel's length if known, else it is counted."""
-    n = length if length is not None else samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    first = samples.groupBy(*KEYS).agg(F.min("idx").alias("__first"), F.max("idx").alias("__end"))
-    size, _ = spectral.frames(n, nperseg, noverlap)
-    if size == 0:
-        return samples.limit(0).select(*KEYS, F.lit(0).cast("long").alias("frame"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("freq"), F.lit(0.0).alias("power"))
-    hop = size - min(noverlap, size - 1)
-    at = samples.join(first, KEYS).withColumn("__i", F.col("idx") - F.col("__first"))
-    count = F.floor((F.col("__end") - F.col("__first") + 1 - size) / hop).cast("long")
-    lo = F.greatest(F.ceil((F.col("__i") - size + 1) / hop).cast("long"), F.lit(0).cast("long"))
-    hi = F.least(F.floor(F.col("__i") / hop).cast("long"), count)
-    placed = at.where(hi >= lo).withColumn("frame", F.explode(F.sequence(lo, hi))).select(*KEYS, "frame", "__i", "value")
+    of that channel in one frame."""
+    import numpy as np
+
+    spans = samples.groupBy(*KEYS).agg(F.min("idx").alias("__first"), F.max("idx").alias("__end"))
+    n = F.col("__end") - F.col("__first") + 1
+    size = F.when((n <= nperseg) | F.lit(nperseg == 0), n).otherwise(nperseg)
+    spans = spans.select(*KEYS, "__first", n.alias("__n"), size.alias("__size")).withColumn("__hop", F.col("__size") - F.least(F.lit(noverlap), F.col("__size") - 1))
+    at = samples.join(spans, KEYS).withColumn("__i", F.col("idx") - F.col("__first"))
+    last = F.floor((F.col("__n") - F.col("__size")) / F.col("__hop")).cast("long")
+    lo = F.greatest(F.ceil((F.col("__i") - F.col("__size") + 1) / F.col("__hop")).cast("long"), F.lit(0).cast("long"))
+    hi = F.least(F.floor(F.col("__i") / F.col("__hop")).cast("long"), last)
+    placed = at.where(hi >= lo).withColumn("frame", F.explode(F.sequence(lo, hi))).select(*KEYS, F.floor(F.col("frame") / FRAMES).alias("__block"), "frame", "__i", "__size", "__hop", "value")
 
     def transform(key, table):
-        x = table.sort_by("__i")["value"].to_numpy()
+        table = table.sort_by([("frame", "ascending"), ("__i", "ascending")])
+        size, hop = table["__size"][0].as_py(), table["__hop"][0].as_py()
+        x = table["value"].to_numpy().reshape(-1, size)
         w = spectral.weights(size, window)
-        import numpy as np
+        power = np.abs(np.fft.rfft(spectral.detrend_rows(x, trend) * w, axis=1)) ** 2
+        m, bins = power.shape
+        frame = np.repeat(table["frame"].to_numpy()[::size], bins)
+        return pa.table({"session_id": [key[0].as_py()] * len(frame), "channel_id": [key[1].as_py()] * len(frame), "frame": frame, "start": frame * hop, "size": np.full(len(frame), size), "w2": np.full(len(frame), float((w * w).sum())), "bin": np.tile(np.arange(bins), m), "power": power.ravel()})
 
-        power = np.abs(np.fft.rfft(spectral.detrend(x, trend) * w)) ** 2
-        out = power if power_only else spectral.scaled_power(power.copy(), size, w, rate, scaling)
-        m = len(out)
-        start = key[2].as_py() * hop
-        return pa.table({"session_id": [key[0].as_py()] * m, "channel_id": [key[1].as_py()] * m, "frame": [key[2].as_py()] * m, "t": [t0 + (start + size / 2) / rate] * m, "bin": np.arange(m), "freq": np.arange(m) * rate / size, "power": out})
+    return placed.groupBy(*KEYS, "__block").applyInArrow(transform, "session_id string, channel_id string, frame long, start long, size long, w2 double, bin long, power double")
 
-    return placed.groupBy(*KEYS, "frame").applyInArrow(transform, "session_id string, channel_id string, frame long, t double, bin long, freq double, power double")
 
+def _scaled(power: Column, rate: float, scaling: str) -> Column:
+    """Magnitude: root of the power. Density: by rate and window, doubled but for DC and an even segment's last bin."""
+    if scaling == "magnitude":
+        return F.sqrt(power)
+    return power / (F.lit(float(rate)) * F.col("w2")) * F.when((F.col("bin") == 0) | (F.col("bin") * 2 == F.col("size")), 1.0).otherwise(2.0)
 
-def welch(samples: DataFrame, rate: float, window: str = "hann", nperseg: int = 256, noverlap: int = 128, trend: str = "none", average: str = "mean", scaling: str = "density", length: int | None = None) -> DataFrame:
-    """(keys, bin, freq, power): mean or median over the frames of a spectrogram, then scaled."""
-    import numpy as np
 
-    n = length if length is not None else samples.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    frames = spectrogram(samples, rate, window, nperseg, noverlap, trend, length=n, power_only=True)
+def spectrogram(samples: DataFrame, rate: float, window: str = "hann", nperseg: int = 256, noverlap: int = 128, trend: str = "none", scaling: str = "density", t0: float = 0.0) -> DataFrame:
+    """(keys, frame, t, bin, freq, power) of overlapping frames; t is the middle of the frame. A channel no longer than a
+    segment is one frame of its own length."""
+    f = _frames(samples, rate, window, nperseg, noverlap, trend)
+    return f.select(*KEYS, "frame", (F.lit(float(t0)) + (F.col("start") + F.col("size") / 2) / rate).alias("t"), "bin", (F.col("bin") * F.lit(float(rate)) / F.col("size")).alias("freq"), _scaled(F.col("power"), rate, scaling).alias("power"))
+
+
+def welch(samples: DataFrame, rate: float, window: str = "hann", nperseg: int = 256, noverlap: int = 128, trend: str = "none", average: str = "mean", scaling: str = "density") -> DataFrame:
+    """(keys, bin, freq, power): mean or median over the frames of a spectrogram, then scaled."""
+    f = _frames(samples, rate, window, nperseg, noverlap, trend)
     combine = F.avg("power") if average == "mean" else F.percentile("power", F.lit(0.5))
-    out = frames.groupBy(*KEYS, "bin", "freq").agg(combine.alias("power"))
-    size, _ = spectral.frames(n, nperseg, noverlap)
-    if scaling == "magnitude" or size == 0:
-        return out.withColumn("power", F.sqrt("power"))
-    w = spectral.weights(size, window)
-    last = size // 2 if size % 2 == 0 else -1
-    double = F.when((F.col("bin") == 0) | (F.col("bin") == last), 1.0).otherwise(2.0)
-    return out.withColumn("power", F.col("power") / F.lit(float(rate * np.sum(w * w))) * double)
+    out = f.groupBy(*KEYS, "size", "w2", "bin").agg(combine.alias("power"))
+    return out.select(*KEYS, "bin", (F.col("bin") * F.lit(float(rate)) / F.col("size")).alias("freq"), _scaled(F.col("power"), rate, scaling).alias("power"))

@@ -114,7 +114,29 @@ def sag_stats(values: DataFrame, by: str, value: str = "value") -> DataFrame:
 
 
 def diagnostic_report(lines: DataFrame) -> DataFrame:
-    """Boots by reason from text lines of key=value pairs (column value): reason, boots, drains and the longest drain in ms."""
-    pairs = lines.withColumn("kv", F.map_from_entries(F.transform(F.regexp_extract_all("value", F.lit(r"(\w+)=(\S+)"), F.lit(0)), lambda s: F.struct(F.split_part(s, F.lit("="), F.lit(1)).alias("k"), F.split_part(s, F.lit("="), F.lit(2)).alias("v")))))
-    event = F.try_element_at("kv", F.lit("event"))
-    return pairs.groupBy(F.coalesce(F.try_element_at("kv", F.lit("reason")), F.lit("")).alias("reason")).agg(F.count_if(event == "boot").alias("boots"), F.count_if(event == "drain").alias("drains"), F.max(F.try_element_at("kv", F.lit("ms")).try_cast("double")).alias("longest_ms"))
+    """What the recorder's diagnostic log says, from its text lines (column value), a row for each line of interest:
+    kind (boot, drain, cycle or brownout), t, and of a boot: reason; of a drain: imu, bus, drains, pairs, ovr, reuse, unk,
+    read_avg_us, read_max_us, total_avg_us, total_max_us; of a cycle: cycle_max_us, writer_drops, poll_ms, cap. flag says
+    overruns, unknown_tags or writer_drops. A key that a line repeats has its first value; what is missing is NULL."""
+    line = F.trim(F.col("value"))
+    key = lambda k: F.nullif(F.regexp_extract(line, rf"(?:^|\s){k}=(\S*)", 1), F.lit(""))
+    number = lambda k: key(k).try_cast("long")
+    part = lambda k, i: F.get(F.split(key(k), "/"), F.lit(i)).try_cast("long")
+    drain = line.contains("EVT IMU") & line.contains("drains=")
+    cycle = line.contains("EVT IMU cycle_max_us=")
+    kind = F.when(line.startswith("==== BOOT"), "boot").when(drain, "drain").when(cycle, "cycle").when(line.contains("BROWNOUT"), "brownout")
+    token = lambda i: F.nullif(F.regexp_extract(line, r"EVT\s+(\S+)\s+(\S+)", i), F.lit(""))
+    only = lambda k, c, name: F.when(F.col("kind") == k, c).alias(name)
+    found = lines.select("value", kind.alias("kind")).where("kind is not null")
+    flag = F.when((F.col("kind") == "drain") & (number("ovr") != 0), "overruns").when((F.col("kind") == "drain") & (number("unk") != 0), "unknown_tags").when((F.col("kind") == "cycle") & (number("writer_drops") != 0), "writer_drops")
+    return found.select(
+        "kind", key("t").alias("t"), only("boot", key("reason"), "reason"), only("drain", token(1), "imu"), only("drain", token(2), "bus"),
+        *[only("drain", number(k), k) for k in ("drains", "pairs", "ovr", "reuse", "unk")],
+        *[only("drain", part(k, i), f"{name}_{of}_us") for k, name in (("read_us", "read"), ("tot_us", "total")) for i, of in enumerate(("avg", "max"))],
+        *[only("cycle", number(k), k) for k in ("cycle_max_us", "writer_drops", "poll_ms", "cap")], flag.alias("flag"),
+    )
+
+
+def boots(report: DataFrame) -> DataFrame:
+    """(reason, boots) of a ``diagnostic_report``."""
+    return report.where("kind = 'boot'").groupBy(F.coalesce("reason", F.lit("?")).alias("reason")).agg(F.count(F.lit(1)).alias("boots"))

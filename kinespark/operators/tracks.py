@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 METRES = 111_320.0 / 1e7
 
 
+def candidates(fixes: DataFrame, tracks: dict[str, list[tuple[float, float]]]) -> list[str]:
+    """The tracks whose box meets that of a session with two fixes or more; those of less than two points never do."""
+    box = fixes.groupBy("session_id").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    usable = {k: v for k, v in tracks.items() if len(v) >= 2}
+    if not usable:
+        return []
+    meets = [F.max((F.col("a") <= max(p[0] for p in v)) & (F.col("b") >= min(p[0] for p in v)) & (F.col("c") <= max(p[1] for p in v)) & (F.col("d") >= min(p[1] for p in v))) for v in usable.values()]
+    return [k for k, hit in zip(usable, box.agg(*meets).first(), strict=True) if hit]
+
+
 def visits(fixes: DataFrame, tracks: dict[str, list[tuple[float, float]]], threshold_m: float = 30.0, gap_s: float = 5.0, least_s: float = 30.0) -> DataFrame:
     """(session_id, track_id, start_ms, end_ms).
 

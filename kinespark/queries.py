@@ -48,25 +48,30 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit("s0").alias("session_id"), F.col("event_id").alias("idx"), F.floor(F.col("us") / 1000).cast("long").alias("timestamp_ms"), F.round(450000000 + 10000 * F.sin(a)).alias("lat"), F.round(60000000 + 15000 * F.cos(a)).alias("lon"))
 
 
-def common(spark: SparkSession, sf_dir: str) -> SessionSet:
-    """The channels cut to the shortest one's length, as the expression language wants equal lengths."""
-    s = channels(spark, sf_dir)
-    n = s.groupBy("channel_id").count().agg(F.min("count")).first()[0]
-    return SessionSet.from_samples(s.where(F.col("idx") < n), RATE)
-
-
-def whole(spark: SparkSession, sf_dir: str, channel: str) -> SessionSet:
-    """One channel at its own length, for expressions that combine it with no other."""
-    return SessionSet.from_samples(channels(spark, sf_dir).where(F.col("channel_id") == channel), RATE)
+def common(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TYPES) -> SessionSet:
+    """The named channels, cut to the shortest of them, as the expression language wants equal lengths of those that it
+    combines; one alone is whole."""
+    s = channels(spark, sf_dir).where(F.col("channel_id").isin(*names))
+    if len(names) > 1:
+        n = s.groupBy("channel_id").count().agg(F.min("count")).first()[0]
+        s = s.where(F.col("idx") < n)
+    return SessionSet.from_samples(s, RATE)
 
 
 S_SQL = """s AS (SELECT 's0' AS session_id, event_type AS channel_id,
   CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS idx,
   CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS DOUBLE) / 10.0 AS t,
   epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us, event_id, value FROM events)"""
-G_SQL = S_SQL + """, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM s GROUP BY channel_id)),
-g AS (SELECT idx, """ + ", ".join(f"max(value) FILTER (WHERE channel_id = '{c}') AS {c}" for c in TYPES) + """
-  FROM s, n WHERE idx < n.n GROUP BY idx)"""
+
+
+def g_sql(*names: str) -> str:
+    """The same as a grid g of the named channels."""
+    listed = ", ".join(f"'{c}'" for c in names)
+    columns = ", ".join(f"max(value) FILTER (WHERE channel_id = '{c}') AS {c}" for c in names)
+    return f"""{S_SQL}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM s WHERE channel_id IN ({listed}) GROUP BY channel_id)),
+g AS (SELECT idx, {columns} FROM s, n WHERE channel_id IN ({listed}) AND idx < n.n GROUP BY idx)"""
+
+
 X_SQL = """x AS (SELECT event_id AS idx, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 1000 AS ms,
   round(450000000 + 10000 * sin(event_id * 0.012566)) AS lat, round(60000000 + 15000 * cos(event_id * 0.012566)) AS lon FROM events)"""
 
@@ -82,13 +87,14 @@ def query(name: str, sql: str | None = None):
 
 
 def _expression(name: str, text: str, sql: str, digits: int = 6, laps_: LapContext | None = None) -> None:
-    """An expression over the common grid against its SQL over g."""
+    """An expression over the grid of the channels it names against its SQL over g."""
+    names = tuple(c for c in TYPES if f"[{c}]" in text)
 
     def run(spark, sf_dir):
-        out, _, _ = evaluate(common(spark, sf_dir), text, laps_)
+        out, _, _ = evaluate(common(spark, sf_dir, names), text, laps_)
         return out.select("idx", F.round("value", digits).alias("value"))
 
-    query(name, f"WITH {G_SQL} SELECT idx, round(CAST({sql} AS DOUBLE), {digits}) AS value FROM g")(run)
+    query(name, f"WITH {g_sql(*names)} SELECT idx, round(CAST({sql} AS DOUBLE), {digits}) AS value FROM g")(run)
 
 
 _W8 = "OVER (ORDER BY idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"
@@ -104,6 +110,7 @@ _expression("fn_trig", "sin([click]) + cos([view]) + tan([error] / 400) + atan([
 _expression("fn_hyperbolic", "sinh([click] / 100) + cosh([view] / 100) + tanh([error] / 100)", "(exp(click/100) - exp(-click/100)) / 2 + (exp(view/100) + exp(-view/100)) / 2 + (exp(error/50) - 1) / (exp(error/50) + 1)")
 _expression("fn_pow_minmax", "pow([click], 0.5) + min([click], [view]) + max([click], [error]) + sqrt([view])", "pow(click, 0.5) + least(click, view) + greatest(click, error) + sqrt(view)")
 _expression("fn_angles", "deg2rad([click]) + rad2deg([view])", "click * pi() / 180 + view * 180 / pi()", 5)
+_expression("fn_negative", "round([click] - 20.5) + 10 * floor(-[view]) + 100 * ceil(-[error] / 2) + sign(20 - [click])", "CASE WHEN click - 20.5 < 0 THEN -floor(abs(click - 20.5) + 0.5) ELSE floor(click - 20.5 + 0.5) END + 10 * floor(-view) + 100 * ceil(-error / 2) + sign(20 - click)")
 _expression("agg_broadcast", "[click] - mean([click]) + std([view])", "click - avg(click) OVER () + stddev_pop(view) OVER ()")
 _expression("roll_mean", "mean([click], 8)", f"avg(click) {_W8}")
 _expression("roll_rms", "rms([click], 8)", f"sqrt(avg(click * click) {_W8})")
@@ -122,15 +129,15 @@ _expression("sector_number", "if([click] >= 0, sector_number(), 0) == 2", _b("id
 _expression("lap_start", "if([click] < 0, 0, lap_start_time(current_lap()) == 30)", _b(f"({_lap}) = 2.0"), laps_=LAPS)
 
 
-@query("integrate", f"WITH {G_SQL}, d AS (SELECT idx, coalesce((click + lag(click) OVER (ORDER BY idx)) / 2 * 0.1, 0.0) AS v FROM g) SELECT idx, round(sum(v) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING), 4) AS value FROM d")
+@query("integrate", f"WITH {g_sql('click')}, d AS (SELECT idx, coalesce((click + lag(click) OVER (ORDER BY idx)) / 2 * 0.1, 0.0) AS v FROM g) SELECT idx, round(sum(v) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING), 4) AS value FROM d")
 def _integrate(spark, sf_dir):
-    out, _, _ = evaluate(common(spark, sf_dir), "integrate([click])")
+    out, _, _ = evaluate(common(spark, sf_dir, ("click",)), "integrate([click])")
     return out.select("idx", F.round("value", 4).alias("value"))
 
 
-@query("detrend_linear", f"WITH {G_SQL}, m AS (SELECT avg(click) AS y, avg(idx) AS x FROM g), k AS (SELECT sum((g.click - y) * (g.idx - x)) / sum((g.idx - x) * (g.idx - x)) AS b FROM g, m) SELECT idx, round(click - (y + b * (idx - x)), 6) AS value FROM g, m, k")
+@query("detrend_linear", f"WITH {g_sql('click')}, m AS (SELECT avg(click) AS y, avg(idx) AS x FROM g), k AS (SELECT sum((g.click - y) * (g.idx - x)) / sum((g.idx - x) * (g.idx - x)) AS b FROM g, m) SELECT idx, round(click - (y + b * (idx - x)), 6) AS value FROM g, m, k")
 def _detrend(spark, sf_dir):
-    out, _, _ = evaluate(common(spark, sf_dir), "detrend([click])")
+    out, _, _ = evaluate(common(spark, sf_dir, ("click",)), "detrend([click])")
     return out.select("idx", F.round("value", 6).alias("value"))
 
 
@@ -188,9 +195,9 @@ def _central(spark, sf_dir):
     return series.central_difference(channels(spark, sf_dir), RATE).select("channel_id", "idx", F.round("value", 6).alias("value"))
 
 
-@query("zupt", f"WITH {G_SQL} SELECT idx, (coalesce(stddev_pop(click) {_W8}, 0.0) < 20 AND avg(view) {_W8} < 25) AS stationary FROM g")
+@query("zupt", f"WITH {g_sql('click', 'view')} SELECT idx, (coalesce(stddev_pop(click) {_W8}, 0.0) < 20 AND avg(view) {_W8} < 25) AS stationary FROM g")
 def _zupt(spark, sf_dir):
-    g = grid(common(spark, sf_dir).samples, ["click", "view"])
+    g = grid(common(spark, sf_dir, ("click", "view")).samples, ["click", "view"])
     return series.stationary(g, "ch_click", "ch_view", 8, 20.0, 25.0).select("idx", "stationary")
 
 
@@ -328,11 +335,11 @@ def _density(spark, sf_dir):
 
 @query(
     "fft_mag",
-    f"""WITH {G_SQL}, m AS (SELECT idx AS i, click * (0.5 - 0.5 * cos(2 * pi() * idx / (n.n - 1))) AS v, n.n AS n FROM g, n)
+    f"""WITH {g_sql('click')}, m AS (SELECT idx AS i, click * (0.5 - 0.5 * cos(2 * pi() * idx / (n.n - 1))) AS v, n.n AS n FROM g, n)
 SELECT CAST(k AS BIGINT) AS idx, round(sqrt(pow(sum(v * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((i * k) % n) / n)), 2)), 3) AS value FROM m, range(0, (SELECT n FROM n) // 2 + 1) r(k) GROUP BY k""",
 )
 def _fft(spark, sf_dir):
-    out, _, _ = evaluate(common(spark, sf_dir), "fft([click], 'hann')")
+    out, _, _ = evaluate(common(spark, sf_dir, ("click",)), "fft([click], 'hann')")
     return out.select("idx", F.round("value", 3).alias("value"))
 
 
@@ -501,17 +508,17 @@ def _sag(spark, sf_dir):
 
 @query("butter_low")
 def _butter_low(spark, sf_dir):
-    return evaluate(whole(spark, sf_dir, "click"), "butter(4, 1.5, 'low', [click])")[0].select("idx", "value")
+    return evaluate(common(spark, sf_dir, ("click",)), "butter(4, 1.5, 'low', [click])")[0].select("idx", "value")
 
 
 @query("butter_high")
 def _butter_high(spark, sf_dir):
-    return evaluate(whole(spark, sf_dir, "click"), "butter(3, 0.5, 'high', [click])")[0].select("idx", "value")
+    return evaluate(common(spark, sf_dir, ("click",)), "butter(3, 0.5, 'high', [click])")[0].select("idx", "value")
 
 
 @query("declip")
 def _declip(spark, sf_dir):
-    return evaluate(whole(spark, sf_dir, "click"), "declip(clamp([click], -32, 32))")[0].select("idx", "value")
+    return evaluate(common(spark, sf_dir, ("click",)), "declip(clamp([click], -32, 32))")[0].select("idx", "value")
 
 
 @query("suspension")
@@ -555,8 +562,12 @@ def _variance(spark, sf_dir, mode: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_files  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_files  # noqa: F401
+
     return dict(_SQL)

@@ -170,8 +170,12 @@ def _batches(batches):
 
 def read_logs(spark: SparkSession, path: str, pattern: str = "*") -> SessionSet:
     """Sessions of every log under ``path`` (a file or a folder), with Time and Distance made."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
-    return from_records(files.mapInArrow(_batches, ROW))
+    return read_contents(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content"))
+
+
+def read_contents(logs: DataFrame) -> SessionSet:
+    """Sessions of logs that are rows already (column content), with Time and Distance made."""
+    return from_records(logs.select("content").mapInArrow(_batches, ROW))
 
 
 def from_records(rows: DataFrame) -> SessionSet:
@@ -276,6 +280,11 @@ def extract(data: bytes, region: Region) -> bytes:
 
 def scan_images(spark: SparkSession, path: str, sector: int = 512) -> DataFrame:
     """(path, offset, size, records, session_id, clean_end, cut_off) of the recordings in raw images, a task per image."""
+    return scan_contents(spark.read.format("binaryFile").load(path).select("path", "content"), sector)
+
+
+def scan_contents(images: DataFrame, sector: int = 512) -> DataFrame:
+    """The same of images that are rows already (path, content)."""
 
     def run(batches):
         for batch in batches:
@@ -284,4 +293,4 @@ def scan_images(spark: SparkSession, path: str, sector: int = 512) -> DataFrame:
             names = ["path", "offset", "size", "records", "session_id", "clean_end", "cut_off"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, offset long, size long, records long, session_id string, clean_end boolean, cut_off boolean")
+    return images.select("path", "content").mapInArrow(run, "path string, offset long, size long, records long, session_id string, clean_end boolean, cut_off boolean")

@@ -176,9 +176,18 @@ def test_time_and_distance(spark):
 def test_reports(spark):
     out = synthesis.sag_stats(one(spark, [1, 2, 3, 4, NAN]), "channel_id").first()
     assert (out.n, out.mean, out.q50, out.q95) == (4, 2.5, 2.0, 4.0)
-    lines = spark.createDataFrame([("event=boot reason=power",), ("event=drain ms=12",), ("event=boot reason=power x",), ("noise",)], "value string")
-    got = {r.reason: (r.boots, r.drains, r.longest_ms) for r in synthesis.diagnostic_report(lines).collect()}
-    assert got == {"power": (2, 0, None), "": (0, 1, 12.0)}
+    text = """==== BOOT reason=BROWNOUT heap=1200 ====
+t=12 EVT IMU0 spi drains=10 pairs=200 ovr=3 read_us=40/90 tot_us=55/120
+ t=13 EVT IMU1 i2c drains=11 pairs=201 ovr=0 reuse=4 unk=2 read_us=41/91
+t=14 EVT IMU cycle_max_us=700 writer_drops=1 poll_ms=5 cap=64
+t=15 BROWNOUT seen t=99
+t=16 heap=1 min=2 heap=3
+==== BOOT heap=1 ====
+==== BOOT reason=POWERON reason=X ===="""
+    report = synthesis.diagnostic_report(spark.createDataFrame([(x,) for x in text.split("\n")], "value string"))
+    got = [tuple(r) for r in report.select("kind", "t", "imu", "bus", "pairs", "ovr", "unk", "read_max_us", "total_avg_us", "cycle_max_us", "writer_drops", "flag").where("kind <> 'boot'").orderBy("t").collect()]
+    assert got == [("drain", "12", "IMU0", "spi", 200, 3, None, 90, 55, None, None, "overruns"), ("drain", "13", "IMU1", "i2c", 201, 0, 2, 91, None, None, None, "unknown_tags"), ("cycle", "14", None, None, None, None, None, None, None, 700, 1, "writer_drops"), ("brownout", "15", None, None, None, None, None, None, None, None, None, None)]
+    assert {r.reason: r.boots for r in synthesis.boots(report).collect()} == {"BROWNOUT": 1, "?": 1, "POWERON": 1}
 
 
 # ---- laps and tracks ----
@@ -331,6 +340,15 @@ def test_overlay(spark):
     pos = overlay.map_position(frames, norm).orderBy("frame").collect()
     assert [r.y for r in pos] == [0.0, 0.0, 1.0, 1.0, 1.0]
     assert overlay.map_line(norm).count() == 2
+    e7 = overlay.normalised_map(spark.createDataFrame([("s0", 0, 0.0, 45e7, 6e7), ("s0", 1, 0.2, 46e7, 8e7), ("s0", 2, 0.3, 45.5e7, 6.5e7)], "session_id string, idx long, t double, lat double, lon double"))
+    assert [(r.x, r.y) for r in e7.orderBy("idx").collect()] == [(0.0, 0.0), (1.0, 1.0), (0.25, 0.5)]
+    many = [(i + 1, 2.0 * i, 2.0 * i + 1.5, 1500 + (i * 37) % 101) for i in range(200)]
+    panel = {r.frame: r for r in overlay.lap_panel(overlay.frame_clock(spark, "s0", 1, 420), many).collect()}
+    for frame, r in panel.items():
+        inside = [x for x in many if x[1] <= frame < x[2]]
+        done = [x[3] for x in many if x[2] <= frame]
+        assert (r.current_lap, r.lap_elapsed_s, r.last_lap_ms, r.best_lap_ms) == (inside[-1][0] if inside else None, frame - inside[-1][1] if inside else 0.0, done[-1] if done else None, min(done, default=None))
+    assert overlay.lap_panel(frames, []).first().current_lap is None
     clock = spark.range(1).select(overlay.elapsed_text(F.lit(83.456)).alias("a"), overlay.lap_text(F.lit(83456)).alias("b"), overlay.value_text(F.lit(-12.34)).alias("c"), overlay.value_text(F.lit(2.5)).alias("d")).first()
     assert tuple(clock) == ("1:23.5", "1:23.46", "-12.3", "2.50")
     assert overlay.sync((2.0, 5000.0), None, 10.0, 1000.0, 60.0) == (2.0, "gpmf", 0.9)
