@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, small_batches
+from .common import held, no_clash, small_batches
 from .units import Generations, Split, at_spaces, frequent, slices, uneven, units
 
 #: Maps in the literal; about a dozen ranks in each for a vocabulary of 50,000.
@@ -317,10 +317,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row for each row of ``docs``: ``id_col``, the columns in ``keep``, and of ``outputs`` the chosen:
     ids binary (little-endian 32-bit ids), decoded binary, n_tokens long, ids_sha256, decoded_sha256.
 
-    A null text counts as empty: no ids. The words of a text are the matches of ``pattern``, which must cover
+    A null text counts as empty: no ids; rows that repeat are returned each. The words of a text are the matches of ``pattern``, which must cover
     any text and treat runs of white space and what follows them alone (as the patterns of byte-level BPE do).
     """
     spark = docs.sparkSession
+    no_clash((id_col, *keep), outputs)
     small_batches(spark)
     with open(ranks_path, "rb") as f:
         data = f.read()

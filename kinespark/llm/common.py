@@ -20,10 +20,13 @@ _KEPT: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own in local mode,
+    else an error (executors on other machines would not see it)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="kinespark-shared-"))
     return _OWN_DIR[0]
@@ -96,6 +99,13 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str, max_rows: int = BROADCAS
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
 
+def no_clash(names, outputs) -> None:
+    """Columns that a caller keeps may not be named like those that the operator makes."""
+    both = sorted({n.lower() for n in names} & {n.lower() for n in outputs})
+    if both:
+        raise ValueError(f"columns {', '.join(both)} are made by the operator; rename yours")
+
+
 def shuffles(df: DataFrame) -> bool:
     """Whether rows of ``df`` come from a shuffle, so that their order may differ when it is read again."""
     return "Exchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ascii_words, mix64, seed64, shuffle_parts, small_batches, tidy, tidy_group, word_hashes, write_shared
+from .common import U64, ascii_words, mix64, no_clash, seed64, shuffle_parts, small_batches, tidy, tidy_group, word_hashes, write_shared
 from .units import slices
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -206,6 +206,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other than space and U+0009 to U+000D, unchanged. Null and empty texts have no words. A null id is smaller
     and larger than none. Rows that repeat an id are one document's: they don't remove from each other.
     """
+    no_clash((id_col, *keep), ("n_words", "n_removed", "kept_text"))
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     told = write_shared(base.mapInArrow(tidy(_describe(window, prefix)), "id long, n long, d1 long, d2 long, prefixes array<long>"), "prefixes")

@@ -19,8 +19,8 @@ from .units import Generations, Split, at_spaces, frequent, slices
 class PieceCounter:
     """Counts pieces of a sentencepiece model unit by unit where that is exact, else text by text. A text that holds the library's own space mark is encoded whole.
 
-    Units are exact when the model neither rewrites text (identity normalisation, white space kept,
-    dummy prefix on) nor has pieces that cross a unit's start; this is tested on the model itself.
+    Units are exact when the model keeps white space and has a dummy prefix (a probe of the model tests both), has no
+    pieces that cross a unit's start (tested on all pieces) and rewrites characters each on its own.
     """
 
     def __init__(self, model: bytes):
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """One row for each row of ``docs``: ``id_col``, n_bytes (UTF-8), n_tokens (no begin or end token) and
     over_limit (n_tokens > ``limit``).
 
-    A null text counts as empty. The model file is read on the driver; its bytes are sent to the workers.
+    A null text counts as empty; rows that repeat are returned each; other columns are ignored. The model file is read on the driver; its bytes are sent to the workers.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -114,8 +114,13 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 6 << 20):
             yield batch.slice(a, b - a)
 
 
+#: Longest unit, in characters, that a table or cache keeps: text without spaces is one unit of any length.
+LONGEST = 64
+
+
 class Generations:
-    """A worker's cache of bounded size in two generations: what is asked for again outlives a full cache."""
+    """A worker's cache of bounded size in two generations: what is asked for again outlives a full cache. Keys over LONGEST
+    are not kept, so the bound on entries is one on memory too."""
 
     def __init__(self, most: int):
         self.most = most
@@ -129,6 +134,8 @@ class Generations:
         return found
 
     def put(self, key, value):
+        if len(key) > LONGEST:
+            return value
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -153,10 +160,7 @@ class Generations:
                 made = make(names)
                 for i, value in zip(lost, made, strict=True):
                     out[i] = value
-                if often is None:
-                    young.update(zip(names, made, strict=True))
-                else:
-                    young.update((names[k], made[k]) for k, i in enumerate(lost) if often[i])
+                young.update((names[k], made[k]) for k, i in enumerate(lost) if (often is None or often[i]) and len(names[k]) <= LONGEST)
             if len(young) >= self.most:
                 self.old, self.young = young, {}
         return out
@@ -170,8 +174,8 @@ COUNTED = 200_000
 def frequent(docs: DataFrame, text_col: str, most: int, per_task: int = 16_384) -> list[tuple[str, int]]:
     """The (nearly) most frequent units of the whole column, at most ``most``, each with its leading space, and counts.
 
-    Counting is map-side; a task sends only its ``per_task`` most frequent units. Results never depend
-    on what is found here: it fills the first tier of lookup tables.
+    Counting is map-side; a task sends only its ``per_task`` most frequent units, of at most LONGEST characters and met twice
+    or more. Results never depend on what is found here: it fills the first tier of lookup tables.
     """
 
     def run(batches):
@@ -180,10 +184,11 @@ def frequent(docs: DataFrame, text_col: str, most: int, per_task: int = 16_384)
             for batch in slices(whole, 0):
                 split = Split(batch.column(0).to_pylist(), at_spaces, uneven)
                 for word, n in zip(split.words, split.counts().tolist(), strict=True):
-                    counts[word] += n
+                    if len(word) <= LONGEST:
+                        counts[word] += n
                 if len(counts) > COUNTED:
                     counts = Counter(dict(counts.most_common(COUNTED // 2)))
-        top = [(u, n) for u, n in counts.most_common(per_task + 1) if u]
+        top = [(u, n) for u, n in counts.most_common(per_task + 1) if u and n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([f" {u}" for u, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["unit", "c"])
 
     found = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, "unit string, c long")
