@@ -3,8 +3,7 @@
 Items are normalised to lower-cased words of digits, a-z and non-ASCII characters; each run of
 ``window`` words (or the whole item, if shorter) is a pattern " w1 w2 ... ". The automaton of all
 patterns scans each normalised document once; hits map back to words and to character offsets of
-the original text. Patterns are broadcast only up to ``max_pattern_bytes``: a larger benchmark is
-scanned in blocks of items of that size, whose hits are united per document.
+the original text. Patterns are broadcast only up to a size; beyond it the same rows are scanned again by the next block's.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, small_batches
+from .common import held, no_clash, small_batches, write_shared
+from .units import slices
 
 #: The bytes that separate words (all ASCII but digits and letters), and A-Z to a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -65,18 +65,22 @@ def scan(machine, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
     if not ranges:
         return n_words, [], items
     spaces = np.flatnonzero(np.frombuffer(padded.encode("utf-32-le"), np.uint32) == 32)
-    found = sorted((int(np.searchsorted(spaces, a)), int(np.searchsorted(spaces, b)) - 1) for a, b in ranges)
-    united = [list(found[0])]
-    for a, b in found[1:]:
-        if a <= united[-1][1] + 1:
-            united[-1][1] = max(united[-1][1], b)
+    return n_words, united([(int(np.searchsorted(spaces, a)), int(np.searchsorted(spaces, b)) - 1) for a, b in ranges]), items
+
+
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges [first, last] of words, in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            united.append([a, b])
-    return n_words, [tuple(x) for x in united], items
+            out.append((a, b))
+    return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_pattern_bytes: int, window: int):
-    """Items in blocks whose patterns take at most ``max_pattern_bytes`` (one item at least)."""
+    """Items in blocks whose patterns take at most ``max_pattern_bytes`` (one item at least). The driver holds one block."""
     block, size = [], 0
     for row in benchmark.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
         need = len(row[1].encode()) * window
@@ -88,60 +92,78 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_pattern_bytes:
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = 10, max_pattern_bytes: int = 64 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+#: What decontaminate adds to a row.
+OUTPUTS = ("n_words", "n_hit", "items", "spans")
+_RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = 10, max_pattern_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, the columns named in ``keep``, n_words, n_hit (words
     inside any occurrence of a window), items (ids of items with occurring windows, sorted as strings) and
     spans (start, end offsets in characters of the original text).
 
     Null and empty texts have no words and no hits; null or wordless items have no window; rows that
-    repeat are returned each. An empty benchmark gives no hits.
+    repeat are returned each; kept columns may not be named like the operator's own. An empty benchmark gives no
+    hits.
+
+    The automaton (some 40 bytes of memory for a byte of the patterns) travels with the tasks, so it is of patterns of at
+    most ``max_pattern_bytes``. A larger benchmark is scanned block by block: what each block hits is added to the
+    rows, which are written to the shared folder in between, and the result is the same.
     """
     spark = docs.sparkSession
+    no_clash((id_col, *keep), OUTPUTS)
     small_batches(spark)
-    kind = dict(benchmark.dtypes)[item_id]
-    base = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *[F.col(c) for c in keep if c not in (id_col,)])
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema if f.name != '__text')}, n_words long, ranges array<struct<a:int,b:int>>, items array<{kind}>, spans array<struct<start:int,end:int>>, __row string"
-    blocks = list(_blocks(benchmark, item_id, item_text, max_pattern_bytes, window))
-    out = None
-    for block in blocks or [[]]:
-        shared = spark.sparkContext.broadcast(patterns(block, window))
-        part = base.mapInArrow(_scanner(shared, kind, len(blocks) > 1), schema)
-        out = part if out is None else out.unionByName(part)
-    if len(blocks) > 1:  # each row of docs comes once for each block
-        first = [F.first(c).alias(c) for c in base.columns if c not in (id_col, "__text")]
-        out = out.groupBy(id_col, "__row").agg(*first, F.first("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("times"))
-        out = out.withColumn("__again", F.explode(F.expr("sequence(1, times)"))).drop("__again", "times")
-    hit = F.size(F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["a"], r["b"])))))
-    return out.select(*[F.col(c) for c in base.columns if c != "__text"], "n_words", F.when(F.size("ranges") > 0, hit).otherwise(0).cast("long").alias("n_hit"), F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"), "spans")
-
-
-def _scanner(shared, kind: str, many: bool):
-    def run(batches):
-        import hashlib
+    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(benchmark.dtypes)[item_id], pa.string())
+    base = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias("__text"))
+    blocks = _blocks(benchmark, item_id, item_text, max_pattern_bytes, window)
+    block, table = next(blocks), None
+    for after in blocks:
+        step = write_shared(_scanned(base, block, window, kind, False), "hits")
+        if table is not None:
+            table.drop()
+        base, block, table = step.df, after, step
+    return _scanned(base, block, window, kind, True)
+
+
+def _scanned(base: DataFrame, block: list, window: int, kind: pa.DataType, last: bool) -> DataFrame:
+    """``base`` with the word ranges and items that ``block`` hits added to the columns __ranges and __items; if it is the
+    ``last``, with the OUTPUTS in place of these and the text."""
+    shared = base.sparkSession.sparkContext.broadcast(patterns(block, window))
+    item = {pa.int64(): "bigint", pa.int32(): "int"}.get(kind, "string")
+    own = [f for f in base.schema if not f.name.startswith("__")]
+    more = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>" if last else f"__text string, __ranges array<struct<a:int,b:int>>, __items array<{item}>"
 
+    def run(batches):
         machine = held("automaton", shared.value, automaton)
         usable = len(shared.value) > 0
-        for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            n, ranges, items, spans, row = [], [], [], [], []
-            for text in batch.column(at).to_pylist():
-                count, found, ids = scan(machine, text) if usable else (len(normalised(text).split()), [], set())
-                n.append(count)
-                ranges.append([{"a": a, "b": b} for a, b in found])
-                items.append(sorted(ids))
-                where = [m.span() for m in WORD.finditer(text.translate(_LOWER))] if found else []
-                spans.append([{"start": where[a][0], "end": where[b][1]} for a, b in found])
-                row.append(hashlib.sha256((text or "").encode()).hexdigest() if many else None)
-            kept = [i for i in range(batch.num_columns) if i != at]
-            word = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            ids = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in kept], pa.array(n, pa.int64()), pa.array(ranges, word), pa.array(items, pa.list_(ids)), pa.array(spans, span), pa.array(row, pa.string())],
-                [*[batch.schema.names[i] for i in kept], "n_words", "ranges", "items", "spans", "__row"],
-            )
-
-    return run
+        for whole in batches:
+            at = whole.schema.get_field_index("__text")
+            for batch in slices(whole, at):
+                names = batch.schema.names
+                texts = batch.column(at).to_pylist()
+                before = batch.column(names.index("__ranges")).to_pylist() if "__ranges" in names else [[]] * len(texts)
+                known = batch.column(names.index("__items")).to_pylist() if "__items" in names else [[]] * len(texts)
+                n, ranges, items = [], [], []
+                for text, old, ids in zip(texts, before, known, strict=True):
+                    count, found, new = scan(machine, text) if usable else (len(normalised(text).split()), [], set())
+                    n.append(count)
+                    ranges.append(united([*found, *((r["a"], r["b"]) for r in old)]))
+                    items.append(new.union(ids))
+                kept = [batch.column(names.index(f.name)) for f in own]
+                if not last:
+                    columns = [batch.column(at), pa.array([[{"a": a, "b": b} for a, b in r] for r in ranges], _RANGES), pa.array([sorted(i) for i in items], pa.list_(kind))]
+                    yield pa.RecordBatch.from_arrays([*kept, *columns], [*[f.name for f in own], "__text", "__ranges", "__items"])
+                    continue
+                spans = []
+                for text, found in zip(texts, ranges, strict=True):
+                    where = [m.span() for m in WORD.finditer(text.translate(_LOWER))] if found else []
+                    spans.append([{"start": where[a][0], "end": where[b][1]} for a, b in found])
+                hit = [sum(b - a + 1 for a, b in r) for r in ranges]
+                columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(map(str, i)) for i in items], pa.list_(pa.string())), pa.array(spans, _SPANS)]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], [*[f.name for f in own], *OUTPUTS])
+
+    return base.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own], more]))
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
