@@ -7,7 +7,7 @@ its chunk digests; Merkle manifests over recipes in ascending document order ver
 Files under the store's folder: ``objects``, chunks (key: digest; n; ids: little-endian, 16 bits where the
 vocabulary fits, else 32) and the recipes as they were made, in one Parquet table bucketed by key, so that a
 read joins recipes to chunks without moving the chunks first; ``recipes``, sorted by document; ``manifest``,
-one leaf per recipe part and one root.
+one leaf per recipe part (SHA-256 over its recipes in order) and one root.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, _delete, held, mix64, seed64, shuffle_cleanup, shuffle_parts, small_batches
@@ -202,7 +202,7 @@ def write_store(docs: DataFrame, path: str, definition_path: str, end_id: int |
         once = made.groupBy("key").agg(*[F.first(c).alias(c) for c in ("kind", "id", "n", "recipe", "ids")])
         name = _table(path)
         once.write.option("compression", "zstd").option("path", f"{path}/objects").bucketBy(shuffle_parts(spark), "key").sortBy("key").saveAsTable(name)
-        recipes = spark.table(name).where("kind = 'recipe'").select("id", "n", "recipe", F.md5(F.array_join(F.transform("recipe", lambda d: F.hex(d)), ",")).alias("leaf"))
+        recipes = spark.table(name).where("kind = 'recipe'").select("id", "n", "recipe", _recipe_digest().alias("leaf"))
         ordered = recipes.repartitionByRange("id", "leaf").sortWithinPartitions("id", "leaf").withColumn("part", F.spark_partition_id())
         ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _write_manifest(spark, path)
@@ -213,30 +213,45 @@ def _table(path: str) -> str:
     return "objects_" + hashlib.sha256(path.encode()).hexdigest()[:24]
 
 
-def _write_manifest(spark: SparkSession, path: str) -> None:
-    """A leaf per recipe part (digest of its recipes in order) and its first position; one root over the leaves."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    chain = recipes.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("id", "leaf", "n").cast("decimal(38,0)")).cast("string").alias("sum"))
-    parts = chain.orderBy("part").collect()  # one row for each part file
-    start, rows = 0, []
-    for part, n, docs, total in parts:
-        leaf = hashlib.sha256(f"{part},{n},{docs},{total}".encode()).hexdigest()
-        rows.append((part, start, n, docs, leaf))
-        start += n
-    level = [r[4] for r in rows]
+def _recipe_digest() -> Column:
+    return F.sha2(F.array_join(F.transform("recipe", lambda d: F.hex(d)), ","), 256)
+
+
+def _leaves(recipes: DataFrame) -> list[tuple[int, int, int, str]]:
+    """(part, ids, documents, digest) of each recipe part: SHA-256 over its documents in order, each with its id, its number
+    of ids and the digest of its recipe, made anew from the recipe. A row for each part file."""
+    documents = F.array_sort(F.collect_list(F.struct("id", _recipe_digest().alias("digest"), "n")))
+    text = F.array_join(F.transform(documents, lambda d: F.concat_ws("|", F.coalesce(d["id"].cast("string"), F.lit("null")), d["n"], d["digest"])), ",")
+    found = recipes.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sha2(text, 256).alias("leaf"))
+    return [tuple(r) for r in found.orderBy("part").collect()]
+
+
+def merkle_root(leaves: list[str]) -> str:
+    """Root over the leaves in order; each node hashes its two children, an odd one alone."""
+    level = leaves or [""]
     while len(level) > 1:
-        level = [hashlib.sha256("".join(level[i : i + 2]).encode()).hexdigest() for i in range(0, len(level), 2)]
-    root = level[0] if level else hashlib.sha256(b"").hexdigest()
-    frame = spark.createDataFrame([(*r, root) for r in rows], "part int, start long, n long, docs long, leaf string, root string")
-    frame.coalesce(1).write.parquet(f"{path}/manifest")
+        level = [hashlib.sha256(",".join(level[i : i + 2]).encode()).hexdigest() for i in range(0, len(level), 2)]
+    return hashlib.sha256(f"root,{len(leaves)},{level[0]}".encode()).hexdigest()
+
+
+def _manifest(spark: SparkSession, path: str) -> list[tuple]:
+    """Rows (part, start, n, docs, leaf, root) that the recipes on disk give."""
+    leaves = _leaves(spark.read.parquet(f"{path}/recipes"))
+    root, start, rows = merkle_root([x[3] for x in leaves]), 0, []
+    for part, n, docs, leaf in leaves:
+        rows.append((part, start, n, docs, leaf, root))
+        start += n
+    return rows
+
+
+def _write_manifest(spark: SparkSession, path: str) -> None:
+    rows = _manifest(spark, path)
+    spark.createDataFrame(rows, "part int, start long, n long, docs long, leaf string, root string").coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes on disk still give the manifest's leaves."""
-    now = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("id", "leaf", "n").cast("decimal(38,0)")).cast("string").alias("sum"))
-    made = now.select("part", F.sha2(F.concat_ws(",", "part", "n", "docs", "sum"), 256).alias("leaf"))
-    told = spark.read.parquet(f"{path}/manifest").select("part", "leaf")
-    return made.exceptAll(told).isEmpty() and told.exceptAll(made).isEmpty()
+    """Whether the recipes on disk give the manifest's leaves, starts and root."""
+    return sorted(tuple(r) for r in spark.read.parquet(f"{path}/manifest").collect()) == _manifest(spark, path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -260,8 +275,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def reconstruct(spark: SparkSession, path: str, width: int = 2, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
     """One row per document read back: id, start, n_tokens and of ``outputs`` ids (binary, little-endian unsigned 32-bit)
-    and ids_crc32 (unsigned, of those). A missing or damaged chunk stops the read."""
+    and ids_crc32 (unsigned, of those). A missing or damaged chunk stops the read, and so does a recipe that is missing,
+    damaged or another document's: the manifest is verified first."""
     small_batches(spark, 5000)
+    if not verify_manifest(spark, path):
+        raise ValueError("the recipes are not those of the manifest")
     pieces = read_store(spark, path)
     kind = dict(pieces.dtypes)["id"]
     small = np.uint16 if width == 2 else np.uint32
