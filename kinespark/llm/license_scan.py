@@ -8,16 +8,22 @@ their lines are looked up as entire texts; nothing matches in part.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import no_clash
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Spellings that count as equal (SPDX matching guidelines), as whole words.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("noncommercial", "non commercial"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"))
 
+#: A copyright line: a sign, or the word before a sign, a year or "by" (a wrapped text may start a line with "copyright notice").
+COPYRIGHT = r"[ \t*#/;-]*(copyright[ \t:,]*(\(c\)|©|by |[0-9])|\(c\)|©)[^\n]*"
+
 #: Public licence texts and notices.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -37,6 +43,59 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2.0-or-later header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "MIT notice": "Released under the MIT License.",
     "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -44,20 +103,41 @@ Permission is granted to anyone to use this software for any purpose, including
     "all rights reserved": "All rights reserved.",
 }
 
+#: Title lines that often stand above a known text.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License",), "Zlib": ("zlib License", "The zlib/libpng License"), "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "Unlicense": ("The Unlicense",)}
+
 
 def canonical(text: Column) -> Column:
     """Lower case A-Z; copyright lines dropped; all but a-z and 0-9 to single spaces; spellings made equal."""
     low = F.translate(text, _UPPER, _LOWER)
-    low = F.regexp_replace(low, r"(?md)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$", "")
-    low = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), F.lit(" "))
+    low = F.regexp_replace(low, rf"(?md)^{COPYRIGHT}$", "")
+    # two spaces between words, so that each has its own on either side
+    low = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for there, here in SPELLINGS:
-        low = F.replace(low, F.lit(f" {there} "), F.lit(f" {here} "))
-    return F.trim(low)
+        low = F.replace(low, F.lit(_spaced(there)), F.lit(_spaced(here)))
+    return F.replace(F.trim(low), F.lit("  "), F.lit(" "))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+def variants(known: dict[str, str]) -> list[tuple[str, str]]:
+    """(license_id, text) of each known text alone and after each of its usual titles."""
+    return sorted((name, f"{title}\n\n{text}" if title else text) for name, text in known.items() for title in ("", *TITLES.get(name, ())))
+
+
+def first_words(known: dict[str, str]) -> set[str]:
+    """First words, in lower case, of all texts that are made equal to a known one."""
+    out = {re.search("[a-z0-9]+", text.lower())[0] for _, text in variants(known) if re.search("[a-z0-9]", text.lower())}
+    for _ in SPELLINGS:  # a first word may become another more than once
+        out |= {there.split(" ")[0] for there, here in SPELLINGS if here.split(" ")[0] in out} | {here.split(" ")[0] for there, here in SPELLINGS if there.split(" ")[0] in out}
+    return out
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:
     """(digest, license_id), made by the same expressions."""
-    rows = spark.createDataFrame(sorted(known.items()), "license_id string, text string")
+    rows = spark.createDataFrame(variants(known), "license_id string, text string")
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -67,10 +147,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     license_ids (their distinct ids, sorted, comma-joined).
 
     Null and empty texts have the digest of '' and match nothing; a text without a-z and 0-9 likewise.
-    The known digests are broadcast; their number is checked against ``max_known``.
+    Rows that repeat are returned each. The known digests (of the texts alone and under their usual titles) are
+    broadcast; their number is checked against ``max_known``. A line is only made canonical if its first word is
+    one that a known text can start with, which no matching line fails.
     """
-    if len(known) > max_known:
-        raise ValueError(f"{len(known)} known texts; at most {max_known} are broadcast")
+    no_clash([id_col], ("digest", "license_id", "n_license_lines", "license_ids"))
+    if len(variants(known)) > max_known:
+        raise ValueError(f"{len(variants(known))} known texts; at most {max_known} are broadcast")
     spark = docs.sparkSession
     table = known_digests(spark, known)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -84,7 +167,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def look_up(digest: Column) -> Column:
         return F.try_element_at(F.get(literal, (F.crc32(digest) % parts).cast("int")), digest)
 
-    hits = F.filter(F.transform("__lines", lambda s: look_up(F.sha2(canonical(s), 256))), lambda x: x.isNotNull())
+    starts = [F.lit(w) for w in sorted(first_words(known))]
+    first = lambda s: F.translate(F.regexp_extract(s, "(?s)^[^A-Za-z0-9]*([A-Za-z0-9]+)", 1), _UPPER, _LOWER)
+    lines = F.filter("__lines", lambda s: first(s).isin(*starts))
+    hits = F.filter(F.transform(lines, lambda s: look_up(F.sha2(canonical(s), 256))), lambda x: x.isNotNull())
     out = base.withColumn("__hits", hits).join(F.broadcast(table), "digest", "left")
     return out.select(
         id_col,
