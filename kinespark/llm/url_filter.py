@@ -24,7 +24,7 @@ class Rule:
     verdict: str  # allow or block
     pattern: str  # a regular expression over "host path"
     tokens: tuple[str, ...] = field(default=())  # literals of which any match holds each as a whole token
-    weight: int = 0  # of the rules that fit, the heaviest wins; then the first
+    weight: int = 0  # of the rules that fit, the heaviest wins; then that of the greatest name, then block before allow
 
     @staticmethod
     def prefix(verdict: str, text: str) -> Rule:
@@ -32,7 +32,8 @@ class Rule:
         host, slash, rest = text.partition("/")
         path = slash + rest
         literal = TOKEN.findall(host) + TOKEN.findall(path[: max((path.rfind(c) for c in "/._-&="), default=-1) + 1])
-        return Rule(text, verdict, rf"(?:^|\.){re.escape(host)} {re.escape(path)}", tuple(literal), len(text))
+        # no host holds a slash and every path starts with one, so the host of the pattern is the end of the URL's host
+        return Rule(text, verdict, rf"^(?:[^/]*\.)?{re.escape(host)} (?=/|\Z){re.escape(path)}", tuple(literal), len(text))
 
 
 #: The method's own rules, for URLs that no list rule fits: paths of adult, gambling, tracking and parked pages.
@@ -66,12 +67,12 @@ def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Ru
 
 
 def judge(host: str, path: str, index: dict[str, list[Rule]], compiled: dict[str, re.Pattern]) -> Rule | None:
-    """The winning rule: heaviest, then in the order of the index."""
+    """The winning rule: heaviest, then of the greatest name, then block before allow."""
     line = f"{host} {path}"
     best = None
     for token in dict.fromkeys([*TOKEN.findall(line), ""]):
         for rule in index.get(token, ()):
-            if (best is None or (rule.weight, rule.name) > (best.weight, best.name)) and compiled[rule.name].search(line):
+            if (best is None or (rule.weight, rule.name, rule.verdict) > (best.weight, best.name, best.verdict)) and compiled[rule.pattern].search(line):
                 best = rule
     return best
 
@@ -80,8 +81,9 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_i
     """One row for each row of ``pages``: ``id_col``, host, path, rule (of ``rules``, else null), verdict
     (the rule's; else that of a method rule that fits, else ``default``) and method_rule (its name, or null).
 
-    A null URL or one without "://" has an empty host and path and fits no rule. The rules travel with the
-    task, so their number is checked against ``max_rules``.
+    A null URL or one without "://" has an empty host and path and fits no rule. Of rules of equal weight the greatest name
+    wins, and block of one name. Rows that repeat are returned each; other columns are ignored. The rules travel
+    with the task, so their number is checked against ``max_rules``.
     """
     if len(rules) + len(method_rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; at most {max_rules} travel with each task")
@@ -90,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_i
     lists, own = rarest_tokens(base, rules), rarest_tokens(base, method_rules)
 
     def run(batches):
-        compiled = {r.name: re.compile(r.pattern) for r in (*rules, *method_rules)}
+        compiled = {r.pattern: re.compile(r.pattern) for r in (*rules, *method_rules)}
         for batch in batches:
             out: list[list] = [[], [], []]
             for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
