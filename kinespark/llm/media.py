@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_shared
+from .units import slices
 
 ROW = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -86,8 +87,9 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.skip = 0
-        self.figures: list[list[int]] = []
+        self.figures: list[dict] = []  # open ones: their media and caption
         self.caption: list[str] | None = None
+        self.opened = 0  # items before the open caption
 
     def flush(self):
         text = " ".join("".join(self.run).split())
@@ -95,21 +97,47 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "src": None, "caption": None})
 
+    def end_caption(self, closed: bool):
+        """A caption belongs to its figure; outside of one, or where nothing closes it, its words are text."""
+        text, self.caption = " ".join("".join(self.caption or []).split()), None
+        if closed and self.figures:
+            self.figures[-1]["caption"] = text or self.figures[-1]["caption"]
+        elif text:
+            self.items.insert(self.opened, {"kind": "text", "text": text, "src": None, "caption": None})
+
+    def end_figure(self):
+        figure = self.figures.pop()
+        for item in figure["media"] if figure["caption"] else []:
+            item["caption"] = figure["caption"]
+
+    def finish(self) -> list[dict]:
+        self.close()
+        self.flush()
+        if self.caption is not None:
+            self.end_caption(False)
+        while self.figures:
+            self.end_figure()
+        return self.items
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.skip += 1
         if tag in self.BREAK or tag in self.MEDIA:
             self.flush()
+            if self.caption is not None:  # words on either side of a break are not one word
+                self.caption.append(" ")
         if tag == "figure":
-            self.figures.append([])
+            self.figures.append({"media": [], "caption": None})
         if tag == "figcaption":
             self.flush()
-            self.caption = []
+            if self.caption is not None:
+                self.end_caption(False)
+            self.caption, self.opened = [], len(self.items)
         at = dict(attrs)
         if tag in self.MEDIA and at.get("src"):
-            if self.figures:
-                self.figures[-1].append(len(self.items))
             self.items.append({"kind": "media", "text": None, "src": at["src"], "caption": at.get("alt") or None})
+            if self.figures:
+                self.figures[-1]["media"].append(self.items[-1])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -121,13 +149,10 @@ class _Sequence(HTMLParser):
             self.skip = max(0, self.skip - 1)
         if tag in self.BREAK:
             self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for i in self.figures[-1] if self.figures and text else []:
-                self.items[i]["caption"] = text
+        if self.caption is not None and tag in ("figcaption", "figure"):
+            self.end_caption(True)
         if tag == "figure" and self.figures:
-            self.figures.pop()
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.skip:
@@ -135,14 +160,14 @@ class _Sequence(HTMLParser):
 
 
 def parse_sequence(html: str | None) -> list[dict]:
-    """Ordered items of a page: pos, kind (text or media), text, src, caption. None and '' give no items."""
+    """Ordered items of a page: pos, kind (text or media), text, src, caption. None and '' give no items. The caption of a
+    figure, before or after its media, is that of all of them; else the alternative text is. A caption that
+    nothing closes, or outside a figure, is text."""
     if not html:
         return []
     parser = _Sequence()
     parser.feed(html)
-    parser.close()
-    parser.flush()
-    return [{"pos": i, **x} for i, x in enumerate(parser.items)]
+    return [{"pos": i, **x} for i, x in enumerate(parser.finish())]
 
 
 def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -151,7 +176,7 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     def run(batches):
         kind = pa.list_(pa.struct([("pos", pa.int32()), *[(k, pa.string()) for k in ("kind", "text", "src", "caption")]]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_sequence(x) for x in batch.column(1).to_pylist()], kind)], ["id", "sequence"])
 
     kind = dict(pages.dtypes)[id_col]
@@ -167,9 +192,9 @@ def store_payloads(payloads: DataFrame, column: str) -> DataFrame:
     def run(batches):
         seen = set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
+            for batch in slices(whole, 0):
                 digests, sizes, media = [], [], []
-                for payload in whole.slice(start, 500).column(0).to_pylist():
+                for payload in batch.column(0).to_pylist():
                     digest = hashlib.sha256(payload).digest()
                     if digest not in seen:
                         if len(seen) > 500_000:
@@ -190,8 +215,7 @@ def media_columns(store: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in slices(whole, 2):
                 out: list[list] = [[] for _ in range(6)]
                 for media in batch.column(2).to_pylist():
                     samples = read_png(media)
@@ -210,7 +234,8 @@ MEDIA = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_
 
 def resolve(sequences: DataFrame, media: DataFrame, id_col: str, prefix: str = "sha256:") -> DataFrame:
     """One row for each media reference: ``id_col``, pos, caption, src, digest and the columns of ``media``;
-    a reference that no digest resolves has nulls there."""
+    a reference that no digest resolves has nulls there. Rows of ``sequences`` that repeat give theirs each; a null
+    sequence gives none."""
     refs = sequences.select(id_col, F.explode("sequence").alias("i")).where("i.kind = 'media'")
     refs = refs.select(id_col, "i.pos", "i.caption", "i.src", F.when(F.col("i.src").startswith(prefix), F.substring("i.src", len(prefix) + 1, 64)).alias("digest"))
     return refs.join(media, "digest", "left")
