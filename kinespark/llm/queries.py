@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, id_store, license_scan, media, ngram_join, quality, substring_dedup, token_count, url_filter
-from .common import shared_dir
+from .common import shared_dir, write_shared
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,8 +42,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/kinespark-store-{uuid.uuid4().hex}"
-    id_store.write_store(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
-    return id_store.reconstruct(spark, path, outputs=("ids_crc32",)).withColumnRenamed("id", "doc_id")
+    try:
+        id_store.write_store(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+        return write_shared(id_store.reconstruct(spark, path, outputs=("ids_crc32",)).withColumnRenamed("id", "doc_id"), "read-back").df
+    finally:
+        id_store.delete_store(spark, path)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *media.MEDIA)
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved sequences of all pages: items, media and captions of each, and the digest of the whole sequence."""
+    found = media.interleave(_read(spark, sf_dir, "pages"))
+    of = lambda test: F.size(F.filter("sequence", test)).cast("long")
+    return found.select("page_id", F.size("sequence").cast("long").alias("n_items"), of(lambda x: x["kind"] == "media").alias("n_media"), of(lambda x: x["caption"].isNotNull()).alias("n_captions"), F.sha2(F.to_json("sequence"), 256).alias("sequence_sha256"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
@@ -76,7 +86,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_ngram_jaccard_join, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_byte_bpe, op6_token_id_store, op7_license_scan, op8_url_filter, op9_media_columns, op10_substring_dedup)
+    ops = (op1_ngram_jaccard_join, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_byte_bpe, op6_token_id_store, op7_license_scan, op8_url_filter, op9_media_columns, op10_substring_dedup, page_sequences)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -108,16 +118,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 
 
 def _canonical_sql(text: str) -> str:
-    low = f"regexp_replace({_LOW.format(text)}, '(?m)^[ \t*#/;-]*(copyright|\\(c\\)|©)[^\n]*$', '', 'g')"
-    low = f"' ' || trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+    low = f"regexp_replace({_LOW.format(text)}, '(?m)^{license_scan.COPYRIGHT}$', '', 'g')"
+    low = f"' ' || replace(trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g')), ' ', '  ') || ' '"
     for there, here in license_scan.SPELLINGS:
-        low = f"replace({low}, ' {there} ', ' {here} ')"
-    return f"trim({low})"
+        low = f"replace({low}, ' {there.replace(' ', '  ')} ', ' {here.replace(' ', '  ')} ')"
+    return f"replace(trim({low}), '  ', ' ')"
 
 
 def _op7() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(license_scan.KNOWN.items()))
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_scan.variants(license_scan.KNOWN))
     return f"""WITH k AS (SELECT sha256({_canonical_sql('t')}) AS g, min(n) AS n FROM (VALUES {known}) v(n, t) GROUP BY 1), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, sha256({_canonical_sql('x')}) AS g FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
 m AS (SELECT doc_id, count(*) AS c, string_agg(DISTINCT k.n, ',' ORDER BY k.n) AS names FROM l JOIN k ON k.g = l.g GROUP BY doc_id)
