@@ -197,7 +197,7 @@ def kept_words(words: list, starts, window: int) -> list:
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 50, prefix: int = 8, group_size: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 50, prefix: int = 8, group_size: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, the columns in ``keep``, n_words, n_removed, kept_text (kept
     words joined by one space; null where the text is null).
 

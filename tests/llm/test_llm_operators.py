@@ -564,6 +564,30 @@ def test_pipeline_stages(spark):
     assert seen
 
 
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    base, other = " ".join(WORDS[:80]), " ".join(WORDS[100:180])
+    rows = [(None, base), (1, base), (1, base), (2, base), (3, f"{other} tail words"), (None, f"{other} end"), (4, None), (5, ""), (6, f"x {other}"), (6, "short"), (None, None)]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", "s", None if t is None else len(t)) for i, t in rows], shape)
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "short"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = [f for _, f in cp.STAGES]
+    show = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    assert show(stages[0](spark, docs, str(tmp_path))) == sorted((i or 0, t or "") for i, t in rows)  # no held-out document: nothing is judged
+    one = sorted((i or 0, t or "") for i, t in rows if i != 2 and not (i == 6))
+    assert show(stages[1](spark, docs, str(tmp_path))) == one
+    cut = show(stages[2](spark, docs, str(tmp_path)))
+    assert cut == sorted((i or 0, "x" if t == f"x {other}" else t or "") for i, t in rows if i != 2)
+    assert show(stages[3](spark, docs, str(tmp_path))) == sorted((i or 0, t or "") for i, t in rows if t != "short")
+    assert stages[4](spark, docs, str(tmp_path)).where("n_tokens > 0").count() == sum(bool(t) for _, t in rows)
+    assert cp.run(spark, str(tmp_path)).count() == len([i for i, t in rows if i not in (2, 6)])
+    for stage in stages:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
