@@ -88,9 +88,17 @@ def _text(path: str) -> str:
         return f.read()
 
 
-def _bytes(path: str) -> bytes:
+def _bytes(path: str):
+    """The file's bytes, mapped: of a device or a video of any size, only what is looked at is read."""
+    import mmap
+    import os
+
+    from .errors import InputError
+
     with open(path, "rb") as f:
-        return f.read()
+        if f.seek(0, os.SEEK_END) == 0:
+            raise InputError("truncated", "the file is empty")
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 def _rows(df) -> list[dict]:

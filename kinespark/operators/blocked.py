@@ -40,6 +40,16 @@ def running_sum(df: DataFrame, keys: list[str], idx: str, value: Column, out: st
     return cut.withColumn("__rs_r", F.sum("__rs_v").over(inside)).join(starts, [*keys, "__rs_b"]).withColumn(out, F.col("__rs_s") + F.col("__rs_r")).drop("__rs_v", "__rs_b", "__rs_s", "__rs_r")
 
 
+def greatest_before(df: DataFrame, keys: list[str], idx: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """The greatest ``value`` of all rows before each; NULL at the first."""
+    cut = df.withColumn("__gb_b", _block(idx, block))
+    tops = cut.groupBy(*keys, "__gb_b").agg(F.max(value).alias("__gb_t"))
+    before = Window.partitionBy(*keys).orderBy("__gb_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tops.select(*keys, "__gb_b", F.max("__gb_t").over(before).alias("__gb_s"))
+    inside = Window.partitionBy(*keys, "__gb_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("__gb_r", F.max(value).over(inside)).join(starts, [*keys, "__gb_b"]).withColumn(out, F.greatest("__gb_s", "__gb_r")).drop("__gb_b", "__gb_s", "__gb_r")
+
+
 def windowed(df: DataFrame, keys: list[str], idx: str, before: int, after: int, columns: Callable[[Window], dict[str, Column]], block: int = BLOCK) -> DataFrame:
     """``df`` with the columns that ``columns(window)`` makes over an ordered window of its rows; none of them may
     look further than ``before`` rows back or ``after`` ahead. Rows near an edge also go to the neighbour block."""

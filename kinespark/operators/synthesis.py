@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocked import running_sum, windowed
+from .blocked import dense_index, greatest_before, running_sum, windowed
+from .quantiles import order_statistics
 
 
 def time_base(channels: DataFrame) -> DataFrame:
@@ -56,12 +57,15 @@ def rebuild_imu_grid(records: DataFrame, period_us: int) -> tuple[DataFrame, Dat
     value, inner ones are linear between their neighbours, in whole raw counts with halves away from zero. Channels
     of under two records stay as they are.
     """
-    start = Window.partitionBy("session_id")
-    r = records.withColumn("__lead", F.floor((F.col("first_us") - F.min("first_us").over(start)) / period_us + 0.5).cast("long"))
-    r = r.withColumn("idx", F.when(F.count(F.lit(1)).over(Window.partitionBy("session_id", "channel_id")) > 1, F.col("slot") + F.col("__lead")).otherwise(F.col("slot")))
+    start = records.groupBy("session_id").agg(F.min("first_us").alias("__start"))
+    sizes = records.groupBy("session_id", "channel_id").agg(F.count(F.lit(1)).alias("__n"))
+    r = records.join(start, "session_id").join(sizes, ["session_id", "channel_id"])
+    r = r.withColumn("__lead", F.floor((F.col("first_us") - F.col("__start")) / period_us + 0.5).cast("long"))
+    r = r.withColumn("idx", F.when(F.col("__n") > 1, F.col("slot") + F.col("__lead")).otherwise(F.col("slot"))).drop("__start", "__n", "__lead")
     length = r.groupBy("session_id").agg((F.max("idx") + 1).alias("__len"))
-    w = Window.partitionBy("session_id", "channel_id").orderBy("idx")
-    r = r.join(length, "session_id").withColumn("__next", F.lead("idx").over(w)).withColumn("__v", F.lead("raw").over(w)).withColumn("__prev", F.lag("idx").over(w))
+    # neighbours by position among the channel's records, so that any gap between two of them is one step
+    r = dense_index(r.join(length, "session_id"), ["session_id", "channel_id"], "idx", "__p")
+    r = windowed(r, ["session_id", "channel_id"], "__p", 1, 1, lambda w: {"__next": F.lead("idx").over(w), "__v": F.lead("raw").over(w), "__prev": F.lag("idx").over(w)}).drop("__p")
     many = F.col("__next").isNotNull() | F.col("__prev").isNotNull()
     from_ = F.when(F.col("__prev").isNull() & many, F.lit(0).cast("long")).otherwise(F.col("idx"))
     to = F.when(F.col("__next").isNotNull(), F.col("__next") - 1).when(many, F.col("__len") - 1).otherwise(F.col("idx"))
@@ -76,22 +80,18 @@ def rebuild_imu_grid(records: DataFrame, period_us: int) -> tuple[DataFrame, Dat
 
 
 def place_slots(records: DataFrame, period_us: int) -> DataFrame:
-    """Records (session_id, imu, seq, ts_us) with slot and kept: the slot is the rounded number of periods since the
-    unit's first record, and a record counts only if its slot is beyond all slots before it."""
-    own = Window.partitionBy("session_id", "imu").orderBy("seq")
-    first = F.first("ts_us").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    slot = F.floor((F.col("ts_us") - first) / period_us + 0.5).cast("long")
-    s = records.withColumn("first_us", first).withColumn("slot", slot)
-    before = F.max("slot").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    return s.withColumn("kept", before.isNull() | (F.col("slot") > before))
+    """Records (session_id, imu, seq, ts_us) with slot, high and kept: the slot is the rounded number of periods since the
+    unit's first record, high the greatest slot before, and a record counts only if its slot is beyond that."""
+    own = ["session_id", "imu"]
+    first = records.groupBy(*own).agg(F.min_by("ts_us", "seq").alias("first_us"))
+    s = records.join(first, own).withColumn("slot", F.floor((F.col("ts_us") - F.col("first_us")) / period_us + 0.5).cast("long"))
+    s = greatest_before(s, own, "seq", "slot", "high")
+    return s.withColumn("kept", F.col("high").isNull() | (F.col("slot") > F.col("high")))
 
 
 def drop_report(records: DataFrame, period_us: int) -> DataFrame:
     """Per unit: received, kept, collisions (same slot), backsteps, fills, and gaps by missing slots 1, 2-3, 4-9, 10-49, 50+."""
-    placed = place_slots(records, period_us)
-    own = Window.partitionBy("session_id", "imu").orderBy("seq")
-    high = F.max("slot").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    p = placed.withColumn("__h", high)
+    p = place_slots(records, period_us).withColumnRenamed("high", "__h")
     miss = F.when(F.col("kept") & F.col("__h").isNotNull(), F.col("slot") - F.col("__h") - 1).otherwise(0)
     count = lambda c: F.count_if(c).alias
     p = p.withColumn("__m", miss)
@@ -106,11 +106,11 @@ def sag_stats(values: DataFrame, by: str, value: str = "value") -> DataFrame:
     """Per group: n, mean, population deviation, skewness and nearest-rank quantiles of finite values."""
     from ..functions.scalar import finite
 
-    v = values.where(finite(F.col(value)))
-    ranked = v.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(value)))
+    v = values.where(finite(F.col(value))).select(by, F.col(value).cast("double").alias(value))
     n = v.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.skewness(value).alias("skew"))
-    at = lambda q: F.max(F.when(F.col("__r") == F.least(F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)), F.col("n")), F.col(value))).alias(f"q{int(q * 100):02d}")
-    return ranked.join(n, by).groupBy(by, "n", "mean", "sd", "skew").agg(*[at(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])
+    at = lambda q: F.least(F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)), F.col("n"))
+    found = order_statistics(v, [by], value, {f"q{int(q * 100):02d}": at(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)})
+    return n.join(found, by)
 
 
 def diagnostic_report(lines: DataFrame) -> DataFrame:

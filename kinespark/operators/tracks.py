@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocked import BLOCK, fill_forward, running_sum, windowed
+
 #: Metres per degree, for coordinates in degrees x 1e7.
 METRES = 111_320.0 / 1e7
 
@@ -56,13 +58,14 @@ def visits(fixes: DataFrame, tracks: dict[str, list[tuple[float, float]]], thres
         options.append(F.when(meets & (near < threshold_m * threshold_m), F.struct(near.alias("d"), F.lit(order).alias("o"), F.lit(name).alias("track"))))
     best = F.array_min(F.array_compact(F.array(*options)))
     on = f.select("session_id", "idx", "timestamp_ms", best["track"].alias("track"))
-    w = Window.partitionBy("session_id").orderBy("idx")
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
     # for an on-track fix: the last on-track fix before it, and whether an off-track fix since then came too late
-    last = F.last(F.when(F.col("track").isNotNull(), F.struct("timestamp_ms", "track", "idx")), ignorenulls=True).over(back)
-    marked = on.withColumn("__l", last)
-    late = F.col("track").isNull() & (F.col("timestamp_ms") - F.col("__l.timestamp_ms") > int(round(gap_s * 1000)))
-    marked = marked.withColumn("__late", F.last(F.when(late, F.col("idx")), ignorenulls=True).over(back)).where("track is not null")
-    cut = F.col("__l").isNull() | (F.col("__l.track") != F.col("track")) | (F.coalesce("__late", F.lit(-1)) > F.col("__l.idx"))
-    grouped = marked.withColumn("__g", F.sum(cut.cast("int")).over(w)).groupBy("session_id", "track", "__g").agg(F.min_by("timestamp_ms", "idx").alias("start_ms"), F.max_by("timestamp_ms", "idx").alias("end_ms"))
+    own, block = ["session_id"], F.floor(F.col("idx") / BLOCK).cast("long")
+    before = lambda df, c: windowed(df, own, "idx", 1, 0, lambda w: {f"{c}_before": F.lag(c).over(w)})
+    here = F.when(F.col("track").isNotNull(), F.struct("timestamp_ms", "track", "idx"))
+    marked = before(fill_forward(on.withColumn("__l", here), own, ["idx"], block, ["__l"]), "__l")
+    late = F.col("track").isNull() & (F.col("timestamp_ms") - F.col("__l_before.timestamp_ms") > int(round(gap_s * 1000)))
+    marked = before(fill_forward(marked.withColumn("__late", F.when(late, F.col("idx"))), own, ["idx"], block, ["__late"]), "__late").where("track is not null")
+    cut = F.col("__l_before").isNull() | (F.col("__l_before.track") != F.col("track")) | (F.coalesce("__late_before", F.lit(-1)) > F.col("__l_before.idx"))
+    numbered = running_sum(marked, own, "idx", cut.cast("int"), "__g")
+    grouped = numbered.groupBy("session_id", "track", "__g").agg(F.min_by("timestamp_ms", "idx").alias("start_ms"), F.max_by("timestamp_ms", "idx").alias("end_ms"))
     return grouped.where(F.col("end_ms") - F.col("start_ms") >= int(round(least_s * 1000))).select("session_id", F.col("track").alias("track_id"), "start_ms", "end_ms")

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.aggregate import AGGREGATES, percentile
+from .functions.aggregate import AGGREGATES
 from .model import SessionSet, grid
-from .operators import joins, laps, overlay, series, synthesis, tables, tracks
+from .operators import joins, laps, overlay, quantiles, series, synthesis, tables, tracks
 from .operators.blocked import dense_index
 from .plans.compile import LapContext, evaluate
 
@@ -182,7 +182,8 @@ def _moments(spark, sf_dir):
 
 @query("agg_quantile", f"WITH {S_SQL} SELECT channel_id, round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95 FROM s GROUP BY channel_id")
 def _quantile(spark, sf_dir):
-    return channels(spark, sf_dir).groupBy("channel_id").agg(F.round(percentile(F.col("value"), 50.0), 6).alias("median_value"), F.round(percentile(F.col("value"), 5.0), 6).alias("p5"), F.round(percentile(F.col("value"), 95.0), 6).alias("p95"))
+    out = quantiles.percentiles(channels(spark, sf_dir), ["channel_id"], "value", {"median_value": 50.0, "p5": 5.0, "p95": 95.0})
+    return out.select("channel_id", *[F.round(c, 6).alias(c) for c in ("median_value", "p5", "p95")])
 
 
 @query("agg_first_last", f"WITH {S_SQL} SELECT channel_id, arg_min(value, idx) AS first_value, arg_max(value, idx) AS last_value FROM s GROUP BY channel_id")

@@ -616,3 +616,55 @@ def _arc(spark, sf_dir):
     f = fixes(spark, sf_dir)
     step = windowed(f, ["session_id"], "idx", 1, 0, lambda w: {"__s": F.coalesce(F.sqrt(F.pow(F.col("lat") - F.lag("lat").over(w), 2) + F.pow(F.col("lon") - F.lag("lon").over(w), 2)), F.lit(0.0))})
     return running_sum(step, ["session_id"], "idx", F.col("__s"), "length").select("idx", F.round("length", 1).alias("length"))
+
+
+@query("lap_start_distance", f"WITH {S_SQL}, d AS (SELECT idx, sum(value) OVER (ORDER BY idx) AS d FROM s WHERE channel_id = 'click') SELECT idx, round(CASE WHEN idx < 300 THEN (SELECT d FROM d WHERE idx = 0) WHEN idx < 755 THEN (SELECT d FROM d WHERE idx = 300) WHEN idx < 1200 THEN (SELECT d FROM d WHERE idx = 755) ELSE 'NaN'::DOUBLE END, 4) AS value FROM d")
+def _lap_distance(spark, sf_dir):
+    from .operators.blocked import running_sum
+
+    click = channels(spark, sf_dir).where("channel_id = 'click'")
+    far = running_sum(click, ["session_id"], "idx", F.col("value"), "__d").select("session_id", F.lit("Distance").alias("channel_id"), "idx", "t", F.col("__d").alias("value"))
+    out, _, _ = evaluate(SessionSet.from_samples(far, RATE), "lap_start_distance(current_lap()) + 0 * [Distance]", LAPS)
+    return out.select("idx", F.round("value", 4).alias("value"))
+
+
+# ---- parts of the estimator ----
+@query("gps_velocity", "SELECT event_id, round(value / 3.6 * cos(radians(user_id * 2)), 9) AS north, round(-value / 3.6 * sin(radians(user_id * 2)), 9) AS west FROM events WHERE event_type <> 'error'")
+def _gps_velocity(spark, sf_dir):
+    """Velocities of fixes whose speed is the event's value and whose course goes by the user; errors have no quality."""
+    import numpy as np
+
+    from .kernels import estimate
+
+    def run(batches):
+        for batch in batches:
+            event, value, user, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            t, v = estimate.gps_velocity(event.astype(np.float64), value, user * 200.0, np.where(kind == "error", 0.0, 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(v[:, 0]), pa.array(v[:, 1])], ["event_id", "north", "west"])
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", "user_id", "event_type")
+    return e.mapInArrow(run, "event_id long, north double, west double").select("event_id", F.round("north", 9).alias("north"), F.round("west", 9).alias("west"))
+
+
+@query("axle_forces", f"WITH {S_SQL}, g AS (SELECT a.idx, a.value * 0.01 AS z, radians(b.value) AS w FROM s a JOIN s b ON a.idx = b.idx AND a.channel_id = 'click' AND b.channel_id = 'view'), d AS (SELECT idx, z, coalesce((lead(w) OVER o - lag(w) OVER o) * 5, (lead(w) OVER o - w) * 10, (w - lag(w) OVER o) * 10, 0) AS a FROM g WINDOW o AS (ORDER BY idx)) SELECT idx, round(z * 9.81 + 0.835 * a, 6) AS front, round(z * 9.81 - 0.445 * a, 6) AS rear FROM d")
+def _axles(spark, sf_dir):
+    from .operators.suspension import axle_forces
+
+    s = common(spark, sf_dir, ("click", "view")).samples
+    name = F.when(F.col("channel_id") == "click", "IMU0_AccelZ").otherwise("IMU0_GyroY")
+    made = s.select("session_id", name.alias("channel_id"), "idx", "t", F.when(F.col("channel_id") == "click", F.col("value") * 0.01).otherwise(F.col("value")).alias("value"))
+    out = axle_forces(SessionSet.from_samples(made, RATE))
+    return out.select("idx", F.round("front", 6).alias("front"), F.round("rear", 6).alias("rear"))
+
+
+@query("estimator_flags", f"WITH {S_SQL}, m AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM s WHERE channel_id IN ('click', 'view', 'error') GROUP BY channel_id)), g AS (SELECT idx, 9.81 * sqrt(sum(pow(value * CASE channel_id WHEN 'error' THEN 0.005 ELSE 0.0002 END, 2))) AS a FROM s, m WHERE channel_id IN ('click', 'view', 'error') AND idx < m.n GROUP BY idx), f AS (SELECT idx, a, coalesce(stddev_pop(a) OVER (ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) < 1.5 AS still, a < 2.5 AS quiet FROM g) SELECT idx, round(a, 6) AS accel_norm, still AS stationary, quiet OR (coalesce(lag(quiet) OVER o, FALSE) AND coalesce(lead(quiet) OVER o, FALSE)) AS airborne FROM f WINDOW o AS (ORDER BY idx)")
+def _flags(spark, sf_dir):
+    """What the estimator sees of a recording with one unit's accelerations: their norm, and when it stands or flies."""
+    from .kernels import estimate
+    from .operators.suspension import suspension_trace
+
+    s = common(spark, sf_dir, ("click", "view", "error")).samples
+    pick = lambda *x: F.when(F.col("channel_id") == "click", x[0]).when(F.col("channel_id") == "view", x[1]).otherwise(x[2])
+    made = s.select("session_id", pick("IMU0_AccelX", "IMU0_AccelY", "IMU0_AccelZ").alias("channel_id"), "idx", "t", (F.col("value") * pick(0.0002, 0.0002, 0.005)).alias("value"))
+    out = suspension_trace(SessionSet.from_samples(made, RATE), config=estimate.Config(zupt_accel_std=1.5))
+    return out.select("idx", F.round("accel_norm", 6).alias("accel_norm"), "stationary", "airborne")

@@ -10,8 +10,8 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from ..errors import InputError
 from ..model import SessionSet
 from ..operators.blocked import dense_index
 from ..operators.synthesis import distance, place_slots, rebuild_imu_grid, time_ramp
+from ..storage import SharedTable
 
 #: Fixed values of the format: magic, version, end of the registry, record types, GPS channels, unit axes.
 MAGIC, VERSION, REGISTRY_END = b"IDL0", 3, 0xDEADBEEF
@@ -108,17 +109,19 @@ ROW = "session_id string, kind int, channel_id string, ord int, seq long, ts_us
 _COLUMNS = tuple(c.split()[0] for c in ROW.split(", "))
 
 
-def decode(data: bytes):
-    """Rows (tuples in the order of ROW) of one log. Everything before a damaged record is kept."""
+def decode(data: bytes, inertial: bool = True, order: dict[str, int] | None = None):
+    """Rows (tuples in the order of ROW) of one log. Everything before a damaged record is kept. Without ``inertial`` those
+    samples are left to ``inertial_columns``, but their channels are numbered in ``order`` (by first appearance)."""
     h = read_header(data)
     by_name = {e.name: e for e in h.registry.values()}
-    order: dict[str, int] = {}
+    order = {} if order is None else order
     seq = 0
 
     def row(kind, channel, ts, raw, imu=-1, data_type=7, scale=1.0, offset=0.0, rate=0.0):
         return (h.session_id, kind, channel, -1 if channel is None else order.setdefault(channel, len(order)), seq, ts, imu, raw, data_type, scale, offset, rate, None, None, None, h.period_us, None)
 
     axes = [i for i in range(6) if h.imu_mask >> i & 1]
+    numbered: set = set()
     stream = records(data, h)
     warning = None
     while True:
@@ -130,7 +133,13 @@ def decode(data: bytes):
         seq += 1
         try:
             if kind == IMU:
-                unit, ts = struct.unpack_from("<Bq", p)
+                unit, ts = _IMU.unpack_from(p)
+                if not inertial:
+                    if (unit, len(p)) not in numbered:
+                        numbered.add((unit, len(p)))
+                        for axis in axes[: (len(p) - 9) // 2]:
+                            order.setdefault(f"IMU{unit}_{AXES[axis]}", len(order))
+                    continue
                 for axis, raw in zip(axes, struct.unpack_from(f"<{min(len(axes), (len(p) - 9) // 2)}h", p, 9), strict=False):
                     name = f"IMU{unit}_{AXES[axis]}"
                     e = by_name.get(name)
@@ -154,18 +163,95 @@ def decode(data: bytes):
     yield (h.session_id, 0, None, None, 0, None, None, None, None, None, None, None, h.device_id, h.start_ms, h.checksum, h.period_us, warning)
 
 
+_IMU = struct.Struct("<Bq")
+
+
+def _frames(data: bytes, header: Header):
+    """(kinds, starts and sizes of the payloads, warning) of a log's records."""
+    kinds, starts, sizes, at, end = [], [], [], header.size, len(data)
+    warning = None
+    while at < end:
+        kind = data[at]
+        if kind == END:
+            break
+        if at + 3 > end:
+            warning = f"the log ends in a record header at byte {at}"
+            break
+        size = data[at + 1] | data[at + 2] << 8
+        if at + 3 + size > end:
+            warning = f"the log ends in a record at byte {at}"
+            break
+        kinds.append(kind)
+        starts.append(at + 3)
+        sizes.append(size)
+        at += 3 + size
+    return np.array(kinds, np.uint8), np.array(starts, np.int64), np.array(sizes, np.int64), warning
+
+
+def inertial_columns(data: bytes, header: Header) -> dict[str, np.ndarray] | None:
+    """The inertial samples of a log as columns unit, seq, ts_us, axis and raw: runs of records of equal size are read as one
+    array. None if a record is shorter than its fields, so that ``decode`` tells where."""
+    kinds, starts, sizes, _ = _frames(data, header)
+    axes = np.array([i for i in range(6) if header.imu_mask >> i & 1], np.int64)
+    least = {IMU: _IMU.size, GPS: 36, CHANNEL: _IMU.size}
+    if any((sizes[kinds == k] < n).any() for k, n in least.items()):
+        return None
+    raw_bytes = np.frombuffer(data, np.uint8)
+    out: dict[str, list] = {k: [] for k in ("unit", "seq", "ts_us", "axis", "raw")}
+    seq = np.arange(1, len(kinds) + 1)
+    for size in np.unique(sizes[kinds == IMU]).tolist():
+        at = (kinds == IMU) & (sizes == size)
+        n = min(len(axes), (size - _IMU.size) // 2)
+        if not n:
+            continue
+        rows = raw_bytes[starts[at][:, None] + np.arange(_IMU.size + 2 * n)]
+        out["unit"].append(np.repeat(rows[:, 0].astype(np.int64), n))
+        out["ts_us"].append(np.repeat(np.ascontiguousarray(rows[:, 1:9]).view("<i8").ravel(), n))
+        out["raw"].append(np.ascontiguousarray(rows[:, 9:]).view("<i2").astype(np.float64).ravel())
+        out["seq"].append(np.repeat(seq[at], n))
+        out["axis"].append(np.tile(axes[:n], int(at.sum())))
+    return {k: np.concatenate(v) if v else np.empty(0) for k, v in out.items()}
+
+
+def _inertial(data: bytes, header: Header, order: dict[str, int], schema: pa.Schema):
+    """Batches of the rows that ``decode`` makes of inertial records, or None. ``order`` has the channels' numbers."""
+    found = inertial_columns(data, header)
+    if found is None:
+        return None
+    by_name = {e.name: e for e in header.registry.values()}
+    batches = []
+    where = found["unit"] * 6 + found["axis"]
+    for code in np.unique(where).astype(np.int64).tolist():
+        at = where == code
+        name = f"IMU{code // 6}_{AXES[code % 6]}"
+        e = by_name.get(name)
+        fixed = {"session_id": header.session_id, "kind": 1, "channel_id": name, "ord": order[name], "imu": code // 6, "data_type": 4, "scale": e.scale if e else 1.0, "offset": e.offset if e else 0.0, "rate_hz": 1e6 / header.period_us, "period_us": header.period_us}
+        rows = int(at.sum())
+        for a in range(0, rows, 50_000):
+            part = slice(a, min(rows, a + 50_000))
+            n = part.stop - a
+            columns = {"seq": found["seq"][at][part], "ts_us": found["ts_us"][at][part], "raw": found["raw"][at][part]}
+            batches.append(pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.repeat(pa.scalar(fixed[f.name], f.type), n) if f.name in fixed else pa.nulls(n, f.type) for f in schema], schema=schema))
+    return batches
+
+
 def _batches(batches):
     schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in ROW.split(", ")])
     for batch in batches:
         for content in batch.column(0):
             rows: list = []
-            for r in decode(content.as_py()):
+            data, order = content.as_py(), {}
+            header = read_header(data)
+            fast = inertial_columns(data, header) is not None
+            for r in decode(data, not fast, order):
                 rows.append(r)
                 if len(rows) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            if fast:
+                yield from _inertial(data, header, order, schema)
 
 
 def read_logs(spark: SparkSession, path: str, pattern: str = "*") -> SessionSet:
@@ -179,7 +265,7 @@ def read_contents(logs: DataFrame) -> SessionSet:
 
 
 def from_records(rows: DataFrame) -> SessionSet:
-    rows = rows.persist(StorageLevel.DISK_ONLY)
+    rows = SharedTable(rows, "log-rows").df  # read several times below; deleted when the session ends
     sample = rows.where("kind > 0")
     origin = sample.groupBy("session_id").agg(F.min("ts_us").alias("origin_us"))
     sample = sample.where("kind < 3")
@@ -195,9 +281,11 @@ def from_records(rows: DataFrame) -> SessionSet:
     periods = [r[0] for r in per_record.select("period_us").distinct().collect()]  # one for each configured rate
     for period in periods:
         placed = place_slots(per_record.where(F.col("period_us") == period), period).where("kept").select("session_id", "imu", "seq", "slot", "first_us")
+        placed = SharedTable(placed, "log-slots").df
         facts = imu.where(F.col("period_us") == period).groupBy("session_id", "channel_id").agg(F.first("scale").alias("scale"), F.first("offset").alias("offset"))
         kept = imu.join(placed, ["session_id", "imu", "seq"]).select("session_id", "imu", "channel_id", "slot", "first_us", "raw")
         grid, spans = rebuild_imu_grid(kept, period)
+        grid = SharedTable(grid, "log-grid").df
         scaled = grid.join(F.broadcast(facts), ["session_id", "channel_id"]).select("session_id", "channel_id", "idx", "t", (F.col("value") * F.col("scale") + F.col("offset")).alias("value"))
         values = values.unionByName(scaled)
         gaps = spans if gaps is None else gaps.unionByName(spans)
@@ -242,7 +330,7 @@ def walk(data: bytes, start: int) -> Region | None:
     """The recording whose header is at ``start``, up to its end record or the first implausible byte; None if no
     complete header is there."""
     try:
-        h = read_header(data[start:])
+        h = read_header(data[start : start + _HEADER.size + 255 * _ENTRY.size + 4])
     except InputError:
         return None
     at, n = start + h.size, 0
@@ -260,7 +348,8 @@ def walk(data: bytes, start: int) -> Region | None:
 
 
 def find_recordings(data: bytes, sector: int = 1, session_id: str | None = None) -> list[Region]:
-    """Every recording in an image, at multiples of ``sector`` bytes; with ``session_id`` only that one."""
+    """Every recording in an image (bytes, or a mapped file of any size), at multiples of ``sector`` bytes; with
+    ``session_id`` only that one."""
     out, at = [], 0
     while (at := data.find(MAGIC + bytes([VERSION]), at)) >= 0:
         found = walk(data, at) if at % sector == 0 else None

@@ -468,3 +468,26 @@ def test_lap_slices_and_coupling(spark):
     got = suspension.axle_forces(SessionSet.from_samples(s, 10.0)).orderBy("idx").collect()
     want = np.radians(10.0)
     assert np.allclose([r.front for r in got], 9.81 + 0.835 * want) and np.allclose([r.rear for r in got], 9.81 - 0.445 * want)
+
+
+def test_exact_order_statistics(spark):
+    from kinespark.operators import quantiles
+
+    r = np.random.default_rng(5)
+    cases = {"wide": np.concatenate([r.normal(size=400) * 10.0 ** r.integers(-8, 8, 400), 2.0 ** np.arange(-30, 30), -(2.0 ** np.arange(-30, 30)), np.nextafter(2.0 ** np.arange(-30, 30), 0)]), "ties": np.repeat([3.0, -0.0, 0.0, 7.5], [50, 3, 4, 9]), "one": np.array([2.5]), "odd": np.array([np.nan, np.inf, 1.0, -np.inf, 5.0]), "none": np.array([np.nan])}
+    s = samples(spark, {k: v.tolist() for k, v in cases.items()}, 10.0)
+    wanted = {"a": 0.0, "b": 5.0, "c": 50.0, "d": 99.5, "e": 100.0}
+    got = {x.channel_id: x for x in quantiles.percentiles(s, ["channel_id"], "value", wanted).collect()}
+    for name, v in cases.items():
+        v = v[np.isfinite(v)]
+        for k, q in wanted.items():
+            assert (np.isnan(got[name][k]) and not len(v)) or np.isclose(got[name][k], np.percentile(v, q), rtol=1e-12, atol=0)
+
+
+def test_greatest_before_and_visits_cross_blocks(spark):
+    from kinespark.operators.blocked import greatest_before
+
+    r = np.random.default_rng(6)
+    v = r.integers(0, 1000, 40).tolist()
+    got = greatest_before(one(spark, v), ["session_id"], "idx", "value", "top", block=7).orderBy("idx").collect()
+    assert [x.top for x in got] == [None, *[float(max(v[:i])) for i in range(1, 40)]]

@@ -2,6 +2,7 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import gps, imu, make_gpmf, make_log, make_mp4, samples, value
 
@@ -239,3 +240,19 @@ def test_commands(spark, tmp_path, capsys):
     assert call("info", str(tmp_path / "none"))["kind"] in ("internal", "io")
     e = Engine.open(spark, log_)
     assert e.at_fixes("Fork").count() == 20 and e.resident_bytes().first().bytes > 0
+
+
+def test_inertial_records_as_arrays():
+    """Runs of records read as arrays give what the record by record decoder gives, whatever their number of axes."""
+    records = [imu(i % 3, 1000 * i, list(range(-i, -i + (6, 4, 1, 0)[i % 4]))) for i in range(60)] + [value(1, 5, "h", 7), imu(1, 99_000, [1, 2, 3, 4, 5, 6])]
+    data = make_log(records, registry=[(1, 4, 10, 1.0, 0.0, "a", ""), (2, 4, 800, 0.5, 1.0, "IMU1_GyroX", "")])
+    order: dict = {}
+    rest = list(log.decode(data, False, order))
+    plain = list(log.decode(data))
+    assert [r for r in plain if r[1] != 1] == rest
+    schema = next(log._batches([pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])])).schema
+    made = pa.Table.from_batches(log._inertial(data, log.read_header(data), order, schema)).to_pylist()
+    names = [f.name for f in schema]
+    assert sorted(tuple(r[n] for n in names) for r in made if r["raw"] is not None) == sorted(r for r in plain if r[1] == 1)
+    short = data[:-3] + struct.pack("<BHB", 1, 1, 0) + data[-3:]
+    assert log.inertial_columns(short, log.read_header(short)) is None
