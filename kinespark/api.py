@@ -86,7 +86,7 @@ class Engine:
         if info is None or self.data.sessions is None:
             return None
         start = self.data.sessions.select("session_id", F.coalesce("timestamp_utc_ms", F.lit(0)).alias("__s"))
-        beats = self.data.samples.where("channel_id = 'HR_BPM'").join(F.broadcast(start), "session_id")
+        beats = self.data.samples.where("channel_id = 'HR_BPM'").join(start, "session_id")
         return beats.select("session_id", (F.col("__s") + F.round(F.col("t") * 1000)).cast("double").alias("t"), "value")
 
     def write_fit(self, path: str, sport: int = 0) -> None:

@@ -62,7 +62,7 @@ class Geometry:
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of the estimator with their defaults."""
+    """Settings of the estimator; their defaults are fixed values of the reference bike and its sensors."""
 
     estimate_steering: bool = False
     gyro_arw: float = 0.003

@@ -34,11 +34,11 @@ def distance(samples: DataFrame, channels: DataFrame, speed: str = "GPS_SpeedKmh
     """Samples of the Distance channel: the trapezoid integral of speed / 3.6 at its rate, interpolated onto the Time
     ramp; 0 at or before time 0, the last value past the end."""
     own = channels.where(F.col("channel_id") == speed).select("session_id", F.col("rate_hz").alias("base_rate"))
-    v = samples.where(F.col("channel_id") == speed).join(F.broadcast(own), "session_id")
+    v = samples.where(F.col("channel_id") == speed).join(own, "session_id")
     step = windowed(v, ["session_id"], "idx", 1, 0, lambda w: {"__s": F.coalesce((F.lag("value").over(w) + F.col("value")) / 3.6 * 0.5 / F.col("base_rate"), F.lit(0.0))})
     base = running_sum(step, ["session_id"], "idx", F.col("__s"), "d").select("session_id", "idx", "d")
     last = base.groupBy("session_id").agg(F.max("idx").alias("__last"), F.max_by("d", "idx").alias("__end"))
-    ramp = time_ramp(channels).join(F.broadcast(own), "session_id").join(last, "session_id")
+    ramp = time_ramp(channels).join(own, "session_id").join(last, "session_id")
     f = F.col("t") * F.col("base_rate")
     at = ramp.withColumn("__f", f).withColumn("__k", F.floor(f).cast("long"))
     a = base.select("session_id", F.col("idx").alias("__k"), F.col("d").alias("__a"))

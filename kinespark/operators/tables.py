@@ -162,9 +162,9 @@ def windowed_samples(data: SessionSet, table: Table, rows: list[int]) -> DataFra
     w = spark.createDataFrame(named, "row string, session_id string, channel_id string, lo long, hi long, t0 double, t1 double")
     s = data.samples
     if all(table.rows[r].session_id is None for r in rows):
-        joined = s.join(F.broadcast(w.drop("session_id")), "channel_id").drop("session_id")
+        joined = s.join(w.drop("session_id"), "channel_id").drop("session_id")
     else:
-        joined = s.join(F.broadcast(w), ["session_id", "channel_id"]).drop("session_id")
+        joined = s.join(w, ["session_id", "channel_id"]).drop("session_id")
     inside = joined.where(F.when(F.col("lo").isNull(), F.col("t").between(F.col("t0"), F.col("t1"))).otherwise(F.col("idx").between(F.col("lo"), F.col("hi"))))
     first = inside.groupBy("row", "channel_id").agg(F.min("idx").alias("__0"))
     return inside.join(first, ["row", "channel_id"]).select(F.col("row").alias("session_id"), "channel_id", (F.col("idx") - F.col("__0")).alias("idx"), "t", "value")
@@ -291,15 +291,15 @@ def _evaluate_group(sliced, tree, cells, out, laps, table) -> None:
         data.same_length = lambda a, b: True  # checked row by row below
         c = _TableCompiler(data, ctx)
         c.load(tree)
-        counts = {x["session_id"]: x for x in c.frame.groupBy("session_id").agg(*[F.count(c.have[n].col).alias(n) for n in names]).collect()}
+        counts = [F.count(c.have[n].col).alias(f"n{i}") for i, n in enumerate(names)]
         value = c.node(tree)
         if not isinstance(value, C.Scal):
             raise EvalError("type", "the result is a channel, not a scalar")
         tests = [F.max(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(c.checks)]
-        got = {x["session_id"]: x for x in c.frame.groupBy("session_id").agg(F.first(value.col).alias("value"), *tests).collect()}
+        got = {x["session_id"]: x for x in c.frame.groupBy("session_id").agg(F.first(value.col).alias("value"), *counts, *tests).collect()}
         for r, col in cells:
             found = got.get(str(r))
-            if table.rows[r].window is None or found is None or any(not counts[str(r)][n] for n in names):
+            if table.rows[r].window is None or found is None or not all(found[f"n{i}"] for i in range(len(names))):
                 out[r][col] = (None, "unknown_channel")
                 continue
             bad = next((kind for i, (kind, _, _) in enumerate(c.checks) if found[f"c{i}"]), None)

@@ -6,6 +6,7 @@ same rows at their own times are event-driven channels. Fixes are closed-form fr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -507,14 +508,44 @@ def _sag(spark, sf_dir):
     return out.select("channel_id", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "q05", "q95")
 
 
-@query("butter_low")
+def _butter_sql(order: int, cutoff: float, high: bool) -> str:
+    """Forwards and backwards through two sections, sample by sample, over the odd-extended channel. The sections are written
+    from the quality factors of a Butterworth filter's pole pairs."""
+    w, sign = 2 * math.pi * cutoff / RATE, -1.0 if high else 1.0
+    made = []
+    for k in range(order // 2):
+        q = 1 / (2 * math.cos(math.pi * (2 * k + 1) / (2 * order))) if order % 2 == 0 else 1 / (2 * math.cos(math.pi * (k + 1) / order))
+        alpha = math.sin(w) / (2 * q)
+        b0 = (1 - sign * math.cos(w)) / 2 / (1 + alpha)
+        made.append((b0, 2 * sign * b0, b0, -2 * math.cos(w) / (1 + alpha), (1 - alpha) / (1 + alpha)))
+    if order % 2:
+        t = math.tan(w / 2)
+        made.append((1 / (1 + t), -1 / (1 + t), 0.0, (t - 1) / (t + 1), 0.0) if high else (t / (1 + t), t / (1 + t), 0.0, (t - 1) / (t + 1), 0.0))
+    (b0, b1, b2, a1, a2), (c0, c1, c2, d1, d2) = made
+    pad = 3 * (5 - order % 2)
+    g = (b0 + b1 + b2) / (1 + a1 + a2)
+    h = (c0 + c1 + c2) / (1 + d1 + d2)
+
+    def run(name: str, source: str) -> str:
+        first = f"SELECT 0 AS i, {g - b0!r} * x[1] AS z1, {b2 - a2 * g!r} * x[1] AS z2, {(h - c0) * g!r} * x[1] AS w1, {(c2 - d2 * h) * g!r} * x[1] AS w2, 0.0::DOUBLE AS y FROM {source}"
+        one = f"SELECT i + 1 AS i, x[i + 1] AS v, {b0!r} * x[i + 1] + z1 AS r, z1, z2, w1, w2 FROM {name}, {source} WHERE i < len(x)"
+        two = f"SELECT *, {c0!r} * r + w1 AS y FROM ({one})"
+        return f"{name} AS ({first} UNION ALL SELECT i, {b1!r} * v - {a1!r} * r + z2, {b2!r} * v - {a2!r} * r, {c1!r} * r - {d1!r} * y + w2, {c2!r} * r - {d2!r} * y, y FROM ({two}))"
+
+    return f"""WITH RECURSIVE {S_SQL}, c AS (SELECT list(value ORDER BY idx) AS v, CAST(count(*) AS INTEGER) AS n FROM s WHERE channel_id = 'click'),
+e AS MATERIALIZED (SELECT list_concat(list_concat(list_transform(range({pad}, 0, -1), lambda j: 2 * v[1] - v[j + 1]), v), list_transform(range(1, {pad + 1}), lambda j: 2 * v[n] - v[n - j])) AS x FROM c),
+{run("f", "e")}, m AS MATERIALIZED (SELECT list(y ORDER BY i DESC) AS x FROM f WHERE i > 0), {run("k", "m")},
+o AS (SELECT (SELECT len(x) FROM m) - i AS j, y FROM k WHERE i > 0) SELECT CAST(j - {pad} AS BIGINT) AS idx, round(y, 6) AS value FROM o, c WHERE j >= {pad} AND j < {pad} + n"""
+
+
+@query("butter_low", _butter_sql(4, 1.5, False))
 def _butter_low(spark, sf_dir):
-    return evaluate(common(spark, sf_dir, ("click",)), "butter(4, 1.5, 'low', [click])")[0].select("idx", "value")
+    return evaluate(common(spark, sf_dir, ("click",)), "butter(4, 1.5, 'low', [click])")[0].select("idx", F.round("value", 6).alias("value"))
 
 
-@query("butter_high")
+@query("butter_high", _butter_sql(3, 0.5, True))
 def _butter_high(spark, sf_dir):
-    return evaluate(common(spark, sf_dir, ("click",)), "butter(3, 0.5, 'high', [click])")[0].select("idx", "value")
+    return evaluate(common(spark, sf_dir, ("click",)), "butter(3, 0.5, 'high', [click])")[0].select("idx", F.round("value", 6).alias("value"))
 
 
 @query("declip")
@@ -535,12 +566,33 @@ def _suspension(spark, sf_dir):
     return suspension(SessionSet.from_samples(made, RATE)).select("channel_id", "idx", "value")
 
 
-@query("variance_dist")
+#: Laps of 500 fixes in the frame of the first: v as read, p in metres with the heading to the next fix (the last: from it to
+#: the one before), a with the length of the way.
+_LOOPS = X_SQL + """, v AS (SELECT idx // 500 + 1 AS lap, row_number() OVER (PARTITION BY idx // 500 ORDER BY idx) - 1 AS i, lat / 1e7 AS la, lon / 1e7 AS lo, value FROM x JOIN events ON event_id = idx),
+f AS (SELECT arg_min(la, i) AS la0, arg_min(lo, i) AS lo0, 111320.0 * cos(avg(la) * pi() / 180) AS sc FROM v WHERE lap = 1),
+q AS (SELECT lap, i, value, (lo - lo0) * sc AS e, (la - la0) * 111320.0 AS n FROM v, f),
+p AS (SELECT *, coalesce(atan2(lead(n) OVER o - n, lead(e) OVER o - e), atan2(lag(n) OVER o - n, lag(e) OVER o - e)) AS h, coalesce(sqrt(pow(n - lag(n) OVER o, 2) + pow(e - lag(e) OVER o, 2)), 0) AS step FROM q WINDOW o AS (PARTITION BY lap ORDER BY i)),
+a AS (SELECT *, sum(step) OVER (PARTITION BY lap ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM p)"""
+
+
+@query(
+    "variance_dist",
+    f"""WITH {_LOOPS}, r AS (SELECT s AS s0, value AS v0, lead(s) OVER (ORDER BY i) AS s1, lead(value) OVER (ORDER BY i) AS v1, max(s) OVER () AS last FROM a WHERE lap = 1)
+SELECT CAST(lap AS BIGINT) AS lap, CAST(i AS BIGINT) AS idx, round(CASE WHEN s > last THEN 'NaN'::DOUBLE WHEN s1 IS NULL THEN value - v0 ELSE value - (v0 + (v1 - v0) * (s - s0) / (s1 - s0)) END, 6) AS value FROM (SELECT * FROM a WHERE lap > 1) a ASOF JOIN r ON a.s >= r.s0""",
+)
 def _variance_dist(spark, sf_dir):
     return _variance(spark, sf_dir, "variance_dist")
 
 
-@query("variance_time")
+@query(
+    "variance_time",
+    f"""WITH RECURSIVE {_LOOPS}, c AS MATERIALIZED (SELECT i, value FROM p WHERE lap = 1), g AS MATERIALIZED (SELECT i AS k, e, n, lead(e) OVER o - e AS de, lead(n) OVER o - n AS dn FROM p WHERE lap = 1 WINDOW o AS (ORDER BY i)),
+s AS MATERIALIZED (SELECT *, de * de + dn * dn AS sq, atan2(dn, de) AS hd FROM g WHERE de IS NOT NULL AND de * de + dn * dn >= 1e-12), m AS MATERIALIZED (SELECT lap, i, e, n, h, value FROM p WHERE lap > 1),
+z AS (SELECT m.lap, m.i, s.k, least(greatest(((m.e - s.e) * de + (m.n - s.n) * dn) / sq, 0), 1) AS u, m.e AS pe, m.n AS pn, s.e, s.n, de, dn FROM m JOIN s ON m.i = 0 AND cos(m.h - hd) >= 0),
+w AS (SELECT lap, i, CAST(arg_min(k, d) AS BIGINT) AS last, arg_min(k + u, d) AS place FROM (SELECT *, pow(pe - e - u * de, 2) + pow(pn - n - u * dn, 2) AS d FROM z) GROUP BY lap, i
+UNION ALL SELECT lap, i, CAST(coalesce(arg_min(k, d), any_value(last)) AS BIGINT), arg_min(k + u, d) FROM (SELECT *, pow(pe - e - u * de, 2) + pow(pn - n - u * dn, 2) AS d FROM (SELECT m.lap, m.i, w.last, s.k, least(greatest(((m.e - s.e) * de + (m.n - s.n) * dn) / sq, 0), 1) AS u, m.e AS pe, m.n AS pn, s.e, s.n, de, dn FROM w JOIN m ON m.lap = w.lap AND m.i = w.i + 1 LEFT JOIN s ON s.k BETWEEN w.last - 10 AND w.last + 10 AND cos(m.h - hd) >= 0)) GROUP BY lap, i)
+SELECT CAST(m.lap AS BIGINT) AS lap, CAST(m.i AS BIGINT) AS idx, round(coalesce(m.value - CASE WHEN place = floor(place) THEN a.value ELSE a.value * (1 - (place - floor(place))) + b.value * (place - floor(place)) END, 'NaN'::DOUBLE), 4) AS value FROM m LEFT JOIN w ON w.lap = m.lap AND w.i = m.i LEFT JOIN c a ON a.i = CAST(floor(place) AS BIGINT) LEFT JOIN c b ON b.i = CAST(floor(place) AS BIGINT) + 1""",
+)
 def _variance_time(spark, sf_dir):
     return _variance(spark, sf_dir, "variance_time")
 
@@ -559,7 +611,7 @@ def _variance(spark, sf_dir, mode: str) -> DataFrame:
     data = SessionSet.from_samples(made, RATE)
     other = SessionSet(data.samples.where("session_id <> '1'"), data.channels.where("session_id <> '1'"))
     out = variance(other, "Fork", RATE, Overlay(data, "1", (float("-inf"), float("inf")), 0.0), (0.0, 0.0), mode)
-    return out.select(F.col("session_id").cast("long").alias("lap"), "idx", "value")
+    return out.select(F.col("session_id").cast("long").alias("lap"), "idx", F.round("value", 6 if mode == "variance_dist" else 4).alias("value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -435,7 +435,7 @@ def _welch_sessions(spark, sf_dir):
 # ---- fixes, tracks, overlays ----
 def _gps(spark, sf_dir) -> SessionSet:
     """A session with GPS channels at 5 Hz and a channel at 10 Hz; every seventh fix is (0, 0)."""
-    f = fixes(spark, sf_dir).withColumn("idx", F.col("idx") - F.min("idx").over(_everything()))
+    f = _from_zero(fixes(spark, sf_dir))
     lost = F.col("idx") % 7 == 3
     each = F.array(*[F.struct(F.lit(n).alias("channel_id"), c.cast("double").alias("value")) for n, c in (("GPS_Latitude", F.when(lost, 0).otherwise(F.col("lat"))), ("GPS_Longitude", F.when(lost, 0).otherwise(F.col("lon"))), ("GPS_EpochMs", F.col("timestamp_ms") + 1))])
     made = f.select("session_id", "idx", (F.col("idx") / 5.0).alias("t"), F.explode(each).alias("c")).select("session_id", "c.channel_id", "idx", "t", "c.value")
@@ -443,10 +443,9 @@ def _gps(spark, sf_dir) -> SessionSet:
     return SessionSet.from_samples(made.unionByName(own), {"GPS_Latitude": 5.0, "GPS_Longitude": 5.0, "GPS_EpochMs": 5.0, "click": RATE})
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("session_id")
+def _from_zero(f: DataFrame) -> DataFrame:
+    """Fixes numbered from 0 on."""
+    return f.withColumn("idx", F.col("idx") - F.lit(f.agg(F.min("idx")).first()[0]))
 
 
 _GPS_SQL = X_SQL + ", k AS (SELECT idx - min(idx) OVER () AS i, ms + 1 AS ms, lat, lon FROM x), v AS (SELECT row_number() OVER (ORDER BY i) - 1 AS idx, i, ms, lat, lon FROM k WHERE i % 7 <> 3)"
@@ -468,17 +467,21 @@ def _map_points(spark, sf_dir):
     return overlay.map_line(overlay.normalised_map(f)).select("idx", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query("map_position", f"WITH {X_SQL}, k AS (SELECT idx - min(idx) OVER () AS i, lat, lon FROM x), b AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM k), f AS (SELECT i AS frame, i / 2.0 AS t FROM range(0, 1200) r(i)), p AS (SELECT frame, t, (SELECT max(i) FROM k WHERE i % 40 = 0 AND i / 5.0 <= t) AS i FROM f) SELECT CAST(frame AS BIGINT) AS frame, CASE WHEN t - p.i / 5.0 <= 5 THEN round((lon - c) / (d - c), 9) END AS x, CASE WHEN t - p.i / 5.0 <= 5 THEN round((lat - a) / (b - a), 9) END AS y FROM p JOIN k ON k.i = p.i, b")
+@query("map_position", f"WITH {X_SQL}, k AS (SELECT idx - min(idx) OVER () AS i, lat, lon FROM x), b AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d, max(i) AS n FROM k), f AS (SELECT CAST(j AS BIGINT) AS frame, j * 3.0 AS t FROM range(0, (SELECT n FROM b) * 8 // 3 + 4) r(j)), p AS (SELECT frame, t, CAST(least(floor(t / 8), n) AS BIGINT) AS i FROM f, b) SELECT frame, CASE WHEN t - p.i * 8 <= 5 THEN round((lon - c) / (d - c), 9) END AS x, CASE WHEN t - p.i * 8 <= 5 THEN round((lat - a) / (b - a), 9) END AS y FROM p JOIN k ON k.i = p.i, b")
 def _map_position(spark, sf_dir):
-    """The place at each frame, of fixes eight seconds apart, so that some are stale."""
-    f = fixes(spark, sf_dir).withColumn("idx", F.col("idx") - F.min("idx").over(_everything())).withColumn("t", F.col("idx") / 5.0)
-    norm = overlay.normalised_map(f).where("idx % 40 = 0")
-    return overlay.map_position(overlay.frame_clock(spark, "s0", 2.0, 600.0), norm).select("frame", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    """The place every three seconds, of fixes eight seconds apart, so that some are stale."""
+    f = _from_zero(fixes(spark, sf_dir)).withColumn("t", F.col("idx") * 8.0)
+    n = f.agg(F.max("idx")).first()[0] * 8 // 3 + 4
+    norm = overlay.normalised_map(f)
+    return overlay.map_position(overlay.frame_clock(spark, "s0", 1 / 3, n * 3.0), norm).select("frame", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query("trace_strip", f"WITH {S_SQL}, c AS (SELECT idx, value, min(value) OVER () AS lo, max(value) OVER () AS hi, max(idx) OVER () AS last FROM s WHERE channel_id = 'click'), f AS (SELECT i AS frame, i / 1.0 AS t FROM range(0, 150) r(i)), w AS (SELECT frame, t, greatest(ceil((t - 60) * 10), 0) AS lo_i, least(floor(t * 10), (SELECT max(last) FROM c)) AS hi_i FROM f), g AS (SELECT *, greatest(ceil((hi_i - lo_i + 1) / 256), 1) AS st FROM w WHERE hi_i >= lo_i) SELECT CAST(frame AS BIGINT) AS frame, CAST((idx - lo_i) / st AS BIGINT) AS k, round(least(greatest((idx / 10.0 - (t - 60)) / 60, 0), 1), 9) AS x, round((value - lo) / (hi - lo), 9) AS y FROM g JOIN c ON idx BETWEEN lo_i AND hi_i AND CAST(idx - lo_i AS BIGINT) % CAST(st AS BIGINT) = 0")
+@query("trace_strip", f"WITH {S_SQL}, c AS (SELECT idx, value, min(value) OVER () AS lo, max(value) OVER () AS hi, max(idx) OVER () AS last FROM s WHERE channel_id = 'click'), f AS (SELECT i AS frame, i * 5.0 AS t FROM range(0, (SELECT max(last) FROM c) // 50 + 2) r(i)), w AS (SELECT frame, t, greatest(ceil((t - 60) * 10), 0) AS lo_i, least(floor(t * 10), (SELECT max(last) FROM c)) AS hi_i FROM f), g AS (SELECT *, greatest(ceil((hi_i - lo_i + 1) / 256), 1) AS st FROM w WHERE hi_i >= lo_i) SELECT CAST(frame AS BIGINT) AS frame, CAST((idx - lo_i) / st AS BIGINT) AS k, round(least(greatest((idx / 10.0 - (t - 60)) / 60, 0), 1), 9) AS x, round((value - lo) / (hi - lo), 9) AS y FROM g JOIN c ON idx BETWEEN lo_i AND hi_i AND CAST(idx - lo_i AS BIGINT) % CAST(st AS BIGINT) = 0")
 def _trace_strip(spark, sf_dir):
-    out = overlay.trace(overlay.frame_clock(spark, "s0", 1.0, 150.0), channels(spark, sf_dir).where("channel_id = 'click'"), RATE, 60.0)
+    """The strip of the last minute, every five seconds of the whole channel."""
+    click = channels(spark, sf_dir).where("channel_id = 'click'")
+    n = click.agg(F.max("idx")).first()[0] // 50 + 2
+    out = overlay.trace(overlay.frame_clock(spark, "s0", 0.2, n * 5.0), click, RATE, 60.0)
     return out.select("frame", F.col("k").cast("long").alias("k"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
@@ -668,3 +671,108 @@ def _flags(spark, sf_dir):
     made = s.select("session_id", pick("IMU0_AccelX", "IMU0_AccelY", "IMU0_AccelZ").alias("channel_id"), "idx", "t", (F.col("value") * pick(0.0002, 0.0002, 0.005)).alias("value"))
     out = suspension_trace(SessionSet.from_samples(made, RATE), config=estimate.Config(zupt_accel_std=1.5))
     return out.select("idx", F.round("accel_norm", 6).alias("accel_norm"), "stationary", "airborne")
+
+
+def _wheel_sql() -> str:
+    """The forward filter and the backward pass, step by step for all users at once; each update in its closed form."""
+    dt, q0, q1 = 0.1, 1e-3**2 * 0.1, 5.0**2 * 0.1
+
+    def velocity(test: str, source: str, sigma: float) -> str:  # the velocity is seen to be 0
+        s, v = f"(p11 + {sigma * sigma!r})", f"{sigma * sigma!r}"
+        new = {"x0": f"x0 - p01 / {s} * x1", "x1": f"x1 - p11 / {s} * x1", "p00": f"p00 - p01 * p01 / {s}", "p01": f"p01 * {v} / {s}", "p11": f"p11 * {v} / {s}"}
+        return f"SELECT user_id, i, drive, still, air, {', '.join(f'CASE WHEN {test} THEN {e} ELSE {k} END AS {k}' for k, e in new.items())} FROM ({source})"
+
+    def place(test: str, target: str, source: str, sigma: float) -> str:  # the travel is seen to be the target
+        s, v = f"(p00 + {sigma * sigma!r})", f"{sigma * sigma!r}"
+        new = {"x0": f"x0 + p00 / {s} * ({target} - x0)", "x1": f"x1 + p01 / {s} * ({target} - x0)", "p00": f"p00 * {v} / {s}", "p01": f"p01 * {v} / {s}", "p11": f"p11 - p01 * p01 / {s}"}
+        return f"SELECT user_id, i, drive, still, air, {', '.join(f'CASE WHEN {test} THEN {e} ELSE {k} END AS {k}' for k, e in new.items())} FROM ({source})"
+
+    ahead = f"SELECT m.user_id, m.i, m.drive, m.still, m.air, x0 + {dt} * x1 AS x0, x1 + m.drive * {dt} AS x1, p00 + 2 * {dt} * p01 + {dt * dt!r} * p11 + {q0!r} AS p00, p01 + {dt} * p11 AS p01, p11 + {q1!r} AS p11 FROM f JOIN m ON m.user_id = f.user_id AND m.i = f.i + 1"
+    seen = velocity("still", ahead, 0.02)
+    seen = velocity("air", place("air", "0.0", seen, 0.01), 0.02)
+    seen = place("x0 < 0 OR x0 > 0.17", "CASE WHEN x0 < 0 THEN 0.0 ELSE 0.17 END", seen, 0.005)
+    spread = f"p00 + 2 * {dt} * p01 + {dt * dt!r} * p11 + {q0!r} AS s00, p01 + {dt} * p11 AS s01, p11 + {q1!r} AS s11"
+    gain = f"(p00 + {dt} * p01) AS a, p01 AS b, (p01 + {dt} * p11) AS c, p11 AS d"  # the covariance times the transposed step
+    back = f"SELECT f.user_id, f.i, f.x0, f.x1, k.x0 - (f.x0 + {dt} * f.x1) AS r0, k.x1 - (f.x1 + m.drive * {dt}) AS r1, {spread}, {gain} FROM k JOIN f ON f.user_id = k.user_id AND f.i = k.i - 1 AND f.i >= 0 JOIN m ON m.user_id = k.user_id AND m.i = k.i"
+    back = back.replace("p00", "f.p00").replace("p01", "f.p01").replace("p11", "f.p11")
+    return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, (value - 40) * 0.05 AS drive, event_type = 'click' AS still, event_type = 'view' AS air FROM events),
+f AS (SELECT DISTINCT user_id, -1::BIGINT AS i, 0.0::DOUBLE AS drive, FALSE AS still, FALSE AS air, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1, 0.0025::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11 FROM m UNION ALL {seen}),
+k AS (SELECT user_id, max(i) AS i, arg_max(x0, i) AS x0, arg_max(x1, i) AS x1 FROM f GROUP BY user_id UNION ALL SELECT user_id, i, x0 + ((a * s11 - b * s01) * r0 + (b * s00 - a * s01) * r1) / (s00 * s11 - s01 * s01), x1 + ((c * s11 - d * s01) * r0 + (d * s00 - c * s01) * r1) / (s00 * s11 - s01 * s01) FROM ({back}))
+SELECT user_id, i AS idx, round(x0, 6) AS travel, round(x1, 6) AS velocity FROM k"""
+
+
+@query("wheel_smoothing", _wheel_sql())
+def _wheel(spark, sf_dir):
+    """The estimator's two-state filter and smoother, a recording for each user: standing at clicks, in the air at views."""
+    import numpy as np
+
+    from .kernels import estimate
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("event_id")
+        kind, value = np.array(table["event_type"].to_pylist()), table["value"].to_numpy()
+        travel, velocity = estimate.smooth_wheel((value - 40) * 0.05, kind == "click", kind == "view", 0.1, 0.17, 0.27 * 0.17, estimate.Config())
+        n = len(value)
+        return pa.table({"user_id": pa.array([table["user_id"][0].as_py()] * n, pa.int64()), "idx": pa.array(np.arange(n)), "travel": travel, "velocity": velocity})
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value")
+    out = e.groupBy("user_id").applyInArrow(run, "user_id long, idx long, travel double, velocity double")
+    return out.select("user_id", "idx", F.round("travel", 6).alias("travel"), F.round("velocity", 6).alias("velocity"))
+
+
+# ---- heart rate, rollups, probes, diagnostics ----
+@query("heart_rate", f"WITH {_U_SQL} SELECT user_id, i AS idx, 1704067200000 + user_id + round(us / 1e6 * 1000) AS wall_ms, value FROM u WHERE k = 'click'")
+def _heart(spark, sf_dir):
+    """Beats by wall clock: a session for each user, its clicks as heart rate at times of their own."""
+    e = _by_user_events(spark, sf_dir).withColumn("channel_id", F.lit("HR_BPM"))
+    data = SessionSet.from_samples(e, {"HR_BPM": 0.0})
+    data.sessions = e.select("session_id").distinct().withColumn("timestamp_utc_ms", 1_704_067_200_000 + F.col("session_id").cast("long"))
+    out = Engine(spark, data).heart_rate().join(e.select("session_id", "idx", (1_704_067_200_000 + F.col("session_id").cast("long") + F.round(F.col("t") * 1000)).alias("t"), "value"), ["session_id", "t", "value"])
+    return out.select(F.col("session_id").cast("long").alias("user_id"), "idx", F.col("t").alias("wall_ms"), "value")
+
+
+def _by_user_events(spark, sf_dir) -> DataFrame:
+    """Clicks of each user at their own times, in seconds of 2024."""
+    from .operators.blocked import dense_index
+
+    e = _events(spark, sf_dir).where("event_type = 'click'").select(F.col("user_id").cast("string").alias("session_id"), "event_id", "us", "value")
+    return dense_index(e, ["session_id"], "event_id").select("session_id", F.lit("click").alias("channel_id"), "idx", (F.col("us") / 1e6).alias("t"), "value")
+
+
+@query("fit_rollup", f"WITH {_FIT_SQL}, h AS (SELECT *, CASE WHEN k % 2 = 0 THEN CAST(60 + k % 100 AS BIGINT) END AS hr FROM r) SELECT user_id, CAST(max(ms) - min(ms) AS DOUBLE) / 1000 AS elapsed_s, round(max(m), 2) AS distance_m, round(avg(value / 3.6), 6) AS avg_speed, round(max(value / 3.6), 6) AS max_speed, CAST(floor(sum(hr) / count(hr)) AS BIGINT) AS avg_hr, max(hr) AS max_hr, count(*) AS fixes FROM h GROUP BY user_id")
+def _rollup(spark, sf_dir):
+    from .operators.blocked import dense_index
+
+    f = fixes(spark, sf_dir).drop("session_id").join(_events(spark, sf_dir).select("event_id", "user_id", "value"), F.col("idx") == F.col("event_id"))
+    own = f.select(F.col("user_id").cast("string").alias("session_id"), "idx", "timestamp_ms", "lat", "lon", F.col("value").alias("speed"))
+    records = dense_index(fit.activity_records(own).drop("hr"), ["session_id"], "idx", "k")
+    out = fit.session_rollup(records.withColumn("hr", F.when(F.col("k") % 2 == 0, 60 + F.col("k") % 100)))
+    return out.select(F.col("session_id").cast("long").alias("user_id"), "elapsed_s", F.round("distance_m", 2).alias("distance_m"), F.round("avg_speed", 6).alias("avg_speed"), F.round("max_speed", 6).alias("max_speed"), "avg_hr", "max_hr", "fixes")
+
+
+_PROBE = {"streams": [{"codec_type": "audio"}, {"codec_type": "video", "width": 1920, "height": 1080, "avg_frame_rate": "30000/1001", "r_frame_rate": "30/1", "side_data_list": [{"rotation": -90}]}], "format": {"duration": "12.5"}}
+
+
+@query("video_probe", "SELECT * FROM (VALUES ('probe', 1920::DOUBLE, 1080::DOUBLE, round(30000 / 1001.0, 6), 12.5::DOUBLE, 270::DOUBLE, 1::DOUBLE), ('clip', 2.0, 10.0, 300.0, NULL, NULL, NULL), ('clip_past', 10.0, 10.0, 0.0, NULL, NULL, NULL), ('time', 1704166205500.0, NULL, NULL, NULL, NULL, NULL)) v(what, a, b, c, d, e, f)")
+def _video_probe(spark, sf_dir):
+    p = video.parse_probe(json.dumps(_PROBE))
+    clip, past = video.clip_range(2.0, None, 10.0), video.clip_range(11.0, 12.0, 10.0)
+    rows = [("probe", float(p["width"]), float(p["height"]), round(p["fps"], 6), p["duration_s"], float(p["rotation"]), float(p["has_audio"]))]
+    rows += [(n, *c, float(video.frame_count(37.5, c[1] - c[0])), None, None, None) for n, c in (("clip", clip), ("clip_past", past))]
+    rows.append(("time", float(video.gps_time(b"240102033005.500")), None, None, None, None, None))
+    return spark.createDataFrame(rows, "what string, a double, b double, c double, d double, e double, f double")
+
+
+_DIAGNOSTICS = """==== BOOT reason=BROWNOUT heap=1200 ====
+t=12 EVT IMU0 spi drains=10 pairs=200 ovr=3 read_us=40/90 tot_us=55/120
+t=14 EVT IMU cycle_max_us=700 writer_drops=1 poll_ms=5 cap=64
+t=16 heap=1 min=2 heap=3
+==== BOOT reason=POWERON reason=X ===="""
+
+
+@query("diagnostic_lines", "SELECT * FROM (VALUES ('boot', NULL, 'BROWNOUT', NULL, NULL::BIGINT, NULL::BIGINT, NULL), ('drain', '12', NULL, 'IMU0', 3, 90, 'overruns'), ('cycle', '14', NULL, NULL, NULL, NULL, 'writer_drops'), ('boot', NULL, 'POWERON', NULL, NULL, NULL, NULL)) v(kind, t, reason, imu, ovr, read_max_us, flag)")
+def _diagnostics(spark, sf_dir):
+    from .operators.synthesis import diagnostic_report
+
+    lines = spark.createDataFrame([(x,) for x in _DIAGNOSTICS.split("\n")], "value string")
+    return diagnostic_report(lines).select("kind", "t", "reason", "imu", "ovr", "read_max_us", "flag")

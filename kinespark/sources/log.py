@@ -286,7 +286,7 @@ def from_records(rows: DataFrame) -> SessionSet:
         kept = imu.join(placed, ["session_id", "imu", "seq"]).select("session_id", "imu", "channel_id", "slot", "first_us", "raw")
         grid, spans = rebuild_imu_grid(kept, period)
         grid = SharedTable(grid, "log-grid").df
-        scaled = grid.join(F.broadcast(facts), ["session_id", "channel_id"]).select("session_id", "channel_id", "idx", "t", (F.col("value") * F.col("scale") + F.col("offset")).alias("value"))
+        scaled = grid.join(facts, ["session_id", "channel_id"]).select("session_id", "channel_id", "idx", "t", (F.col("value") * F.col("scale") + F.col("offset")).alias("value"))
         values = values.unionByName(scaled)
         gaps = spans if gaps is None else gaps.unionByName(spans)
 
