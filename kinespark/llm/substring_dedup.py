@@ -6,7 +6,8 @@ another document holds.
    leftmost if it repeats (equal windows are filed under equal prefixes at equal places). Adjacent windows mostly have
    theirs in common; the words from the first of such windows to the end of the last are one context.
 2. Counts of documents for each prefix decide how it goes on. Prefixes of one document are dropped with their whole
-   subtree. Prefixes of at most ``group_size`` documents are dealt to groups that fit in memory, with their contexts.
+   subtree. Prefixes of at most ``group_size`` documents (one that repeats a prefix counts for several) are dealt to groups
+   that fit in memory, with their contexts.
    Longer prefixes split the others: a window is the longest that its own words determine, so these are filed under
    whole windows, each of which is a single node that needs no tree, only its smallest document (aggregated
    before and after the shuffle).
@@ -70,6 +71,19 @@ def window_prefixes(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray
     return small[at], at
 
 
+#: Contexts of a prefix in one document that count as much as another document with it.
+CONTEXTS = 16
+
+
+def weighted_prefixes(h: np.ndarray, window: int, prefix: int) -> np.ndarray:
+    """The prefixes of a document, each once and once more for every CONTEXTS contexts, so that counts of them bound what a
+    group holds."""
+    under, at = window_prefixes(h, window, prefix)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+    keys, n = np.unique(under[first], return_counts=True)
+    return np.repeat(keys, 1 + (n - 1) // CONTEXTS)
+
+
 def contexts(words: list[bytes], window: int, prefix: int, wanted: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
     """(prefix, text of a context) -> places where it starts, of the windows filed under ``wanted`` prefixes."""
     under, at = window_prefixes(word_hashes(words), window, prefix)
@@ -95,7 +109,7 @@ def _describe(window: int, prefix: int):
                 digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                lists.append(np.unique(window_prefixes(h, window, prefix)[0]).astype(np.int64))
+                lists.append(weighted_prefixes(h, window, prefix).astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "d1", "d2", "prefixes"])
@@ -172,15 +186,19 @@ def _whole_windows(window: int, prefix: int):
     prefixes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            digests, ids, starts = [], [], []
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = ascii_words(text)
                 under, _ = window_prefixes(word_hashes(words), window, prefix)
                 found: dict[bytes, list[int]] = {}
                 for i in np.flatnonzero(np.isin(under, _prefixes(wanted))).tolist():
                     found.setdefault(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), []).append(i)
-                halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([doc] * len(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))], ["d1", "d2", "id", "starts"])
+                digests += found
+                ids += [doc] * len(found)
+                starts += found.values()
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], ["d1", "d2", "id", "starts"])
 
     return run
 

@@ -523,6 +523,20 @@ def test_substring_dedup(spark, window, prefix, group_size):
     assert got == brute.substring(rows, window)
 
 
+@pytest.mark.parametrize("group_size", [2, 6, 1024])
+def test_a_prefix_in_many_contexts(spark, group_size):
+    r = random.Random(3)
+    line = "one two three four five six seven eight"
+    texts = [" ".join(f"{line} {r.choice(WORDS)} {r.choice(WORDS)}" for _ in range(60)) for _ in range(3)]
+    texts += [f"{texts[0]} tail", f"head {texts[1][300:2600]}", " ".join([line] * 40), " ".join([line] * 30 + ["end"])]
+    rows = list(enumerate(texts))
+    h = substring_dedup.word_hashes(texts[5].encode().split())
+    keys = substring_dedup.weighted_prefixes(h, 50, 8)
+    assert len(keys) > len(set(keys.tolist())) and set(keys.tolist()) == set(substring_dedup.window_prefixes(h, 50, 8)[0].tolist())
+    got = {x.doc_id: (x.n_words, x.n_removed, brute.sha(x.kept_text or "")) for x in substring_dedup.dedup_substrings(frame(spark, rows), group_size=group_size).collect()}
+    assert got == brute.substring(rows, 50)
+
+
 def test_substring_degenerate_inputs(spark):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
     t, u = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
