@@ -46,7 +46,7 @@ _WORD, _KEY = U64((1 << 8 * WORD_BYTES) - 1), U64((1 << 8 * KEY_BYTES) - 1)
 #: The context of a text's first word, and the word after its last.
 BOS, EOS = U64(0), U64(1)
 #: Entries of the broadcast tier: words and bigrams of the trusted text, and keys that are frequent in what is scored.
-MOST_WORDS, MOST_BIGRAMS, MOST_HEAVY = 400_000, 600_000, 65_536
+MOST_WORDS, MOST_BIGRAMS, MOST_HEAVY = 400_000, 400_000, 65_536
 #: Bigrams that a task counts before it sends them on.
 CHUNK = 1_000_000
 ROUNDS = 2
@@ -317,25 +317,28 @@ class Model:
         words = count_words(bigrams.df, shards)
         s = Smoothing(bigrams.df, words.df)
         self.unknown = s.unknown
-        frequent = spark.sparkContext.broadcast(_frequent_words(words.df, s))
+        known = _frequent_words(words.df, s)
+        frequent = spark.sparkContext.broadcast(known)
         own = bigrams.df.select("shard", "v", "w", "c")
         self.tables = [write_shared(own.mapInArrow(tidy(_both_frequent(s, frequent)), VALUES), "values")]
         keys, values = _arrow(own.mapInArrow(tidy(_top(s, frequent, _least_bin(own.mapInArrow(_binned(lambda row: _integers(row, "c")), "bin int, n long"), MOST_BIGRAMS))), "key long, value double"), np.int64, np.float64)
         self.tables.append(_others(own, words.df, s, frequent, shards))
         words.drop()
         bigrams.drop()
-        ids, _, g, q = frequent.value
+        frequent.destroy()
+        ids, _, g, q = known
         tier = [(word_keys(ids), np.log(q / s.unknown) + np.log(g)), (keys.view(U64), values)]
         tier.append(_heavy(scored, self.df, Tier(*map(np.concatenate, zip(*tier, strict=True))), shards))
-        frequent.unpersist()
         self.tier = spark.sparkContext.broadcast(Tier(*map(np.concatenate, zip(*tier, strict=True))))
+        del known, ids, g, q, keys, values, tier
+        trim()  # the driver's copies
 
     @property
     def df(self) -> DataFrame:
         return self.tables[0].df.unionByName(self.tables[1].df)
 
     def drop(self) -> None:
-        self.tier.unpersist()
+        self.tier.destroy()
         for table in self.tables:
             table.drop()
 
@@ -471,7 +474,7 @@ def _heavy(scored: DataFrame, values: DataFrame, tier: Tier, shards: int) -> tup
     least = _least_bin(counted.df.select(at.alias("bin"), F.lit(1).alias("n")), MOST_HEAVY)
     (keys,) = _arrow(counted.df.where(at >= least).select("key"), np.int64)
     counted.drop()
-    small.unpersist()
+    small.destroy()
     keys = np.sort(keys.view(U64))
     if not len(keys):
         return keys, np.empty(0)
@@ -487,6 +490,7 @@ def _heavy(scored: DataFrame, values: DataFrame, tier: Tier, shards: int) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array(mine[a].view(np.int64)), pa.array(floats(row["data"])[b])], ["key", "value"])
 
     found, value = _arrow(values.mapInArrow(tidy(find), "key long, value double"), np.int64, np.float64)
+    wanted.destroy()
     out = np.zeros(len(keys))
     out[np.searchsorted(keys, found.view(U64))] = value
     return keys, out
