@@ -535,7 +535,7 @@ def _butter_sql(order: int, cutoff: float, high: bool) -> str:
     return f"""WITH RECURSIVE {S_SQL}, c AS (SELECT list(value ORDER BY idx) AS v, CAST(count(*) AS INTEGER) AS n FROM s WHERE channel_id = 'click'),
 e AS MATERIALIZED (SELECT list_concat(list_concat(list_transform(range({pad}, 0, -1), lambda j: 2 * v[1] - v[j + 1]), v), list_transform(range(1, {pad + 1}), lambda j: 2 * v[n] - v[n - j])) AS x FROM c),
 {run("f", "e")}, m AS MATERIALIZED (SELECT list(y ORDER BY i DESC) AS x FROM f WHERE i > 0), {run("k", "m")},
-o AS (SELECT (SELECT len(x) FROM m) - i AS j, y FROM k WHERE i > 0) SELECT CAST(j - {pad} AS BIGINT) AS idx, round(y, 6) AS value FROM o, c WHERE j >= {pad} AND j < {pad} + n"""
+o AS (SELECT (SELECT len(x) FROM m) - i AS j, y FROM k WHERE i > 0) SELECT CAST(j - {pad} AS BIGINT) AS idx, round(y, 6) + 0.0 AS value FROM o, c WHERE j >= {pad} AND j < {pad} + n"""
 
 
 @query("butter_low", _butter_sql(4, 1.5, False))
@@ -578,7 +578,7 @@ a AS (SELECT *, sum(step) OVER (PARTITION BY lap ORDER BY i ROWS UNBOUNDED PRECE
 @query(
     "variance_dist",
     f"""WITH {_LOOPS}, r AS (SELECT s AS s0, value AS v0, lead(s) OVER (ORDER BY i) AS s1, lead(value) OVER (ORDER BY i) AS v1, max(s) OVER () AS last FROM a WHERE lap = 1)
-SELECT CAST(lap AS BIGINT) AS lap, CAST(i AS BIGINT) AS idx, round(CASE WHEN s > last THEN 'NaN'::DOUBLE WHEN s1 IS NULL THEN value - v0 ELSE value - (v0 + (v1 - v0) * (s - s0) / (s1 - s0)) END, 6) AS value FROM (SELECT * FROM a WHERE lap > 1) a ASOF JOIN r ON a.s >= r.s0""",
+SELECT CAST(lap AS BIGINT) AS lap, CAST(i AS BIGINT) AS idx, round(CASE WHEN s > last THEN 'NaN'::DOUBLE WHEN s1 IS NULL THEN value - v0 ELSE value - (v0 + (v1 - v0) * (s - s0) / (s1 - s0)) END, 6) + 0.0 AS value FROM (SELECT * FROM a WHERE lap > 1) a ASOF JOIN r ON a.s >= r.s0""",
 )
 def _variance_dist(spark, sf_dir):
     return _variance(spark, sf_dir, "variance_dist")
@@ -591,7 +591,7 @@ s AS MATERIALIZED (SELECT *, de * de + dn * dn AS sq, atan2(dn, de) AS hd FROM g
 z AS (SELECT m.lap, m.i, s.k, least(greatest(((m.e - s.e) * de + (m.n - s.n) * dn) / sq, 0), 1) AS u, m.e AS pe, m.n AS pn, s.e, s.n, de, dn FROM m JOIN s ON m.i = 0 AND cos(m.h - hd) >= 0),
 w AS (SELECT lap, i, CAST(arg_min(k, d) AS BIGINT) AS last, arg_min(k + u, d) AS place FROM (SELECT *, pow(pe - e - u * de, 2) + pow(pn - n - u * dn, 2) AS d FROM z) GROUP BY lap, i
 UNION ALL SELECT lap, i, CAST(coalesce(arg_min(k, d), any_value(last)) AS BIGINT), arg_min(k + u, d) FROM (SELECT *, pow(pe - e - u * de, 2) + pow(pn - n - u * dn, 2) AS d FROM (SELECT m.lap, m.i, w.last, s.k, least(greatest(((m.e - s.e) * de + (m.n - s.n) * dn) / sq, 0), 1) AS u, m.e AS pe, m.n AS pn, s.e, s.n, de, dn FROM w JOIN m ON m.lap = w.lap AND m.i = w.i + 1 LEFT JOIN s ON s.k BETWEEN w.last - 10 AND w.last + 10 AND cos(m.h - hd) >= 0)) GROUP BY lap, i)
-SELECT CAST(m.lap AS BIGINT) AS lap, CAST(m.i AS BIGINT) AS idx, round(coalesce(m.value - CASE WHEN place = floor(place) THEN a.value ELSE a.value * (1 - (place - floor(place))) + b.value * (place - floor(place)) END, 'NaN'::DOUBLE), 4) AS value FROM m LEFT JOIN w ON w.lap = m.lap AND w.i = m.i LEFT JOIN c a ON a.i = CAST(floor(place) AS BIGINT) LEFT JOIN c b ON b.i = CAST(floor(place) AS BIGINT) + 1""",
+SELECT CAST(m.lap AS BIGINT) AS lap, CAST(m.i AS BIGINT) AS idx, round(coalesce(m.value - CASE WHEN place = floor(place) THEN a.value ELSE a.value * (1 - (place - floor(place))) + b.value * (place - floor(place)) END, 'NaN'::DOUBLE), 4) + 0.0 AS value FROM m LEFT JOIN w ON w.lap = m.lap AND w.i = m.i LEFT JOIN c a ON a.i = CAST(floor(place) AS BIGINT) LEFT JOIN c b ON b.i = CAST(floor(place) AS BIGINT) + 1""",
 )
 def _variance_time(spark, sf_dir):
     return _variance(spark, sf_dir, "variance_time")

@@ -569,7 +569,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyzpqr")])
 
 
-@query("lever_arm", f"WITH {_E3}, w AS (SELECT *, q * 0.1 - r * 0.2 AS a, r * 0.3 - p * 0.1 AS b, p * 0.2 - q * 0.3 AS c FROM e) SELECT vec_id, round(x + (y * 0.1 - z * 0.2) + (q * c - r * b), 9) AS ax, round(y + (z * 0.3 - x * 0.1) + (r * a - p * c), 9) AS ay, round(z + (x * 0.2 - y * 0.3) + (p * b - q * a), 9) AS az FROM w")
+@query("lever_arm", f"WITH {_E3}, w AS (SELECT *, q * 0.1 - r * 0.2 AS a, r * 0.3 - p * 0.1 AS b, p * 0.2 - q * 0.3 AS c FROM e) SELECT vec_id, round(x + (y * 0.1 - z * 0.2) + (q * c - r * b), 9) + 0.0 AS ax, round(y + (z * 0.3 - x * 0.1) + (r * a - p * c), 9) AS ay, round(z + (x * 0.2 - y * 0.3) + (p * b - q * a), 9) AS az FROM w")
 def _lever(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     of = lambda names: vector.Vec(*[F.col(c) for c in names])
@@ -632,7 +632,7 @@ def _lap_distance(spark, sf_dir):
 
 
 # ---- parts of the estimator ----
-@query("gps_velocity", "SELECT event_id, round(value / 3.6 * cos(radians(user_id * 2)), 9) AS north, round(-value / 3.6 * sin(radians(user_id * 2)), 9) AS west FROM events WHERE event_type <> 'error'")
+@query("gps_velocity", "SELECT event_id, round(value / 3.6 * cos(radians(user_id * 2)), 9) + 0.0 AS north, round(-value / 3.6 * sin(radians(user_id * 2)), 9) + 0.0 AS west FROM events WHERE event_type <> 'error'")
 def _gps_velocity(spark, sf_dir):
     """Velocities of fixes whose speed is the event's value and whose course goes by the user; errors have no quality."""
     import numpy as np
@@ -698,7 +698,7 @@ def _wheel_sql() -> str:
     return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, (value - 40) * 0.05 AS drive, event_type = 'click' AS still, event_type = 'view' AS air FROM events),
 f AS (SELECT DISTINCT user_id, -1::BIGINT AS i, 0.0::DOUBLE AS drive, FALSE AS still, FALSE AS air, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS x1, 0.0025::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11 FROM m UNION ALL {seen}),
 k AS (SELECT user_id, max(i) AS i, arg_max(x0, i) AS x0, arg_max(x1, i) AS x1 FROM f GROUP BY user_id UNION ALL SELECT user_id, i, x0 + ((a * s11 - b * s01) * r0 + (b * s00 - a * s01) * r1) / (s00 * s11 - s01 * s01), x1 + ((c * s11 - d * s01) * r0 + (d * s00 - c * s01) * r1) / (s00 * s11 - s01 * s01) FROM ({back}))
-SELECT user_id, i AS idx, round(x0, 6) AS travel, round(x1, 6) AS velocity FROM k"""
+SELECT user_id, i AS idx, round(x0, 6) + 0.0 AS travel, round(x1, 6) + 0.0 AS velocity FROM k"""
 
 
 @query("wheel_smoothing", _wheel_sql())
