@@ -66,6 +66,17 @@ def windowed(df: DataFrame, keys: list[str], idx: str, before: int, after: int,
     return cut.select("*", *[c.alias(n) for n, c in columns(w).items()]).where("__home = __b").drop("__home", "__b")
 
 
+def previous(df: DataFrame, keys: list[str], idx: str, columns: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """``df`` with ``columns``, each the expression's value in the row before by ``idx``, however far that is; NULL in the
+    first row. (``windowed`` looks back by positions, so it needs them without gaps.)"""
+    cut = df.withColumn("__pv_b", _block(idx, block)).withColumn("__pv", F.struct(*[c.alias(n) for n, c in columns.items()]))
+    ends = cut.groupBy(*keys, "__pv_b").agg(F.max_by("__pv", idx).alias("__pv_e"))
+    carried = ends.select(*keys, "__pv_b", F.lag("__pv_e").over(Window.partitionBy(*keys).orderBy("__pv_b")).alias("__pv_c"))
+    inside = F.lag("__pv").over(Window.partitionBy(*keys, "__pv_b").orderBy(idx))
+    found = cut.withColumn("__pv_i", inside).join(carried, [*keys, "__pv_b"]).withColumn("__pv", F.coalesce("__pv_i", "__pv_c"))
+    return found.select("*", *[F.col(f"__pv.{n}").alias(n) for n in columns]).drop("__pv_b", "__pv", "__pv_i", "__pv_c")
+
+
 def fill_forward(df: DataFrame, keys: list[str], order: list[str], block_of: Column, columns: list[str]) -> DataFrame:
     """Each of ``columns`` replaced by its last non-null value up to the row. ``block_of`` must be monotone in
     ``order``: rows of a block are sorted together, and each block carries one last value into the next."""

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocked import dense_index, windowed
+from .blocked import dense_index, previous
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def _crossing(gate: Gate) -> Column:
 
 def crossings(fixes: DataFrame, gates: dict[str, Gate]) -> DataFrame:
     """(session_id, idx, gate, ms): every crossing of every gate, idx being the later fix of the step."""
-    steps = windowed(fixes, ["session_id"], "idx", 1, 0, lambda w: {"a_lat": F.lag("lat").over(w), "a_lon": F.lag("lon").over(w), "a_ms": F.lag("timestamp_ms").over(w)}).where("a_ms is not null")
+    steps = previous(fixes, ["session_id"], "idx", {"a_lat": F.col("lat"), "a_lon": F.col("lon"), "a_ms": F.col("timestamp_ms")}).where("a_ms is not null")
     each = F.array(*[F.struct(F.lit(name).alias("gate"), _crossing(g).alias("ms")) for name, g in gates.items()])
     hit = F.filter(each, lambda x: x["ms"].isNotNull())
     return steps.select("session_id", "idx", F.explode(hit).alias("x")).select("session_id", "idx", "x.gate", "x.ms")
@@ -104,7 +104,7 @@ def sectors(fixes: DataFrame, laps: DataFrame, gates: tuple[tuple[str, Gate], ..
     if not gates:
         return laps.select("session_id", "lap", F.lit(0).cast("long").alias("sector"), F.lit("").alias("name"), "start_ms", "end_ms").limit(0)
     hits = crossings(fixes, {str(i): g for i, (_, g) in enumerate(gates)})
-    step = windowed(fixes, ["session_id"], "idx", 1, 0, lambda w: {"a_ms": F.lag("timestamp_ms").over(w)}).select("session_id", "idx", "a_ms", F.col("timestamp_ms").alias("b_ms"))
+    step = previous(fixes, ["session_id"], "idx", {"a_ms": F.col("timestamp_ms")}).select("session_id", "idx", "a_ms", F.col("timestamp_ms").alias("b_ms"))
     hits = hits.join(step, ["session_id", "idx"])
     inside = hits.join(laps, "session_id").where("a_ms >= start_ms and b_ms <= end_ms")
     firsts = inside.groupBy("session_id", "lap", F.col("gate").cast("int").alias("g")).agg(F.min_by("ms", "idx").alias("ms"))
@@ -178,9 +178,10 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def cumulative_distance(fixes: DataFrame, scale: float = 1e-7) -> DataFrame:
-    """Fixes with distance_m, the great-circle length up to each."""
+    """Fixes with distance_m, the great-circle length up to each; ``idx`` may have gaps."""
     from .blocked import running_sum
 
     lat, lon = F.col("lat") * scale, F.col("lon") * scale
-    step = windowed(fixes, ["session_id"], "idx", 1, 0, lambda w: {"__d": F.coalesce(haversine(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon), F.lit(0.0))})
-    return running_sum(step, ["session_id"], "idx", F.col("__d"), "distance_m").drop("__d")
+    step = previous(fixes, ["session_id"], "idx", {"__a": lat, "__o": lon})
+    far = F.coalesce(haversine(F.col("__a"), F.col("__o"), lat, lon), F.lit(0.0))
+    return running_sum(step, ["session_id"], "idx", far, "distance_m").drop("__a", "__o")

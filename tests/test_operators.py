@@ -269,6 +269,18 @@ def test_distance_on_the_globe(spark):
     assert abs(end - 6_371_000 * math.pi / 180) < 1e-6
 
 
+def test_distance_and_laps_over_gaps_in_idx(spark):
+    """A session's fixes keep the numbers of a table that they share, so the one before may be blocks away."""
+    places = [(0, 0, 0), (5, 1_000, 10_000_000), (70_000, 2_000, 20_000_000), (70_001, 3_000, 30_000_000), (400_000, 4_000, 40_000_000)]
+    f = spark.createDataFrame([("s0", i, ms, float(lat), 0.0) for i, ms, lat in places], "session_id string, idx long, timestamp_ms long, lat double, lon double")
+    far = [r.distance_m for r in laps.cumulative_distance(f).orderBy("idx").collect()]
+    assert np.allclose(far, [6_371_000 * math.pi / 180 * i for i in range(5)])
+    hit = laps.crossings(f, {"g": laps.Gate(15_000_000.0, -1e6, 15_000_000.0, 1e6), "h": laps.Gate(35_000_000.0, -1e6, 35_000_000.0, 1e6)}).orderBy("idx").collect()
+    assert [(r.gate, r.idx, r.ms) for r in hit] == [("g", 70_000, 1_500), ("h", 400_000, 3_500)]
+    got = blocked.previous(f, ["session_id"], "idx", {"p": F.col("idx")}).orderBy("idx").collect()
+    assert [r.p for r in got] == [None, 0, 5, 70_000, 70_001]
+
+
 # ---- variance ----
 def test_queries_compare_every_lap_and_estimate_every_sample(spark):
     from kinespark import queries
