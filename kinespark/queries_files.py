@@ -746,8 +746,9 @@ def _rollup(spark, sf_dir):
     f = fixes(spark, sf_dir).drop("session_id").join(_events(spark, sf_dir).select("event_id", "user_id", "value"), F.col("idx") == F.col("event_id"))
     own = f.select(F.col("user_id").cast("string").alias("session_id"), "idx", "timestamp_ms", "lat", "lon", F.col("value").alias("speed"))
     records = dense_index(fit.activity_records(own).drop("hr"), ["session_id"], "idx", "k")
-    out = fit.session_rollup(records.withColumn("hr", F.when(F.col("k") % 2 == 0, 60 + F.col("k") % 100)))
-    return out.select(F.col("session_id").cast("long").alias("user_id"), "elapsed_s", F.round("distance_m", 2).alias("distance_m"), F.round("avg_speed", 6).alias("avg_speed"), F.round("max_speed", 6).alias("max_speed"), "avg_hr", "max_hr", "fixes")
+    out = fit.session_rollup(records.drop("idx").withColumnRenamed("k", "idx").withColumn("hr", F.when(F.col("idx") % 2 == 0, 60 + F.col("idx") % 100)))
+    mean = F.round(F.col("avg_speed") * 1e6) / 1e6  # of the scaled double, as the SQL rounds: means of cents end in halves
+    return out.select(F.col("session_id").cast("long").alias("user_id"), "elapsed_s", F.round("distance_m", 2).alias("distance_m"), mean.alias("avg_speed"), F.round("max_speed", 6).alias("max_speed"), "avg_hr", "max_hr", "fixes")
 
 
 _PROBE = {"streams": [{"codec_type": "audio"}, {"codec_type": "video", "width": 1920, "height": 1080, "avg_frame_rate": "30000/1001", "r_frame_rate": "30/1", "side_data_list": [{"rotation": -90}]}], "format": {"duration": "12.5"}}

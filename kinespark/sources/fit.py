@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError
 from ..operators import joins
+from ..operators.blocked import running_sum
 from ..operators.laps import cumulative_distance
 
 #: Fixed values of the format: base types (size, code), message numbers, epoch, versions, invalid values.
@@ -97,11 +98,13 @@ def activity_records(fixes: DataFrame, heart: DataFrame | None = None) -> DataFr
 
 
 def session_rollup(records: DataFrame) -> DataFrame:
-    """Per session: elapsed, distance, mean and greatest speed, whole-number mean and greatest heart rate, fixes."""
-    return records.groupBy("session_id").agg(
+    """Per session: elapsed, distance, mean and greatest speed, whole-number mean and greatest heart rate, fixes. Speeds are
+    added up in the order of the fixes, so that the mean doesn't hang on how rows lie in partitions."""
+    summed = running_sum(records, ["session_id"], "idx", F.coalesce("mps", F.lit(0.0)), "__mps")
+    return summed.groupBy("session_id").agg(
         F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"),
         (F.greatest(F.max_by("timestamp_ms", "idx") - F.min_by("timestamp_ms", "idx"), F.lit(0)) / 1000.0).alias("elapsed_s"),
-        F.max("distance_m").alias("distance_m"), F.avg("mps").alias("avg_speed"), F.max("mps").alias("max_speed"),
+        F.max("distance_m").alias("distance_m"), (F.max_by("__mps", "idx") / F.nullif(F.count("mps"), F.lit(0))).alias("avg_speed"), F.max("mps").alias("max_speed"),
         F.floor(F.sum("hr") / F.count("hr")).cast("long").alias("avg_hr"), F.max("hr").alias("max_hr"), F.count(F.lit(1)).alias("fixes"),
     )
 

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import gps, imu, make_gpmf, make_log, make_mp4, samples, value
+from pyspark.sql import functions as F
 
 from kinespark.api import Engine, run_command
 from kinespark.errors import EvalError, InputError, envelope
@@ -71,6 +72,15 @@ def test_exports(spark, tmp_path):
         export.infer_format("x.bin")
 
 
+def test_mean_speed_is_summed_in_the_order_of_fixes(spark):
+    rows = [("s", i, i * 1000, float(v)) for i, v in ((0, 1e16), (2, -1e16), (1, 1))]
+    f = spark.createDataFrame(rows, "session_id string, idx long, timestamp_ms long, mps double").coalesce(1)
+    roll = fit.session_rollup(f.withColumn("distance_m", F.lit(0.0)).withColumn("hr", F.lit(None).cast("long"))).first()
+    assert roll.avg_speed == 0 and roll.fixes == 3  # (1e16 + 1) - 1e16; 1/3 in another order
+    none = fit.session_rollup(f.withColumn("mps", F.lit(None).cast("double")).withColumn("distance_m", F.lit(0.0)).withColumn("hr", F.lit(None).cast("long"))).first()
+    assert none.avg_speed is None
+
+
 def test_fit(spark):
     rows = [("s", i, 1_700_000_000_000 + i * 1000, 450000000.0 + i * 1000, 60000000.0, 1000.0, 36.0) for i in range(3)]
     f = spark.createDataFrame(rows, "session_id string, idx long, timestamp_ms long, lat double, lon double, alt double, speed double")
