@@ -33,22 +33,28 @@ def interpolate_fixed(points: DataFrame, samples: DataFrame, rate: float, t: str
 
 
 def as_of(points: DataFrame, samples: DataFrame, t: str = "t", out: str = "value", keys: tuple[str, ...] = ("session_id",), seconds_per_block: float = 3600.0, time: bool = False) -> DataFrame:
-    """The last sample at or before t; NULL before the first. Points and samples are merged and carried forward
-    within blocks of time, so a long session is many tasks."""
-    p = points.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast("struct<v:double,t:double>"))
-    s = samples.select(*keys, F.col("t").alias(t), F.lit(0).alias("__side"), F.struct(F.col("value").cast("double").alias("v"), F.col("t").cast("double").alias("t")).alias("__v"))
+    """The last sample at or before t, of equal times the one of greatest ``idx`` (where the samples have it); NULL before
+    the first. Points and samples are merged and carried forward within blocks of time, so a long session is many tasks."""
+    tie = F.col("idx") if "idx" in samples.columns else F.lit(0)
+    p = points.withColumn("__side", F.lit(1)).withColumn("__tie", F.lit(0).cast("long")).withColumn("__v", F.lit(None).cast("struct<v:double,t:double>"))
+    s = samples.select(*keys, F.col("t").alias(t), F.lit(0).alias("__side"), tie.cast("long").alias("__tie"), F.struct(F.col("value").cast("double").alias("v"), F.col("t").cast("double").alias("t")).alias("__v"))
     both = p.unionByName(s, allowMissingColumns=True)
-    filled = fill_forward(both, list(keys), [t, "__side"], F.floor(F.col(t) / seconds_per_block).cast("long"), ["__v"])
+    filled = fill_forward(both, list(keys), [t, "__side", "__tie"], F.floor(F.col(t) / seconds_per_block).cast("long"), ["__v"])
     found = filled.where("__side = 1").withColumn(out, F.col("__v.v"))
-    return (found.withColumn(f"{out}_t", F.col("__v.t")) if time else found).drop("__side", "__v")
+    return (found.withColumn(f"{out}_t", F.col("__v.t")) if time else found).drop("__side", "__tie", "__v")
+
+
+def _mirrored(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with those of ``columns`` that it has negated: the first sample at or after t is the last one at or before it
+    on the mirrored axis, and of equal times the one of smallest idx."""
+    return df.withColumns({c: -F.col(c) for c in columns if c in df.columns})
 
 
 def nearest_event(points: DataFrame, samples: DataFrame, t: str = "t", out: str = "value", keys: tuple[str, ...] = ("session_id",), seconds_per_block: float = 3600.0) -> DataFrame:
-    """The sample nearest in time of an event-driven channel; the earlier on a tie; the end ones beyond the ends."""
+    """The sample nearest in time of an event-driven channel; the earlier on a tie; the end ones beyond the ends.
+    Of samples of one time, the last (by idx) stands for it from t on, the first before."""
     back = as_of(points, samples, t, "__back", keys, seconds_per_block, time=True)
-    flip = lambda df, c: df.withColumn(c, -F.col(c))
-    # the first sample at or after t is the last one at or before it on the mirrored axis
-    both = flip(as_of(flip(back, t), flip(samples, "t"), t, "__fore", keys, seconds_per_block, time=True), t)
+    both = _mirrored(as_of(_mirrored(back, t), _mirrored(samples, "t", "idx"), t, "__fore", keys, seconds_per_block, time=True), t)
     fore_t = -F.col("__fore_t")
     earlier = F.col("__fore").isNull() | (F.col("__back").isNotNull() & (F.col(t) - F.col("__back_t") <= fore_t - F.col(t)))
     return both.withColumn(out, F.when(earlier, F.col("__back")).otherwise(F.col("__fore"))).drop("__back", "__back_t", "__fore", "__fore_t")
@@ -75,11 +81,10 @@ def interval_join(points: DataFrame, windows: DataFrame, t: str = "t", start: st
 def epoch_to_time(points: DataFrame, fixes: DataFrame, gps_rate: float, epoch: str = "epoch_ms", out: str = "t", ms_per_block: int = 3_600_000) -> DataFrame:
     """Session seconds of wall-clock milliseconds by interpolating between fixes (session_id, idx, value: epoch of the
     fix at position idx); clamped to the first and last fix."""
-    s = fixes.where("value > 0").select("session_id", F.col("value").cast("double").alias("t"), (F.col("idx") / gps_rate).alias("value"))
+    s = fixes.where("value > 0").select("session_id", "idx", F.col("value").cast("double").alias("t"), (F.col("idx") / gps_rate).alias("value"))
     p = points.withColumn("__e", F.col(epoch).cast("double"))
     both = as_of(p, s, "__e", "__b", seconds_per_block=float(ms_per_block), time=True)
-    flip = lambda df, c: df.withColumn(c, -F.col(c))
-    both = flip(as_of(flip(both, "__e"), flip(s, "t"), "__e", "__f", seconds_per_block=float(ms_per_block), time=True), "__e")
+    both = _mirrored(as_of(_mirrored(both, "__e"), _mirrored(s, "t", "idx"), "__e", "__f", seconds_per_block=float(ms_per_block), time=True), "__e")
     span = -F.col("__f_t") - F.col("__b_t")
     part = F.when(span > 0, (F.col("__e") - F.col("__b_t")) / F.when(span > 0, span)).otherwise(0.0)
     between = F.col("__b") + (F.col("__f") - F.col("__b")) * part

@@ -45,6 +45,19 @@ def test_carry_forward_crosses_blocks(spark):
     assert near == {0.5: 10.0, 1.0: 10.0, 1.5: 10.0, 55.0: 20.0, 200.0: 20.0}
 
 
+def test_joins_over_samples_of_one_time(spark):
+    """From their time on the last of them by idx, before it the first; whatever the order of the rows."""
+    rows = [("s0", i, t, float(i)) for i, t in enumerate([1.0, 1.0, 1.0, 5.0, 5.0, 5.0, 5.0])]
+    points = spark.createDataFrame([("s0", t) for t in (0.0, 1.0, 2.0, 4.0, 5.0, 9.0)], "session_id string, t double")
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        s = spark.createDataFrame(order, "session_id string, idx long, t double, value double").coalesce(1)
+        assert {r.t: r.value for r in joins.as_of(points, s).collect()} == {0.0: None, 1.0: 2.0, 2.0: 2.0, 4.0: 2.0, 5.0: 6.0, 9.0: 6.0}
+        assert {r.t: r.value for r in joins.nearest_event(points, s).collect()} == {0.0: 0.0, 1.0: 2.0, 2.0: 2.0, 4.0: 3.0, 5.0: 6.0, 9.0: 6.0}
+        epochs = s.select("session_id", "idx", F.col("t").alias("value"))
+        got = joins.epoch_to_time(points.withColumnRenamed("t", "epoch_ms"), epochs, 2.0).collect()
+        assert {r.epoch_ms: r.t for r in got} == {0.0: 0.0, 1.0: 1.0, 2.0: 1.125, 4.0: 1.375, 5.0: 3.0, 9.0: 3.0}
+
+
 @given(st.floats(-1, 8), st.floats(-1, 8), st.sampled_from([1.0, 3.0, 10.0]))
 @settings(max_examples=60, deadline=None)
 def test_slice_bounds(a, b, rate):
