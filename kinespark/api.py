@@ -52,16 +52,16 @@ class Engine:
         else:
             export.export_json(self.data, names).select("json").write.text(path)
 
-    def fixes(self, extra: dict[str, str] | None = None) -> DataFrame:
+    def fixes(self, extra: dict[str, str] | None = None, place: str | None = None) -> DataFrame:
         """GPS fixes (session_id, idx, timestamp_ms, lat, lon) and, of ``extra``, channels of the same positions by the name
-        of their column."""
+        of their column; ``place`` names a column for the position in the GPS channels."""
         extra = extra or {}
         need = ["GPS_Latitude", "GPS_Longitude", "GPS_EpochMs"]
         missing = [n for n in need if n not in self.data.load_info()]
         if missing:
             raise InputError("parse", f"no GPS: {', '.join(missing)}")
         g = grid(self.data.samples, [*need, *extra])
-        f = laps.gps_track(g, *[column_name(n) for n in need], tuple(column_name(n) for n in extra))
+        f = laps.gps_track(g, *[column_name(n) for n in need], tuple(column_name(n) for n in extra), place)
         return f.withColumnsRenamed({column_name(n): c for n, c in extra.items()})
 
     def activity(self) -> DataFrame:
@@ -70,6 +70,12 @@ class Engine:
         info = self.data.load_info()
         return fit.activity_records(self.fixes({n: c for n, c in (("GPS_Altitude", "alt"), ("GPS_SpeedKmh", "speed")) if n in info}), self.heart_rate())
 
+    def timed_fixes(self) -> DataFrame:
+        """``fixes`` with t, the recording's seconds: a fix's own position over the GPS rate, as several fixes may have one
+        epoch; without a rate, by ``session_time``."""
+        rate = self.data.load_info()["GPS_EpochMs"].rate
+        return self.fixes(place="__p").withColumn("t", F.col("__p") / rate).drop("__p") if rate > 0 else self.session_time(self.fixes())
+
     def session_time(self, points: DataFrame, epoch: str = "timestamp_ms") -> DataFrame:
         """``points`` with t, the recording's seconds at an epoch: between the GPS channel's samples, or from the session's
         start where that channel has no rate."""
@@ -96,10 +102,10 @@ class Engine:
     def at_fixes(self, name: str) -> DataFrame:
         """A channel's value at every fix (session_id, idx, value): the nearest sample in time."""
         samples, rate = self._channel(name)
-        points = self.session_time(self.fixes()).select("session_id", "idx", "t")
-        s = samples.select("session_id", F.col("idx").alias("__k"), "t", "value")
+        points = self.timed_fixes().select("session_id", "idx", "t")
+        s = samples.select("session_id", "idx", "t", "value")
         if rate > 0:
-            return joins.nearest_fixed(points, s.withColumnRenamed("__k", "idx"), rate).select("session_id", "idx", "value")
+            return joins.nearest_fixed(points, s, rate).select("session_id", "idx", "value")
         return joins.nearest_event(points, s).select("session_id", "idx", "value")
 
     def resident_bytes(self) -> DataFrame:
@@ -212,7 +218,7 @@ class Engine:
                     out = out.join(strip, "frame", "left")
         line = []
         if "track_map" in kinds and {"GPS_Latitude", "GPS_Longitude", "GPS_EpochMs"} <= set(info):
-            fixes = self.session_time(self.fixes().where(F.col("session_id") == session_id))
+            fixes = self.timed_fixes().where(F.col("session_id") == session_id)
             norm = overlay.normalised_map(fixes.select("session_id", "idx", "t", "lat", "lon"))
             out = out.join(overlay.map_position(frames, norm).select("frame", "x", "y"), "frame")
             line = [(r.x, r.y) for r in overlay.map_line(norm).orderBy("idx").collect()]  # at most MAP_POINTS

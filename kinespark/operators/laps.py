@@ -45,11 +45,13 @@ class Layout:
     zones: tuple[Zone, ...] = field(default=())
 
 
-def gps_track(grid: DataFrame, lat: str, lon: str, epoch: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Fixes of a grid: rows that have all three channels, without (0, 0), numbered anew; with the columns ``extra``."""
+def gps_track(grid: DataFrame, lat: str, lon: str, epoch: str, extra: tuple[str, ...] = (), place: str | None = None) -> DataFrame:
+    """Fixes of a grid: rows that have all three channels, without (0, 0), numbered anew; with the columns ``extra`` and,
+    under the name ``place``, the position in the grid."""
     has = grid.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(epoch).isNotNull() & ~((F.col(lat) == 0) & (F.col(lon) == 0)))
     made = has.select("session_id", F.col("idx").alias("__o"), F.col(epoch).cast("long").alias("timestamp_ms"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), *extra)
-    return dense_index(made, ["session_id"], "__o").drop("__o")
+    numbered = dense_index(made, ["session_id"], "__o")
+    return numbered.withColumnRenamed("__o", place) if place else numbered.drop("__o")
 
 
 def _crossing(gate: Gate) -> Column:

@@ -72,6 +72,16 @@ def test_exports(spark, tmp_path):
         export.infer_format("x.bin")
 
 
+def test_values_at_fixes_of_one_epoch(spark):
+    """A fix is at its own position in the recording, also where epochs repeat or step back."""
+    epochs = [1000, 1000, 1200, 900, 1000, 1400]
+    lat = [1.0, 1.0, 0.0, 1.0, 1.0, 1.0]
+    data = SessionSet.from_samples(samples(spark, {"GPS_Latitude": lat, "GPS_Longitude": lat, "GPS_EpochMs": epochs, "Fork": list(range(12))}), {"GPS_Latitude": 5.0, "GPS_Longitude": 5.0, "GPS_EpochMs": 5.0, "Fork": 10.0})
+    e = Engine(spark, data)
+    assert [(r.idx, r.value) for r in e.at_fixes("Fork").orderBy("idx").collect()] == [(0, 0), (1, 2), (2, 6), (3, 8), (4, 10)]
+    assert e.fixes().columns == ["session_id", "timestamp_ms", "lat", "lon", "idx"]
+
+
 def test_mean_speed_is_summed_in_the_order_of_fixes(spark):
     rows = [("s", i, i * 1000, float(v)) for i, v in ((0, 1e16), (2, -1e16), (1, 1))]
     f = spark.createDataFrame(rows, "session_id string, idx long, timestamp_ms long, mps double").coalesce(1)
