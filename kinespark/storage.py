@@ -32,7 +32,8 @@ class SharedTable:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/kinespark-{name}-{uuid.uuid4().hex}"
         with shuffle_cleanup(self.spark):
-            df.write.option("compression", "zstd").parquet(self.path)
+            # no marker: making one starts a chmod process beside the driver's JVM for each table
+            df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
         self.schema = df.schema
         _KEPT.append((self.spark, self.path))
 

@@ -80,6 +80,41 @@ def test_class_links_count_every_link(spark, monkeypatch):
     assert sorted((x.doc_id, x.component_id) for x in few) == sorted((x.doc_id, x.component_id) for x in found)
 
 
+def test_unlike_pairs_do_not_carry_their_sets(spark, monkeypatch):
+    """Of pairs that share a bucket only those bring their tokens that may link; rounds change nothing."""
+    r = random.Random(8)
+    texts = [r.choices(WORDS, k=r.choice((30, 400, 3000))) for _ in range(24)]
+    texts += [[*t[:-1], "end"] for t in texts[:6]]
+    base = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for b in range(len(texts)) for a in range(b)], "a long, b long")
+    kept, write = {}, ngram_join.write_shared
+
+    def watched(df, name):
+        out = write(df, name)
+        kept.setdefault(name, []).append(out.df.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "write_shared", watched)
+    want = {(i, 24 + i) for i in range(6)}
+    for most in (ngram_join.ROUND_TOKENS, 1):
+        monkeypatch.setattr(ngram_join, "ROUND_TOKENS", most)
+        got = ngram_join._verified(pairs, base, 5, 80, 100)
+        assert {(x.a, x.b) for x in got.df.collect()} == want
+    assert kept["pairs"] == [435, 435] and max(kept["near"]) < 12
+    monkeypatch.setattr(ngram_join, "may_link_wide", lambda *_: ngram_join.F.lit(True))  # all pairs: several rounds
+    assert {(x.a, x.b) for x in ngram_join._verified(pairs, base, 5, 80, 100).df.collect()} == want
+    assert len(kept["links"]) > 4
+
+
+def test_components_in_one_task_and_by_joins(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(300) * 7 + 1, r.randrange(300) * 7 + 1) for _ in range(200)] + [(5000 + i, 5001 + i) for i in range(40)] + [(1 << 61, 4)]
+    for rows in (edges, [], [(3, 3)]):
+        df = spark.createDataFrame(rows, "a long, b long")
+        one, joined = ({(x.node, x.root) for x in ngram_join.components(df, few=few).df.collect()} for few in (1000, -1))
+        assert one == joined and len(one) == len({e for a, b in rows if a != b for e in (a, b)})
+
+
 def test_join_degenerate_inputs(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     rows = [(None, "a b c"), (5, "a b c"), (5, "a b c"), (9, "c b a"), (4, None)]
