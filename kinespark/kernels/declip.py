@@ -49,9 +49,10 @@ def inverse(y: np.ndarray, p: Params) -> np.ndarray:
         return np.where(ok & np.isfinite(u) & (u > 0), u, np.nan)
 
 
-def _fit(x: np.ndarray, a: int, b: int, p: Params):
-    """(value(t)) of the fitted pulse on a baseline, or None with under two shoulder samples. x is clipped upwards."""
-    n = len(x)
+def _fit(near: np.ndarray, lo: int, n: int, a: int, b: int, p: Params):
+    """(value(t)) of the fitted pulse on a baseline, or None with under two shoulder samples. ``near`` are the samples from
+    lo on of n, clipped upwards."""
+    x = _From(near, lo)
     left, right = np.arange(max(0, a - p.shoulder), a), np.arange(b + 1, min(n, b + 1 + p.shoulder))
     where = np.concatenate([left, right])
     if len(where) < 2:
@@ -93,30 +94,58 @@ def _fit(x: np.ndarray, a: int, b: int, p: Params):
     dt, da = (cross_r - cross_l) / TIME_STEPS / 4, (high - low) / AMP_STEPS / 4
     for i in range(-REFINE, REFINE + 1):  # each step is taken from the best so far
         t0 = best[1] + dt * i
-        for j in range(-REFINE, REFINE + 1):
-            amp = best[2] + da * j
-            s, r, f = score(np.array([t0]), np.array([amp]))
-            if s[0] < best[0]:
-                best = (s[0], t0, amp, r[0], f[0])
+        steps = np.arange(-REFINE, REFINE + 1)
+        while len(steps):  # all at once up to the first that is better
+            amp = best[2] + da * steps
+            s, r, f = score(np.full(len(steps), t0), amp)
+            better = np.flatnonzero(s < best[0])
+            if not len(better):
+                break
+            k = better[0]
+            best = (s[k], t0, amp[k], r[k], f[k])
+            steps = steps[k + 1 :]
     _, t0, amp, wr, wf = best
     wr, wf = max(wr, 1e-3), max(wf, 1e-3)
     return lambda s: base(s) + amp * pulse((s - t0) / np.where(s < t0, wr, wf), p)
 
 
+class _From:
+    """Samples by their positions in the whole."""
+
+    def __init__(self, x: np.ndarray, lo: int):
+        self.x, self.lo = x, lo
+
+    def __getitem__(self, at):
+        return self.x[at - self.lo]
+
+
+def windows(x: np.ndarray, params: Params = Params()):
+    """(lo, a, b, samples from lo on): every pinned run with what its repair looks at."""
+    for a, b in runs(x, params.rail, params.eps):
+        lo = max(0, a - params.shoulder)
+        yield lo, a, b, x[lo : b + 1 + params.shoulder]
+
+
+def repair(near: np.ndarray, lo: int, n: int, a: int, b: int, params: Params = Params()) -> np.ndarray:
+    """Values in place of the run a to b of n samples, of which ``near`` are those from lo on."""
+    near = np.asarray(near, np.float64)
+    side = -1.0 if near[a - lo] < 0 else 1.0
+    value = _fit(side * near, lo, n, a, b, params)
+    if value is None:
+        return near[a - lo : b + 1 - lo]
+    work = _From(side * near, lo)
+    t = np.arange(a, b + 1, dtype=float)
+    miss_l = work[a - 1] - value(np.array([a - 1.0]))[0] if a > 0 else 0.0
+    miss_r = work[b + 1] - value(np.array([b + 1.0]))[0] if b + 1 < n else 0.0
+    part = (t - a) / (b - a) if b > a else np.array([0.5])
+    return side * (value(t) + miss_l * (1 - part) + miss_r * part)
+
+
 def declip(x: np.ndarray, rate: float = 0.0, params: Params = Params()) -> np.ndarray:
     """x with every pinned run replaced by its fitted pulse, joined to the neighbours by a linear taper. A run's
     sign is that of its first sample; runs with under two shoulder samples stay as they are."""
     x = np.asarray(x, np.float64)
     out = x.copy()
-    for a, b in runs(x, params.rail, params.eps):
-        side = -1.0 if x[a] < 0 else 1.0
-        work = side * x
-        value = _fit(work, a, b, params)
-        if value is None:
-            continue
-        t = np.arange(a, b + 1, dtype=float)
-        miss_l = work[a - 1] - value(np.array([a - 1.0]))[0] if a > 0 else 0.0
-        miss_r = work[b + 1] - value(np.array([b + 1.0]))[0] if b + 1 < len(x) else 0.0
-        part = (t - a) / (b - a) if b > a else np.array([0.5])
-        out[a : b + 1] = side * (value(t) + miss_l * (1 - part) + miss_r * part)
+    for lo, a, b, near in windows(x, params):
+        out[a : b + 1] = repair(near, lo, len(x), a, b, params)
     return out

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,33 @@ class Compiler:
         self.frame = self.frame.join(made, ["session_id", "idx"], "left")
         return F.col(name)
 
+    def declipped(self, arg: Chan) -> Column:
+        """A channel with its pinned runs repaired: one task of a session finds them, all tasks share their fits."""
+        v = self.keep(arg.col)
+        self.n += 1
+        name = f"x{self.n}"
+
+        def find(table: pa.Table) -> pa.Table:
+            t = table.sort_by("idx")
+            x, idx = t["v"].to_numpy(), t["idx"].to_numpy()
+            found = list(declip.windows(x))
+            longs = [pa.array([r[i] for r in found], pa.int64()) for i in range(3)]
+            places = pa.array([idx[a : b + 1] for _, a, b, _ in found], pa.list_(pa.int64()))
+            return pa.table([pa.array([t["session_id"][0].as_py()] * len(found), pa.string()), pa.array([len(x)] * len(found), pa.int64()), *longs, places, pa.array([r[3] for r in found], pa.list_(pa.float64()))], names=["session_id", "n", "lo", "a", "b", "idx", "x"])
+
+        def mend(batches):
+            for batch in batches:
+                rows = batch.to_pylist()
+                made = [declip.repair(np.array(r["x"]), r["lo"], r["n"], r["a"], r["b"]) for r in rows]
+                sessions = [r["session_id"] for r in rows for _ in r["idx"]]
+                yield pa.RecordBatch.from_arrays([pa.array(sessions, pa.string()), pa.array([i for r in rows for i in r["idx"]], pa.int64()), pa.array([y for m in made for y in m.tolist()], pa.float64())], ["session_id", "idx", name])
+
+        runs = self.frame.where(v.isNotNull()).select("session_id", "idx", v.alias("v")).groupBy("session_id").applyInArrow(find, "session_id string, n long, lo long, a long, b long, idx array<long>, x array<double>")
+        tasks = max(runs.sparkSession.sparkContext.defaultParallelism, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        made = runs.repartition(tasks).mapInArrow(mend, f"session_id string, idx long, {name} double")
+        self.frame = self.frame.join(made, ["session_id", "idx"], "left")
+        return F.coalesce(F.col(name), v)
+
     # ---- values ----
     def same_grid(self, a, b, what: str) -> None:
         if a.rate != b.rate:
@@ -312,8 +340,7 @@ class Compiler:
         if name == "declip":
             arity(1)
             ch = self.channel(args[0], name)
-            rate = ch.rate
-            return Chan(self.kernel(ch, lambda x: declip.declip(x, rate)), ch.rate, ch.length)
+            return Chan(self.declipped(ch), ch.rate, ch.length)
         if name in _VECTOR:
             arity(_VECTOR[name])
             return self.vector(name, args)

@@ -139,6 +139,17 @@ def test_queries_of_one_channel_take_it_whole(spark):
         assert queries.queries()[name](spark, sf).count() == counts["click"], name
 
 
+def test_declip_shares_its_runs_between_tasks(spark):
+    from kinespark.model import SessionSet
+    from kinespark.plans.compile import evaluate
+
+    x = np.clip(40 * np.sin(np.arange(400) / 5.0) + np.arange(400) % 7, -32, 32)
+    x[0] = x[-1] = 32.0
+    out = evaluate(SessionSet.from_samples(samples(spark, {"a": x.tolist()}), 10.0), "declip([a])")[0]
+    assert np.array_equal([r.value for r in out.orderBy("idx").collect()], declip.declip(x)) and len(declip.runs(x)) > 20
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()  # after a repartition; not one task of a session
+
+
 def test_declip():
     t = np.arange(64)
     x = 20 * np.sin(2 * np.pi * t / 64) ** 3 + 25
